@@ -29,6 +29,8 @@ from .common import cut, text_batches
 LABELLED = 20_000
 #: Mined features, at most, and the likelihood ratio (twice its logarithm) that one needs.
 FEATURES, RATIO = 3000, 20.0
+#: Share of toxic rows among those that hold a mined feature, at least.
+PRECISE = 0.75
 THRESHOLD = 0.3
 
 # fixed values: lexicon voters, by the kind of abuse
@@ -45,6 +47,7 @@ PATTERNS = {
     "marks": re.compile(r"[!?]{3,}|[@#$%&*]{4,}"),
 }
 _WORD = re.compile(r"\w+")
+_YOU = {"you", "your", "youre", "ur", "shut", "away", "lost", "hell", "hate", "nobody"}
 _FIXED = {w: k for k, ws in LEXICON.items() for w in ws}
 
 
@@ -57,22 +60,33 @@ def grams(text: str | None) -> set[str]:
     return out
 
 
-def active(text: str | None, vocab: dict[str, int]) -> tuple[list[int], list[str]]:
-    """Indices of a text's features in vocab, and the fixed voters that fire."""
-    text = text or ""
-    words = set(_WORD.findall(text.lower()))
-    hits = {vocab[g] for w in words for g in ("=" + w, "^" + w[:4], "^" + w[:5], "^" + w[:6]) if g in vocab and (g[0] == "=" or len(w) >= len(g))}
-    fired = {"lexicon:" + _FIXED[w] for w in words if w in _FIXED}
-    fired |= {"pattern:" + k for k, p in PATTERNS.items() if p.search(text)}
-    return sorted(hits), sorted(fired)
+class Finder:
+    """Finds a text's features among those of vocab, and the fixed voters that fire; made once for each worker."""
 
+    def __init__(self, vocab: dict[str, int]):
+        self.whole = {g[1:]: i for g, i in vocab.items() if g[0] == "="}
+        self.begins = {n: {g[1:]: i for g, i in vocab.items() if g[0] == "^" and len(g) == n + 1} for n in (4, 5, 6)}
 
-def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """votes (rows, voters) of 0 and 1 -> firing rates on clean and toxic texts, share of toxic ones, weights of voters."""
+    def __call__(self, text: str | None) -> tuple[list[int], list[str]]:
+        text = text or ""
+        words = set(_WORD.findall(text.lower()))
+        hits = [self.whole[w] for w in self.whole.keys() & words]
+        for n, known in self.begins.items():
+            if known:
+                hits += [known[b] for b in known.keys() & {w[:n] for w in words if len(w) > n}]
+        fired = {"lexicon:" + _FIXED[w] for w in _FIXED.keys() & words}
+        if words & _YOU:
+            fired |= {"pattern:" + k for k in ("addressed", "shut_up") if PATTERNS[k].search(text)}
+        fired |= {"pattern:" + k for k in ("shouting", "marks") if PATTERNS[k].search(text)}
+        return sorted(hits), sorted(fired)
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """votes (rows, voters) of 0 and 1, first guess of the posterior -> firing rates on clean and toxic texts, share of toxic ones, weights of voters."""
     n, m = votes.shape
     weight = np.ones(m)
     for _ in range(2):  # once as if independent, once with what is left of correlations
-        q = np.clip(votes @ weight / max(1.0, weight.sum() * 0.15), 0.02, 0.98)
+        q = start
         for _ in range(rounds):
             prior = float(np.clip(q.mean(), 1e-4, 0.5))
             on = (votes.T @ q + 0.2) / (q.sum() + 1.0)
@@ -120,9 +134,12 @@ class Model:
     bias: float = -3.0
     scale: float = 1.0
     shift: float = 0.0
+    finder: Finder | None = field(default=None, repr=False)
 
     def score(self, text: str | None) -> float:
-        hits, fired = active(text, self.vocab)
+        if self.finder is None:
+            self.finder = Finder(self.vocab)
+        hits, fired = self.finder(text)
         x = self.bias + sum(self.weights[i] for i in hits) + sum(self.fixed.get(f, 0.0) for f in fired)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * x + self.shift))))
 
@@ -155,6 +172,12 @@ def _mine(train: DataFrame) -> list[str]:
     cold = train.where("toxic = 0").select("text").mapInPandas(counts(set(on)), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     off = {r["g"]: r["n"] for r in cold.collect()}
 
+    return select(on, off, pos, neg)
+
+
+def select(on: dict[str, int], off: dict[str, int], pos: int, neg: int) -> list[str]:
+    """Features in on toxic and off clean rows (of pos and neg) that are significant and precise, best first."""
+
     def part(k: float, e: float) -> float:
         return k * math.log(k / e) if k else 0.0
 
@@ -162,7 +185,7 @@ def _mine(train: DataFrame) -> list[str]:
     for g, a in on.items():
         b = off.get(g, 0)
         both = a + b
-        if a * neg > 3 * b * pos:
+        if a / (both + 1) >= PRECISE:
             r = 2 * (part(a, both * pos / (pos + neg)) + part(b, both * neg / (pos + neg)))
             if r >= RATIO:
                 found.append((-r, g))
@@ -180,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     vocab = {g: i for i, g in enumerate(_mine(train))}
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(vocab)
         for pdf in batches:
-            got = [active(t, vocab) for t in pdf["text"]]
+            got = [find(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "hits": [a for a, _ in got], "fired": [b for _, b in got]})
 
     rows = train.mapInPandas(facts, "doc_id long, toxic int, hits array<int>, fired array<string>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
@@ -197,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
         votes[r, [group[int(i)] for i in hits]] = 1
         votes[r, [16 + fixed.index(f) for f in fired]] = 1
     votes[:, -1] = y
-    off, on, prior, weight = label_model(votes)
+    off, on, prior, weight = label_model(votes, np.where(y > 0, 0.9, 0.05))
     q = posterior(votes, off, on, prior, weight)
     at = {f: m + k for k, f in enumerate(fixed)}
     pairs = [(r, c) for r, (hits, fired) in enumerate(zip(rows["hits"], rows["fired"], strict=True)) for c in (*map(int, hits), *(at[f] for f in fired))]
