@@ -1,10 +1,8 @@
-"""Registry of the library's own queries and their SQL."""
+"""All queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import aggregation, classification, evaluation, joining, learning, reporting, sampling, scanning, textual, warning  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
