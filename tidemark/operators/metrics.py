@@ -109,5 +109,5 @@ def precision_at(rows: DataFrame, label: str, score: str, tie: Sequence[str], ks
     """Precision and recall among the k highest scores (an extension)."""
     n = rows.agg(F.sum(F.col(label).cast("long")).alias("p"))
     top = rows.orderBy(F.desc(score), *tie).limit(max(ks)).withColumn("k", F.row_number().over(Window.orderBy(F.desc(score), *tie)))
-    each = top.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in ks], "at int"))).where("k <= at").groupBy("at").agg(F.sum(F.col(label).cast("long")).alias("hit"), F.count("*").alias("n"))
-    return each.crossJoin(F.broadcast(n)).select("at", (F.col("hit") / F.col("n")).alias("precision"), F.when(F.col("p") > 0, F.col("hit") / F.col("p")).alias("recall"))
+    each = top.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in ks], "cut int"))).where("k <= cut").groupBy("cut").agg(F.sum(F.col(label).cast("long")).alias("hit"), F.count("*").alias("n"))
+    return each.crossJoin(F.broadcast(n)).select("cut", (F.col("hit") / F.col("n")).alias("precision"), F.when(F.col("p") > 0, F.col("hit") / F.col("p")).alias("recall"))
