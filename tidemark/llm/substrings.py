@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,30 +125,60 @@ def _windows(width: int, hashes: int):
     return run
 
 
-def _star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+LINK = ("hid", "doc", "l", "c", "r", "odoc", "ol", "oc", "orr")
+#: Rows that are worked on at once where rows are short.
+BLOCK = 65_536
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """The batches' columns as longs, in blocks of BLOCK rows or a little more."""
+
+    def joined(held: list[pa.RecordBatch]) -> np.ndarray:
+        t = pa.Table.from_batches(held)
+        return np.stack([t.column(c).cast(pa.int64()).to_numpy() for c in columns], 1)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= BLOCK:
+            yield joined(held)
+            held = []
+    if held:
+        yield joined(held)
+
+
+def _batch(rows: np.ndarray, columns: tuple[str, ...]) -> pa.RecordBatch:
+    types = [pa.int64() if c in ("doc", "odoc") else pa.int32() for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()).cast(t) for i, t in enumerate(types)], names=list(columns))
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by group and document: links every first of a batch to the first of all, and passes links on."""
     last = None
-    names = ["hid", "doc", "l", "c", "r", "odoc", "ol", "oc", "orr"]
-    for pdf in batches:
-        done = pdf.loc[pdf["is_link"], names]
-        w = pdf.loc[~pdf["is_link"], ["grp", "hid", "doc", "l", "c", "r"]].to_numpy(np.int64)
+    for block in _blocks(batches, ("is_link", "grp", *LINK)):
+        passed = block[:, 0] == 1
+        w = block[~passed][:, 1:7]  # grp, hid, doc, l, c, r
         if last is not None:
             w = np.concatenate([last[None], w])
+        out = [block[passed][:, 2:]]
         if len(w):
             first = np.concatenate([[True], w[1:, 0] != w[:-1, 0]])
             head = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
             link = ~first & (w[:, 2] != w[head, 2])
-            new = pd.DataFrame(np.concatenate([w[link][:, 1:], w[head[link]][:, 2:]], 1), columns=names)
+            out.append(np.concatenate([w[link][:, 1:], w[head[link]][:, 2:]], 1))
             last = w[head[-1]]
-            done = pd.concat([done, new], ignore_index=True)
-        if len(done):
-            yield done
+        rows = np.concatenate(out)
+        if len(rows):
+            yield _batch(rows, LINK)
 
 
 def _joined(agree: int):
     """Sorted by pair: intervals of two documents where links of enough hashes overlap on about one diagonal."""
+    names = ("doc", "lo", "hi", "odoc", "olo", "ohi")
 
     def one(g: np.ndarray) -> list[tuple]:  # hid, doc, l, c, r, odoc, ol, oc, or
+        if len(g) < agree:
+            return []
         out = []
         g = g[np.argsort(g[:, 3] - g[:, 7], kind="stable")]
         diag = g[:, 3] - g[:, 7]
@@ -159,19 +190,17 @@ def _joined(agree: int):
                     out.append((p[0, 1], p[:, 2].min(), p[:, 4].max(), p[0, 5], p[:, 6].min(), p[:, 8].max()))
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
-        names = ["doc", "lo", "hi", "odoc", "olo", "ohi"]
-        for pdf in batches:
-            w = pdf[["hid", "doc", "l", "c", "r", "odoc", "ol", "oc", "orr"]].to_numpy(np.int64)
+        for w in _blocks(batches, LINK):
             w = w if held is None else np.concatenate([held, w])
             cuts = np.nonzero((w[1:, 1] != w[:-1, 1]) | (w[1:, 5] != w[:-1, 5]))[0] + 1
             *full, held = np.split(w, cuts)
             out = [x for g in full for x in one(g)]
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield _batch(np.array(out, np.int64), names)
         if held is not None and (out := one(held)):
-            yield pd.DataFrame(out, columns=names)
+            yield _batch(np.array(out, np.int64), names)
 
     return run
 
@@ -262,8 +291,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ints = "hid int, doc long, l int, c int, r int, odoc long, ol int, oc int, orr int"
     made = d.mapInPandas(_windows(width, hashes), f"grp long, {ints}, is_link boolean")
-    links = cut(made.repartition(n, "grp").sortWithinPartitions("grp", "doc", "l").mapInPandas(_star, ints))
-    pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc").mapInPandas(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int")
+    links = cut(made.repartition(n, "grp").sortWithinPartitions("grp", "doc", "l").mapInArrow(_star, ints))
+    pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc").mapInArrow(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int")
     asked = cut(pairs.withColumn("cid", F.monotonically_increasing_id()))
     both = asked.select("cid", F.lit(0).alias("side"), "doc", "lo", "hi").unionByName(asked.select("cid", F.lit(1).alias("side"), F.col("odoc").alias("doc"), F.col("olo").alias("lo"), F.col("ohi").alias("hi")))
     parts = both.join(d, "doc").mapInPandas(_slices, "cid long, side int, doc long, lo int, part binary")
