@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 # fixed values: thresholds of deterioration (hundredths) and support
 DROP, RISE = 30, 10
 DROPS, RISES = (20, 30, 40), (5, 10, 15)
@@ -98,6 +100,7 @@ def ranked(rows: DataFrame, order: Sequence[str], place: str = "place") -> DataF
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     s = rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    s = cut(s)  # range bounds are sampled anew each time: both uses below must see the same partitions
     s = s.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     counts = s.groupBy("__p").agg(F.count("*").alias("__c"))
     offset = counts.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")

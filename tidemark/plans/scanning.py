@@ -1 +1,117 @@
+"""JSON-lines scans and profiles, readers and writers."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import files, jsonl
+from ..storage import shared_folder
+from .facts import table
+from .registry import query
+
+LINES = """lines AS (SELECT event_id, CASE WHEN event_id % 101 = 0 THEN '' WHEN event_id % 97 = 0 THEN '{bad' WHEN event_id % 89 = 0 THEN '[1, 2]' ELSE
+ '{"id": ' || event_id || ', "type": "' || event_type || '", "n": ' || CASE WHEN event_id % 5 = 0 THEN 'null' WHEN event_id % 7 = 0 THEN '1.5' ELSE '3' END || CASE WHEN event_id % 3 = 0 THEN ', "tags": ["a", "b"]' ELSE '' END || ', "ok": ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ', "note": "' || CASE WHEN event_id % 4 = 0 THEN '' ELSE 'x' END || '", "ts": ' || (epoch_us(ts) // 1000) || ', "props": ' || props || '}' END AS line FROM events)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    s = lambda x: F.lit(x)
+    obj = F.concat(s('{"id": '), e.cast("string"), s(', "type": "'), F.col("event_type"), s('", "n": '), F.when(e % 5 == 0, "null").when(e % 7 == 0, "1.5").otherwise("3"), F.when(e % 3 == 0, ', "tags": ["a", "b"]').otherwise(""), s(', "ok": '), F.when(F.col("user_id") % 2 == 0, "true").otherwise("false"), s(', "note": "'), F.when(e % 4 == 0, "").otherwise("x"), s('", "ts": '), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), s(', "props": '), F.col("props"), s("}"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(e % 101 == 0, "").when(e % 97 == 0, "{bad").when(e % 89 == 0, "[1, 2]").otherwise(obj).alias("line"))
+
+
+KIND = LINES + ", k AS (SELECT *, CASE WHEN line = '' THEN 'empty' WHEN NOT json_valid(line) THEN 'error' WHEN json_type(line) = 'OBJECT' THEN 'object' ELSE 'non_object' END AS kind FROM lines)"
+
+
+@query("src_01_scan_counts", f"WITH {KIND} SELECT count(*) AS physical, {', '.join(f'count(*) FILTER (WHERE kind = {chr(39)}{k}{chr(39)}) AS {k}' for k in ('empty', 'error', 'object', 'non_object'))} FROM k")
+def src_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.scan_counts(_lines(spark, sf_dir))
+
+
+@query("src_02_error_lines", f"WITH {KIND} SELECT event_id, CAST(length(line) AS INT) AS length, substr(line, 1, 80) AS start FROM k WHERE kind = 'error' ORDER BY event_id LIMIT 1000")
+def src_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.error_lines(_lines(spark, sf_dir), "event_id")
+
+
+@query("src_03_position_sample", f"WITH {LINES}, r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS p, count(*) OVER () AS t FROM lines), q AS (SELECT *, CASE WHEN p <= 25 THEN 'start' WHEN p > t - 25 THEN 'end' WHEN p > (t - 25) // 2 AND p <= (t - 25) // 2 + 25 THEN 'middle' END AS position FROM r) SELECT event_id, line, position, p AS place FROM q WHERE position IS NOT NULL")
+def src_03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.position_sample(_lines(spark, sf_dir), "event_id", 25).select("event_id", "line", "position", "place")
+
+
+FIELDS = KIND + """, f AS (SELECT event_id, field, CASE json_type(line, '$.' || field) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' ELSE 'object' END AS type, json_extract_string(line, '$.' || field) AS text FROM (SELECT event_id, line, unnest(json_keys(line)) AS field FROM k WHERE kind = 'object'))"""
+TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
+PROFILE = FIELDS + f""", n AS (SELECT count(*) AS objects FROM k WHERE kind = 'object'), pr AS (SELECT field, count(*) AS present, {', '.join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in TYPES)}, count(*) FILTER (WHERE type = 'string' AND text = '') AS n_empty FROM f GROUP BY 1),
+ prof AS (SELECT pr.*, objects, objects - present + n_null + n_empty AS effective_missing, round((objects - present + n_null + n_empty) / objects, 9) AS missing_rate FROM pr CROSS JOIN n)"""
+
+
+@query("jsn_01_type_tags", f"WITH {FIELDS} SELECT field, type, count(*) AS n FROM f GROUP BY 1, 2")
+def jsn_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.fields(_lines(spark, sf_dir), "event_id").groupBy("field", "type").agg(F.count("*").alias("n"))
+
+
+@query("agg_17_field_profile", f"WITH {PROFILE} SELECT * FROM prof")
+def agg_17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.field_profile(_lines(spark, sf_dir), "event_id").withColumn("missing_rate", F.round("missing_rate", 9))
+
+
+@query("agg_18_field_counts", f"WITH {KIND} SELECT CAST(min(len(json_keys(line))) AS INT) AS min_fields, CAST(max(len(json_keys(line))) AS INT) AS max_fields, round(avg(len(json_keys(line))), 9) AS mean_fields FROM k WHERE kind = 'object'")
+def agg_18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.field_counts(_lines(spark, sf_dir)).withColumn("mean_fields", F.round("mean_fields", 9))
+
+
+@query("agg_19_timestamp_audit", f"WITH {FIELDS}, n AS (SELECT count(*) AS objects FROM k WHERE kind = 'object'), x AS (SELECT type, CASE WHEN type IN ('integer', 'number') THEN CAST(text AS DOUBLE) END AS x FROM f WHERE field = 'ts'), g AS (SELECT count(*) AS present, count(*) FILTER (WHERE type = 'null') AS n_null, count(x) AS \"numeric\", count(*) FILTER (WHERE x < 0) AS negative, count(*) FILTER (WHERE x >= 1e8 AND x < 1e11) AS seconds, count(*) FILTER (WHERE x >= 1e11 AND x < 1e14) AS milliseconds, count(*) FILTER (WHERE x >= 1e14 AND x < 1e17) AS microseconds, count(*) FILTER (WHERE x >= 0 AND x < 1e8 OR x >= 1e17) AS other, min(x) AS lo, max(x) AS hi FROM x) SELECT objects - present AS missing, present, n_null, present - n_null - \"numeric\" AS non_numeric, \"numeric\", negative, seconds, milliseconds, microseconds, other, 'CONFIRMED_MILLISECONDS' AS unit_status, strftime(make_timestamp_ms(CAST(lo AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS min_utc, strftime(make_timestamp_ms(CAST(hi AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS max_utc FROM g CROSS JOIN n")
+def agg_19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.timestamp_audit(_lines(spark, sf_dir), "event_id", "ts")
+
+
+@query("agg_20_schema_comparison")
+def agg_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    one = jsonl.field_profile(lines.where("event_id % 2 = 0"), "event_id")
+    two = jsonl.field_profile(lines.where("event_id % 3 = 1").withColumn("line", F.replace("line", F.lit('"note"'), F.lit('"remark"'))), "event_id")
+    return jsonl.compare_profiles(one, two)
+
+
+@query("jsn_02_stringify", "SELECT s_suppkey, '{\"a\":null,\"nation\":' || s_nationkey || ',\"supplier\":\"' || s_name || '\"}' AS js, s_nationkey = 0 AS empty FROM supplier")
+def jsn_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(None).cast("string").alias("a"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("supplier"))
+    js = F.to_json(F.struct("a", "nation", "supplier"), {"ignoreNullFields": "false"})
+    part = F.when(F.col("nation") == 0, "[]").otherwise(F.to_json(F.array("nation")))
+    return s.select("s_suppkey", js.alias("js"), part.isin("null", "[]", "{}", "").alias("empty"))
+
+
+def _out(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("snk_01_parquet_sink", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    back = files.write_parquet(o, _out(spark, "orders"), o.schema)
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("snk_04_combine_chunks", "SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus FROM orders")
+def snk_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus")
+    parts = [o.where(F.col("o_orderkey") % 3 == k) for k in range(3)]
+    parts[1] = parts[1].select("o_orderstatus", F.col("o_custkey").cast("int").alias("o_custkey"), "o_orderkey")
+    return files.combine(parts, o.schema)
+
+
+@query("snk_05_csv_round_trip", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'a, \"b\"' END AS note FROM (SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey_s, s_suppkey, s_name FROM supplier)")
+def snk_05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _out(spark, "csv")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 == 0, "").otherwise('a, "b"').alias("note"))
+    s.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.coalesce("note", F.lit("")).alias("note"))
+
+
+@query("snk_06_readback", "SELECT count(*) AS n_written, count(*) AS n_wanted, CAST(0 AS BIGINT) AS n_extra, CAST(0 AS BIGINT) AS n_lost FROM customer")
+def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return files.readback(files.write_parquet(c, _out(spark, "customer")), c)
