@@ -129,8 +129,7 @@ def _verify(threshold: float):
                     ok = np.einsum("ij,ij->i", x[pj], x[qj]) >= threshold
                     pj, qj = pj[ok], qj[ok]
                     shared = (c[pj][:, :, None] == c[qj][:, None, :]).any(2)
-                    first = c[pj][np.arange(len(pj)), shared.argmax(1)] if len(pj) else pj
-                    ok = first == here if len(pj) else np.zeros(0, bool)
+                    ok = np.where(shared, c[pj], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == here  # alike from both ends
                     pj, qj = pj[ok], qj[ok]
                     np.add.at(n, pj, weight[qj])
                     np.add.at(n, qj, weight[pj])
