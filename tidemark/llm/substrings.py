@@ -220,18 +220,21 @@ def matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list
     """Stretches of a and b (start, end, start, end, Jaccard) of least shingles that agree in similarity at least."""
     out, todo = [], [(0, len(a))]
     in_b = np.isin(a, b)
-    miss = 2 * similarity / (1 - similarity)  # a stretch of positive gain has the containment that this Jaccard needs
+    miss = 2 * similarity / (1 - similarity)  # a stretch with no loss has the containment that this Jaccard needs
     while todo:
         i, j = todo.pop()
         if j - i < least:
             continue
+        # the longest stretch whose share of shingles found in b is what this Jaccard needs; its ends are found ones
         gain = np.concatenate([[0.0], np.cumsum(np.where(in_b[i:j], 1.0, -miss))])
         low = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain - low))
-        start = int(np.argmin(gain[: end + 1]))
-        if end - start < least:
+        starts = np.searchsorted(-low, -gain, "left")
+        end = int(np.argmax(np.arange(len(gain)) - starts))
+        start = int(starts[end])
+        hits = np.nonzero(in_b[i + start : i + end])[0]
+        if end - start < least or not len(hits) or hits[-1] - hits[0] + 1 < least:
             continue
-        s, e = i + start, i + end
+        s, e = i + start + int(hits[0]), i + start + int(hits[-1]) + 1
         at = np.nonzero(np.isin(b, a[s:e]))[0]
         best = _densest(at, e - s)
         if best:
