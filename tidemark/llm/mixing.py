@@ -66,10 +66,11 @@ def _cut_at(rows: DataFrame, need: DataFrame) -> DataFrame:
         return s.where("upto > need").groupBy("k").agg(F.min(F.struct(level, (F.col("need") - (F.col("upto") - F.col("words"))).alias("left"))).alias("x")).select("k", F.col(f"x.{level}").alias(f"at_{level}"), F.col("x.left").alias("need"))
 
     one = crossing(r.groupBy("k", "b1").agg(F.sum("size").alias("words")), "b1", need)
-    inside = r.join(one, "k").where("b1 = at_b1")
+    # joined by source and bucket: a hot source's rows are dealt over its buckets, and only the crossing one goes on
+    inside = r.withColumn("at_b1", F.col("b1")).join(one, ["k", "at_b1"])
     two = crossing(inside.groupBy("k", "b2").agg(F.sum("size").alias("words")), "b2", one.select("k", "need"))
     edge = one.select("k", "at_b1").join(two, "k", "left")
-    last = inside.drop("need").join(two, "k").where("b2 = at_b2")
+    last = inside.drop("need").withColumn("at_b2", F.col("b2")).join(two, ["k", "at_b2"])
     w = Window.partitionBy("k").orderBy("rank", "size", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum("size").over(w)
     inner = last.withColumn("upto", upto).withColumn("chosen", F.col("upto") - F.col("need") <= F.col("need") - (F.col("upto") - F.col("size")))
