@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import embeddings, media, mixing, packing, pii, quality, quotes, simhash, substrings, toxicity
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,5 +63,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quote_linking, op4_embedding_dedup, op5_toxicity, op6_media_sniffing, op7_pii, op8_simhash_dedup, op9_quality, op10_packing)}
-
-ORACLE_SQL: dict[str, str] = {}
