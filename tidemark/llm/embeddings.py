@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 A vector is scaled to length 1, padded to a power of two and turned by three rounds of random signs and a fast Hadamard
-transform; its hash is the axis it is nearest to, with sign.  A table's bucket is the label with two such hashes; each
-vector also probes the buckets of the next nearest axes.  Vectors that share a bucket are candidates and are verified by
+transform; its hash is the axis it is nearest to, with sign.  A table's bucket is the label with three such hashes;
+each vector also probes the buckets of the next nearest axes.  Vectors that share a bucket are candidates and are verified by
 their cosine in double precision.  Equal vectors of one label are collapsed first and counted by weight.
 
 A bucket is cut into tiles of bounded size, and every pair of tiles is a group of its own, so no task gathers a bucket.
@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -26,8 +27,8 @@ from .common import connected_components, cut
 THRESHOLD = 0.93
 TABLES = 10
 #: Buckets that a vector enters in a table: its own, and those with one hash replaced by the next nearest axis.
-PROBES = 3
-HASHES = 2
+PROBES = 4
+HASHES = 3
 SEED = 7
 #: Vectors in a tile.
 TILE = 1024
@@ -62,7 +63,7 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int =
     out = np.empty((n, tables, probes), np.int64)
     signs = _signs(size, tables * HASHES, seed)
     for t in range(tables):
-        best, then, lost = [], [], []
+        best, then, lost = (np.empty((n, HASHES), k) for k in (np.int64, np.int64, np.float64))
         for k in range(HASHES):
             y = x
             for s in signs[t * HASHES + k]:
@@ -73,14 +74,17 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int =
             swap = top[:, 1] > top[:, 0]
             order[swap], top[swap] = order[swap][:, ::-1], top[swap][:, ::-1]
             axis = order * 2 + (np.take_along_axis(y, order, 1) < 0)
-            best.append(axis[:, 0])
-            then.append(axis[:, 1])
-            lost.append(top[:, 0] - top[:, 1])
-        base = 2 * size
-        number = lambda a, b, t=t: (t * base + a) * base + b
-        first = np.where(lost[0] <= lost[1], number(then[0], best[1]), number(best[0], then[1]))
-        other = np.where(lost[0] <= lost[1], number(best[0], then[1]), number(then[0], best[1]))
-        out[:, t] = np.stack([number(best[0], best[1]), first, other], axis=1)[:, :probes]
+            best[:, k], then[:, k], lost[:, k] = axis[:, 0], axis[:, 1], top[:, 0] - top[:, 1]
+        cheap = np.argsort(lost, axis=1, kind="stable")  # hashes whose second axis is nearly as near go first
+        for p in range(probes):
+            axes = best.copy()
+            if p:
+                k = cheap[:, p - 1 : p]
+                np.put_along_axis(axes, k, np.take_along_axis(then, k, 1), 1)
+            number = np.full(n, t, np.int64)
+            for k in range(HASHES):
+                number = number * (2 * size) + axes[:, k]
+            out[:, t, p] = number
     return out.reshape(n, -1)
 
 
@@ -105,57 +109,70 @@ def usable(vec: Column) -> Column:
 
 
 def _verify(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted by group: counts of each vector's links in the group, and a spanning forest of them."""
+
+    def links(side: np.ndarray, ids: np.ndarray, weight: np.ndarray, here: int, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        a, b = np.nonzero(side <= 1)[0], np.nonzero(side >= 1)[0]  # 1: a tile against itself
+        x = unit(x)
+        n = np.zeros(len(ids), np.int64)
+        root = np.arange(len(ids))
+        for i in range(0, len(a), 256):
+            ai = a[i : i + 256]
+            p, q = np.nonzero(x[ai] @ x[b].T >= threshold - 1e-9)
+            p, q = ai[p], b[q]
+            ok = (ids[p] != ids[q]) & ((side[p] != 1) | (p < q))
+            p, q = p[ok], q[ok]
+            for j in range(0, len(p), 20000):
+                pj, qj = p[j : j + 20000], q[j : j + 20000]
+                ok = np.einsum("ij,ij->i", x[pj], x[qj]) >= threshold
+                pj, qj = pj[ok], qj[ok]
+                shared = (c[pj][:, :, None] == c[qj][:, None, :]).any(2)
+                ok = np.where(shared, c[pj], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == here  # alike from both ends
+                pj, qj = pj[ok], qj[ok]
+                np.add.at(n, pj, weight[qj])
+                np.add.at(n, qj, weight[pj])
+                while len(pj):  # joins the ends of each link
+                    rp, rq = find(root, pj), find(root, qj)
+                    if not (open_ := rp != rq).any():
+                        break
+                    pj, qj, rp, rq = pj[open_], qj[open_], rp[open_], rq[open_]
+                    np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
+        hit = np.nonzero(n)[0]
+        return (ids[hit], n[hit], ids[find(root, hit)]) if len(hit) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
-        def close() -> pd.DataFrame:
-            g = pd.concat(held, ignore_index=True)
-            side = g["side"].to_numpy()
-            a, b = np.nonzero(side <= 1)[0], np.nonzero(side >= 1)[0]  # 1: a tile against itself
-            ids, weight = g["rep"].to_numpy(np.int64), g["weight"].to_numpy(np.int64)
-            x = unit(np.stack(g["vec"].to_numpy()).astype(np.float64))
-            c = np.stack(g["codes"].to_numpy())
-            here = g["code"].iloc[0]
-            n = np.zeros(len(g), np.int64)
-            root = np.arange(len(g))
-            for i in range(0, len(a), 256):
-                ai = a[i : i + 256]
-                p, q = np.nonzero(x[ai] @ x[b].T >= threshold - 1e-9)
-                p, q = ai[p], b[q]
-                ok = (ids[p] != ids[q]) & ((side[p] != 1) | (p < q))
-                p, q = p[ok], q[ok]
-                for j in range(0, len(p), 20000):
-                    pj, qj = p[j : j + 20000], q[j : j + 20000]
-                    ok = np.einsum("ij,ij->i", x[pj], x[qj]) >= threshold
-                    pj, qj = pj[ok], qj[ok]
-                    shared = (c[pj][:, :, None] == c[qj][:, None, :]).any(2)
-                    ok = np.where(shared, c[pj], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == here  # alike from both ends
-                    pj, qj = pj[ok], qj[ok]
-                    np.add.at(n, pj, weight[qj])
-                    np.add.at(n, qj, weight[pj])
-                    while len(pj):  # joins the ends of each link
-                        rp, rq = find(root, pj), find(root, qj)
-                        if not (open_ := rp != rq).any():
-                            break
-                        pj, qj, rp, rq = pj[open_], qj[open_], rp[open_], rq[open_]
-                        np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
-            top = find(root, np.arange(len(g)))
-            hit = np.nonzero(n)[0]
-            return pd.DataFrame({"rep": ids[hit], "n": n[hit], "other": ids[top[hit]]})
-
-        for pdf in batches:
-            k = pdf["grp"].to_numpy()
-            at = [0, *(np.nonzero(k[1:] != k[:-1])[0] + 1).tolist(), len(k)]
-            for i, j in zip(at, at[1:], strict=False):
-                if i < j:
-                    if held and k[i] != key:
-                        if sum(map(len, held)) > 1:
-                            yield close()
-                        held = []
-                    key = k[i]
-                    held.append(pdf.iloc[i:j])
-        if held and sum(map(len, held)) > 1:
-            yield close()
+        def close() -> tuple[np.ndarray, ...] | None:
+            if sum(len(h[0]) for h in held) < 2:
+                return None
+            side, ids, weight, code, x, c = (h[0] if len(h) == 1 else np.concatenate(h) for h in zip(*held, strict=True))
+            return links(side, ids, weight, code[0], x, c)
+
+        def out(found: list) -> pa.RecordBatch:
+            cols = [np.concatenate(x) for x in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["rep", "n", "other"])
+
+        for batch in batches:
+            grp, side, ids, weight, code = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("grp", "side", "rep", "weight", "code"))
+            vec, codes_ = batch.column("vec"), batch.column("codes")
+            values, at = vec.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(vec.value_lengths().to_numpy())])
+            c = codes_.flatten().to_numpy(zero_copy_only=False).reshape(len(grp), -1)
+            found = []
+            cuts = [0, *(np.nonzero(grp[1:] != grp[:-1])[0] + 1).tolist(), len(grp)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and grp[i] != key:
+                    if (got := close()) is not None:
+                        found.append(got)
+                    held = []
+                key = grp[i]
+                held.append((side[i:j], ids[i:j], weight[i:j], code[i:j], values[at[i] : at[j]].reshape(j - i, -1), c[i:j]))
+            if found:
+                yield out(found)
+        if held and (got := close()) is not None:
+            yield out([got])
 
     return run
 
@@ -195,7 +212,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
     spread = spread.withColumn("mine", mine).withColumn("pair", F.explode(pairs))
     spread = spread.select(F.xxhash64("kind", "code", "pair.a", "pair.b").alias("grp"), F.col("pair.side").alias("side"), "rep", "weight", "code", "vec", "codes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    links = cut(spread.repartition(n, "grp").sortWithinPartitions("grp").mapInPandas(_verify(threshold), "rep long, n long, other long"))
+    links = cut(spread.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_verify(threshold), "rep long, n long, other long"))
     comp = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("n").alias("n"))
     g = groups.select("same", "rep", "low", "weight").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
