@@ -264,6 +264,16 @@ def test_compact_windows():
             assert hit == ([] if i <= 90 <= j else [i + int(np.argmin(h[i : j + 1]))])
 
 
+def test_passage_beside_a_shorter_run():
+    """A shared run just short of a passage doesn't hide a passage in the same interval."""
+    rng = np.random.default_rng(15)
+    run, passage, *fill = (words(rng, n).split() for n in (49, 50, 30, 30, 30, 30))
+    a = substrings.shingles(" ".join([*fill[0], *run, *fill[1], *passage]))
+    b = substrings.shingles(" ".join([*fill[2], *run, *fill[3], *passage[:25], "changed", *passage[26:]]))
+    found = substrings.matched(a, b, 46, 0.8)
+    assert [x[:2] for x in found] == [(109, 155)] and found[0][4] >= 0.8
+
+
 def test_quotes(spark):
     first = "The parser drops the last line.\nIs that on purpose?"
     second = "On Monday A wrote:\n> The parser drops the last line.\n> Is that on purpose?\n\nNo, it is a defect."

@@ -225,16 +225,17 @@ def matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list
         i, j = todo.pop()
         if j - i < least:
             continue
-        # the longest stretch whose share of shingles found in b is what this Jaccard needs; its ends are found ones
+        # the longest stretch whose share of shingles found in b is what this Jaccard needs, among those with found ends
         gain = np.concatenate([[0.0], np.cumsum(np.where(in_b[i:j], 1.0, -miss))])
-        low = np.minimum.accumulate(gain)
-        starts = np.searchsorted(-low, -gain, "left")
-        end = int(np.argmax(np.arange(len(gain)) - starts))
-        start = int(starts[end])
-        hits = np.nonzero(in_b[i + start : i + end])[0]
-        if end - start < least or not len(hits) or hits[-1] - hits[0] + 1 < least:
+        low = np.minimum.accumulate(np.where(in_b[i:j], gain[:-1], np.inf))
+        ends = np.nonzero(in_b[i:j])[0] + 1
+        if not len(ends):
+            continue
+        starts = np.searchsorted(-low, -gain[ends], "left")
+        k = int(np.argmax(ends - starts))
+        s, e = i + int(starts[k]), i + int(ends[k])
+        if e - s < least:
             continue
-        s, e = i + start + int(hits[0]), i + start + int(hits[-1]) + 1
         at = np.nonzero(np.isin(b, a[s:e]))[0]
         best = _densest(at, e - s)
         if best:
