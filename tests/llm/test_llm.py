@@ -274,6 +274,18 @@ def test_passage_beside_a_shorter_run():
     assert [x[:2] for x in found] == [(109, 155)] and found[0][4] >= 0.8
 
 
+@pytest.mark.parametrize(("n", "more"), [(60, 5), (70, 6), (80, 8), (90, 10), (96, 12)])
+def test_passage_with_an_insertion(n, more):
+    """Words inserted into one copy leave a near-duplicate, whichever document has them."""
+    rng = np.random.default_rng(n)
+    passage, extra, *fill = (words(rng, k).split() for k in (n, more, 30, 30, 30, 30))
+    a = substrings.shingles(" ".join([*fill[0], *passage, *fill[1]]))
+    b = substrings.shingles(" ".join([*fill[2], *passage[: n // 2], *extra, *passage[n // 2 :], *fill[3]]))
+    for x, y, places in ((a, b, (30, 30 + n - 4, 30, 30 + n + more - 4)), (b, a, (30, 30 + n + more - 4, 30, 30 + n - 4))):
+        found = substrings.matched(x, y, 46, 0.8)
+        assert [f[:4] for f in found] == [places] and found[0][4] >= 0.8
+
+
 def test_quotes(spark):
     first = "The parser drops the last line.\nIs that on purpose?"
     second = "On Monday A wrote:\n> The parser drops the last line.\n> Is that on purpose?\n\nNo, it is a defect."

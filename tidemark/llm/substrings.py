@@ -216,39 +216,62 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cid": pdf["cid"], "side": pdf["side"], "doc": pdf["doc"], "lo": pdf["lo"], "part": out})
 
 
+def _longest(hit: np.ndarray, share: float) -> tuple[int, int]:
+    """The longest stretch that begins and ends with a hit and has at least this share of hits."""
+    ends = np.nonzero(hit)[0] + 1
+    if not len(ends):
+        return 0, 0
+    gain = np.concatenate([[0.0], np.cumsum(np.where(hit, 1.0, -share / (1 - share)))])
+    low = np.minimum.accumulate(np.where(hit, gain[:-1], np.inf))
+    starts = np.searchsorted(-low, -gain[ends] - 1e-9, "left")
+    k = int(np.argmax(ends - starts))
+    return int(starts[k]), int(ends[k])
+
+
 def matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """Stretches of a and b (start, end, start, end, Jaccard) of least shingles that agree in similarity at least."""
+    """Stretches of a and b (start, end, start, end, Jaccard) of least shingles that agree in similarity at least.
+
+    Stretches of a are looked up in b, then those of b in a; the second adds what lies on a new place of either side.
+    """
+    out = _matched(a, b, least, similarity)
+    for s, e, s2, e2, jac in _matched(b, a, least, similarity):
+        if e2 - s2 >= least and not any(x <= s2 and e2 <= y and x2 <= s and e <= y2 for x, y, x2, y2, _ in out):
+            out.append((s2, e2, s, e, jac))
+    return out
+
+
+def _matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     out, todo = [], [(0, len(a))]
     in_b = np.isin(a, b)
-    miss = 2 * similarity / (1 - similarity)  # a stretch with no loss has the containment that this Jaccard needs
+    # the containment that this Jaccard needs where both sides lose alike, and the least it allows where one side does
+    shares = [2 * similarity / (1 + similarity), similarity]
     while todo:
         i, j = todo.pop()
         if j - i < least:
             continue
-        # the longest stretch whose share of shingles found in b is what this Jaccard needs, among those with found ends
-        gain = np.concatenate([[0.0], np.cumsum(np.where(in_b[i:j], 1.0, -miss))])
-        low = np.minimum.accumulate(np.where(in_b[i:j], gain[:-1], np.inf))
-        ends = np.nonzero(in_b[i:j])[0] + 1
-        if not len(ends):
-            continue
-        starts = np.searchsorted(-low, -gain[ends], "left")
-        k = int(np.argmax(ends - starts))
-        s, e = i + int(starts[k]), i + int(ends[k])
-        if e - s < least:
-            continue
-        at = np.nonzero(np.isin(b, a[s:e]))[0]
-        best = _densest(at, e - s)
-        if best:
+        failed = None
+        for share in shares:
+            s, e = (i + x for x in _longest(in_b[i:j], share))
+            if e - s < least:
+                continue
+            best = _densest(np.nonzero(np.isin(b, a[s:e]))[0], e - s)
             x, y = np.unique(a[s:e]), np.unique(b[best[0] : best[1]])
             both = len(np.intersect1d(x, y, assume_unique=True))
             jac = both / (len(x) + len(y) - both)
             if jac >= similarity:
                 out.append((s, e, *best, jac))
-            elif not in_b[s:e].all():  # its longest unbroken run still may
+                todo += [(i, s), (e, j)]
+                break
+            failed = failed or (s, e)
+        else:
+            if failed is None:
+                continue
+            s, e = failed
+            if not in_b[s:e].all():  # its longest unbroken run still may
                 stops = np.concatenate([[s - 1], s + np.nonzero(~in_b[s:e])[0], [e]])
                 k = int(np.argmax(np.diff(stops)))
                 todo += [(s, int(stops[k]) + 1), (int(stops[k]) + 1, int(stops[k + 1])), (int(stops[k + 1]), e)]
-        todo += [(i, s), (e, j)]
+            todo += [(i, s), (e, j)]
     return out
 
 
