@@ -286,6 +286,35 @@ def test_passage_with_an_insertion(n, more):
         assert [f[:4] for f in found] == [places] and found[0][4] >= 0.8
 
 
+def test_copies_behind_a_variant(spark):
+    """Exact copies are found though variants that neither is near to come before them in every group."""
+    rng = np.random.default_rng(16)
+    rows, pairs = [], []
+    for k in range(40):
+        passage = words(rng, 60).split()
+        for v in range(3):
+            other = list(passage)
+            for at in (12, 30, 47):
+                other[at + v] = "changed" + str(v)
+            rows.append((10 * k + v, " ".join([*words(rng, 30).split(), *other, *words(rng, 30).split()]), "a"))
+        for v in (5, 6):
+            rows.append((10 * k + v, " ".join([words(rng, 30), *passage, words(rng, 30)]), "a"))
+        pairs.append((10 * k + 5, 10 * k + 6))
+    got = substrings.repeated_passages(docs(spark, rows).repartition(16)).collect()
+    cls = {x: r.class_id for r in got for x in (r.doc_id, r.other_id)}
+    assert sum(a in cls and cls[a] == cls.get(b) for a, b in pairs) == len(pairs)
+
+
+def test_window_tiles(spark, monkeypatch):
+    """A minimum cut into many tiles loses no link."""
+    monkeypatch.setattr(substrings, "TILE", 5)
+    rng = np.random.default_rng(17)
+    passage = words(rng, 60)
+    rows = [(i, " ".join([words(rng, 30), passage, words(rng, 30)]), "a") for i in range(24)]
+    got = substrings.repeated_passages(docs(spark, rows)).collect()
+    assert {r.class_id for r in got} == {0} and {x for r in got for x in (r.doc_id, r.other_id)} == set(range(24))
+
+
 def test_quotes(spark):
     first = "The parser drops the last line.\nIs that on purpose?"
     second = "On Monday A wrote:\n> The parser drops the last line.\n> Is that on purpose?\n\nNo, it is a defect."

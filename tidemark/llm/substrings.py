@@ -6,9 +6,12 @@ equal minima stand for all pairs of subsequences that share the signature.  Only
 are made: their centres are the minima of some span of that width, found by a sliding minimum and a sliding maximum over
 it, and their ends by a stack over those centres alone.
 
-Windows with equal minima are linked to the first of their batch, and the firsts to the first of all (a star, never all
-pairs).  The links of two documents are joined where their intervals overlap on about the same diagonal; where enough
-hashes agree, the intervals are cut from the texts and verified by the Jaccard similarity of their shingles.
+A window's context is the shingles that a shortest passage around its centre can reach.  Windows with equal minima and
+equal contexts are linked to the first of them; those that stand for different contexts are compared with each other, in
+pairs of tiles where a minimum is common.  Two are linked if their contexts hold near-duplicate passages, unless earlier
+links of the pair of tiles join them already, so links grow with the windows.  The links of two documents are joined
+where their intervals overlap on about the same diagonal; the intervals are cut from the texts and verified by the
+Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -23,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, text_batches
+from .embeddings import find
 
 SHINGLE = 5
 #: Words in the shortest passage.
 PASSAGE = 50
 HASHES = 5
-#: Hashes that must agree before a pair of intervals is verified.
-AGREE = 2
+#: Hashes that must link a pair of intervals before it is verified; their contexts were compared already.
+AGREE = 1
 SIMILARITY = 0.8
 #: Shift, in words, up to which links count as of one diagonal.
 SHIFT = 12
+#: Windows of one minimum in a tile, and buckets that a context's shingles are counted in before they are compared.
+TILE, BUCKETS = 2000, 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,36 +97,36 @@ def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return l[ok], at[ok], r[ok]
 
 
+def _contexts(base: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of base[lo:hi] as seen from c: equal where the shingles and their distances from c are."""
+    odd = int(_MIX)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), odd, np.uint64)]))
+    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), pow(odd, -1, 1 << 64), np.uint64)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(base * power[:-1], dtype=np.uint64)])
+    return mix((total[hi] - total[lo]) * back[c])
+
+
 def _windows(width: int, hashes: int):
-    cols = ["grp", "hid", "doc", "l", "c", "r", "odoc", "ol", "oc", "orr"]
+    cols = ["grp", "ctx", "hid", "doc", "l", "c", "r"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.sort_values("doc", kind="stable")
             arrays = [shingles(t) for t in pdf["text"]]
             docs = pdf["doc"].to_numpy(np.int64)
             parts = [x for a in arrays for x in (a, np.zeros(1, np.uint64))]
             if not parts:
                 continue
             base = np.concatenate(parts)
-            starts = np.concatenate([[0], np.cumsum([len(a) + 1 for a in arrays])[:-1]])
+            sizes = np.array([len(a) for a in arrays])
+            starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
             found = []
             for k in range(hashes):
                 h = np.where(base == 0, np.uint64(0), mix(base + np.uint64((k + 1) * int(_MIX) % (1 << 64))) | np.uint64(1))
                 l, c, r = compact_windows(h, width)  # noqa: E741
                 d = np.searchsorted(starts, c, "right") - 1
-                found.append(np.stack([h[c].view(np.int64), np.full(len(c), k), docs[d], l - starts[d], c - starts[d], r - starts[d]], 1))
-            w = np.concatenate(found)
-            w = w[np.lexsort((w[:, 3], w[:, 2], w[:, 0]))]
-            first = np.concatenate([[True], w[1:, 0] != w[:-1, 0]]) if len(w) else np.zeros(0, bool)
-            head = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
-            link = ~first & (w[:, 2] != w[head, 2])
-            other = np.where(link[:, None], w[head][:, 2:], -1)
-            keep = first | link
-            out = pd.DataFrame(np.concatenate([w, other], 1)[keep], columns=cols)
-            out["is_link"] = link[keep]
-            out["grp"] = np.where(out["is_link"], mix(out["doc"].to_numpy(np.int64).view(np.uint64) ^ out["grp"].to_numpy(np.int64).view(np.uint64)).view(np.int64), out["grp"])
-            yield out
+                ctx = _contexts(base, c, np.maximum(starts[d], c - width + 1), np.minimum(starts[d] + sizes[d], c + width))
+                found.append(np.stack([h[c].view(np.int64), ctx.view(np.int64), np.full(len(c), k), docs[d], l - starts[d], c - starts[d], r - starts[d]], 1))
+            yield pd.DataFrame(np.concatenate(found), columns=cols)
 
     return run
 
@@ -148,28 +154,148 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 
 
 def _batch(rows: np.ndarray, columns: tuple[str, ...]) -> pa.RecordBatch:
-    types = [pa.int64() if c in ("doc", "odoc") else pa.int32() for c in columns]
+    types = [pa.int64() if c in ("grp", "doc", "odoc") else pa.int32() for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()).cast(t) for i, t in enumerate(types)], names=list(columns))
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by group and document: links every first of a batch to the first of all, and passes links on."""
-    last = None
-    for block in _blocks(batches, ("is_link", "grp", *LINK)):
-        passed = block[:, 0] == 1
-        w = block[~passed][:, 1:7]  # grp, hid, doc, l, c, r
-        if last is not None:
-            w = np.concatenate([last[None], w])
-        out = [block[passed][:, 2:]]
-        if len(w):
-            first = np.concatenate([[True], w[1:, 0] != w[:-1, 0]])
-            head = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
-            link = ~first & (w[:, 2] != w[head, 2])
-            out.append(np.concatenate([w[link][:, 1:], w[head[link]][:, 2:]], 1))
-            last = w[head[-1]]
+FIRST = ("grp", *LINK, "tiles")
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by group, context and document: links to the first of a context, and the firsts of groups with several.
+
+    A row with tiles 0 is a link; else it is a first, with the number of its group's tiles and its own in odoc.
+    """
+    held = np.zeros((0, 7), np.int64)
+
+    def close(w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        grp, ctx = w[:, 0], w[:, 1]
+        new = np.concatenate([[True], (grp[1:] != grp[:-1]) | (ctx[1:] != ctx[:-1])])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        link = ~new & (w[:, 3] != w[head, 3])
+        n = int(link.sum())
+        out = [np.concatenate([w[link][:, [0, *range(2, 7)]], w[head[link]][:, 3:], np.zeros((n, 1), np.int64)], 1)]
+        f = w[new]
+        g = np.concatenate([[0], np.nonzero(f[1:, 0] != f[:-1, 0])[0] + 1])
+        size = np.diff(np.concatenate([g, [len(f)]]))
+        several = np.minimum.reduceat(f[:, 3], g) != np.maximum.reduceat(f[:, 3], g)
+        place = np.arange(len(f)) - np.repeat(g, size)
+        tiles = np.repeat(np.where(several, -(-size // TILE), 0), size)
+        f, place, tiles = f[tiles > 0], place[tiles > 0], tiles[tiles > 0]
+        none = np.zeros((len(f), 3), np.int64)
+        out.append(np.concatenate([f[:, [0, *range(2, 7)]], (place % np.maximum(tiles, 1))[:, None], none, tiles[:, None]], 1))
         rows = np.concatenate(out)
         if len(rows):
-            yield _batch(rows, LINK)
+            yield _batch(rows, FIRST)
+
+    for block in _blocks(batches, ("grp", "ctx", "hid", "doc", "l", "c", "r")):
+        w = np.concatenate([held, block])
+        last = int(np.searchsorted(w[:, 0], w[-1, 0], "left"))
+        held = w[last:]
+        if last:
+            yield from close(w[:last])
+    if len(held):
+        yield from close(held)
+
+
+def _around(width: int):
+    """A document's firsts with the shingles around their centres, as 16-bit hashes (0 past the text's ends)."""
+    span = 2 * width - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, doc, firsts in zip(pdf["text"], pdf["doc"], pdf["firsts"], strict=True):
+                a = (shingles(t) >> np.uint64(48)).astype("<u2") | np.uint16(1)
+                pad = np.concatenate([np.zeros(width - 1, "<u2"), a, np.zeros(width, "<u2")])
+                rows = pd.DataFrame([tuple(f.values()) if isinstance(f, dict) else tuple(f) for f in firsts], columns=["grp", "hid", "l", "c", "r", "mine", "tiles"])
+                rows = rows[rows["c"] < len(a)]  # where an id is repeated, its other text may be shorter
+                rows["doc"] = doc
+                rows["part"] = [pad[c : c + span].tobytes() for c in rows["c"]]
+                yield rows
+
+    return run
+
+
+def _share(hit: np.ndarray, least: int) -> np.ndarray:
+    """The greatest share of hits in any stretch of least columns or more, by row."""
+    total = np.concatenate([np.zeros((len(hit), 1), np.int16), np.cumsum(hit, 1, dtype=np.int16)], 1)
+    best = np.zeros(len(hit), np.float32)
+    for n in range(least, min(2 * least, hit.shape[1] + 1)):  # a longer stretch has one of these with as great a share
+        best = np.maximum(best, (total[:, n:] - total[:, :-n]).max(1) / np.float32(n))
+    return best
+
+
+def _possible(x: np.ndarray, others: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Which others can hold a passage near one of x: the shares found of both sides bound the Jaccard similarity."""
+    out, short = [], int(similarity * least)
+    for i in range(0, len(others), 256):
+        o = others[i : i + 256]
+        same = (o[:, :, None] == x[None, None, :]) & (x > 0)
+        a, b = _share(same.any(1), short), _share(same.any(2), short)
+        out.append(1 / np.maximum(a, 1e-3) + 1 / np.maximum(b, 1e-3) <= 1 + 1 / similarity + 1e-3)
+    return np.concatenate(out)
+
+
+def _tile_links(side: np.ndarray, w: np.ndarray, x: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
+    """Links (LINK's columns) that join the windows of a pair of tiles whose contexts hold near-duplicate passages."""
+    order = np.lexsort((w[:, 3], w[:, 2], w[:, 1]))
+    side, w, x = side[order], w[order], x[order]
+    counts = np.zeros((len(w), BUCKETS), np.float32)
+    at, col = np.nonzero(x)
+    counts[at, mix(x[at, col].astype(np.uint64)) % np.uint64(BUCKETS)] = 1
+    enough = similarity * least - 3  # shared shingles, less some that fall into one bucket
+    root, out = np.arange(len(w)), []
+    for i in range(0, len(w), 256):
+        shared = counts[i : i + 256] @ counts.T
+        for p in range(i, min(i + 256, len(w))):
+            later = np.nonzero(shared[p - i] >= enough)[0]
+            later = later[(later > p) & (w[later, 1] != w[p, 1]) & ((side[p] == 1) | (side[later] != side[p]))]
+            if len(later):
+                later = later[find(root, later) != find(root, np.array([p]))[0]]
+            if len(later):
+                later = later[_possible(x[p], x[later], least, similarity)]
+            while len(later):
+                later = later[find(root, later) != find(root, np.array([p]))[0]]
+                if not len(later):
+                    break
+                q, later = int(later[0]), later[1:]
+                if matched(x[q][x[q] > 0], x[p][x[p] > 0], least, similarity):
+                    out.append(np.concatenate([w[q], w[p, 1:]]))
+                    a, b = find(root, np.array([p, q]))
+                    root[max(a, b)] = min(a, b)
+    return out
+
+
+def _tiles(least: int, similarity: float):
+    """Sorted by pair of tiles: its links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> list[np.ndarray]:
+            w, parts = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _tile_links(w[:, 0], w[:, 1:], parts, least, similarity) if len(w) > 1 else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp = batch.column("pair").to_numpy()
+            w = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in ("side", *LINK[:5])], 1)
+            parts = np.frombuffer(b"".join(batch.column("part").to_pylist()), "<u2").reshape(len(w), -1)
+            cuts = [0, *(np.nonzero(grp[1:] != grp[:-1])[0] + 1).tolist(), len(grp)]
+            out = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and grp[i] != key:
+                    out += close()
+                    held = []
+                key = grp[i]
+                held.append((w[i:j], parts[i:j]))
+            if out:
+                yield _batch(np.array(out), LINK)
+        if held and (out := close()):
+            yield _batch(np.array(out), LINK)
+
+    return run
 
 
 def _joined(agree: int):
@@ -317,8 +443,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text_batches(spark)
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ints = "hid int, doc long, l int, c int, r int, odoc long, ol int, oc int, orr int"
-    made = d.mapInPandas(_windows(width, hashes), f"grp long, {ints}, is_link boolean")
-    links = cut(made.repartition(n, "grp").sortWithinPartitions("grp", "doc", "l").mapInArrow(_star, ints))
+    made = d.mapInPandas(_windows(width, hashes), "grp long, ctx long, hid int, doc long, l int, c int, r int")
+    firsts = cut(made.repartition(n, "grp").sortWithinPartitions("grp", "ctx", "doc", "l").mapInArrow(_firsts, f"grp long, {ints}, tiles int"))
+    equal = firsts.where("tiles = 0").select(*LINK)
+    asked = firsts.where("tiles > 0").groupBy("doc").agg(F.collect_list(F.struct("grp", "hid", "l", "c", "r", F.col("odoc").alias("mine"), "tiles")).alias("firsts"))
+    around = asked.join(d, "doc").mapInPandas(_around(width), "grp long, hid int, l int, c int, r int, mine long, tiles int, doc long, part binary")
+    # every window of a minimum with t tiles goes to the t pairs of tiles that hold its own
+    mine = F.col("mine")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b"), F.when(o == mine, 1).when(mine < o, 0).otherwise(2).alias("side")))
+    spread = around.withColumn("t", F.explode(pairs)).select(F.xxhash64("grp", "t.a", "t.b").alias("pair"), F.col("t.side").alias("side"), *LINK[:5], "part")
+    near = spread.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_tiles(width, similarity), ints)
+    links = cut(equal.unionByName(near))
     pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc").mapInArrow(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int")
     asked = cut(pairs.withColumn("cid", F.monotonically_increasing_id()))
     both = asked.select("cid", F.lit(0).alias("side"), "doc", "lo", "hi").unionByName(asked.select("cid", F.lit(1).alias("side"), F.col("odoc").alias("doc"), F.col("olo").alias("lo"), F.col("ohi").alias("hi")))
