@@ -247,3 +247,12 @@ def test_streaming_append(spark, tmp_path):
         s = spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in"))
         incremental.append_batches(s, str(tmp_path / "out"), str(tmp_path / f"cp{_}"), ["k"]).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_balanced_select_reads_every_review(spark, monkeypatch):
+    from tidemark.plans import facts
+    from tidemark.plans import sampling as plans
+
+    sf = "/root/testdata/sf0.01"  # the smallest has no more products
+    monkeypatch.setattr(plans.sampling, "balanced_select", lambda pool, *_: pool)
+    assert plans.smp_08(spark, sf).count() == facts.reviews(spark, sf).select("order_id", "line_no").distinct().count()

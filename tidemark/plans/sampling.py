@@ -58,13 +58,18 @@ POOL = f"""{REVIEWS_SQL}, pool AS (SELECT order_id * 10 + line_no AS k, product,
  CASE WHEN rating <= 2 THEN 'low_1_2' WHEN rating = 3 THEN 'middle_3' ELSE 'high_4_5' END AS rs FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_no ORDER BY part, product, ts, price) AS q FROM reviews) WHERE q = 1 AND product <= 9)"""
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.audits import first_of_key
 
-    r = first_of_key(reviews(spark, sf_dir), ["order_id", "line_no"], [F.col(c) for c in ("part", "product", "ts", "price")]).where("product <= 9")
+    r = first_of_key(reviews(spark, sf_dir), ["order_id", "line_no"], [F.col(c) for c in ("part", "product", "ts", "price")])
     return r.select((F.col("order_id") * 10 + F.col("line_no")).alias("k"), "product", "device", sampling.assign_bucket(F.col("fp"), F.col("rating") <= 2, F.col("pers") >= 1.2).alias("bucket"), rating_stratum(F.col("rating")).alias("rs"))
 
 
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products that POOL keeps."""
+    return _every(spark, sf_dir).where("product <= 9")
+
+
 @query("smp_05_buckets", f"WITH {POOL} SELECT bucket, rs, count(*) AS n FROM pool GROUP BY 1, 2")
 def smp_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir).groupBy("bucket", "rs").agg(F.count("*").alias("n"))
@@ -100,7 +105,7 @@ def smp_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("smp_08_balanced_select")
 def smp_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pool(spark, sf_dir)
+    p = _every(spark, sf_dir)
     time = F.element_at(F.array(*map(F.lit, sampling.TIME_SHARES)), (F.col("k") % 3).cast("int") + 1)
     pool = p.select("device", F.col("k").alias("duplicate_key"), F.col("product").cast("string").alias("parent_asin"), (F.col("bucket") != "diversity_control").alias("keyword_candidate_hit"), F.col("rs").alias("rating_stratum"), time.alias("time_stratum"))
     return sampling.balanced_select(pool, 60, SEED, "select", "device")
