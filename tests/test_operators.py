@@ -256,3 +256,15 @@ def test_balanced_select_reads_every_review(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"  # the smallest has no more products
     monkeypatch.setattr(plans.sampling, "balanced_select", lambda pool, *_: pool)
     assert plans.smp_08(spark, sf).count() == facts.reviews(spark, sf).select("order_id", "line_no").distinct().count()
+
+
+def test_schema_comparison_reads_every_line_once(spark, monkeypatch):
+    from tidemark.plans import scanning
+
+    sides = []
+    monkeypatch.setattr(scanning.jsonl, "field_profile", lambda lines, _: sides.append(lines.select("event_id")) or lines)
+    monkeypatch.setattr(scanning.jsonl, "compare_profiles", lambda one, two: one)
+    sf = "/root/testdata/sf0.001"
+    scanning.agg_20(spark, sf)
+    have = sorted(r.event_id for side in sides for r in side.collect())
+    assert have == sorted(r.event_id for r in scanning._lines(spark, sf).select("event_id").collect())
