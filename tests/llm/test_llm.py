@@ -129,9 +129,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     rng = np.random.default_rng(4)
-    hard = ["a  b", "a \n \nb", " x ", "a  b", "it's  'll x", "<|endoftext|> hi", "é 😀😀 b", "\t \t a", "   ", "x \n", "　 　 　x"]
+    hard = ["a  b", "a \n \nb", " x ", "a  b", "it's  'll x", "<|endoftext|> hi", "a <|endoftext|><|endoftext|>  b <|endoftext", "<|endoftext|>", "é 😀😀 b", "\t \t a", "   ", "x \n", "　 　 　x"]
     rows = [(i, words(rng, int(rng.integers(0, 900))), "a") for i in range(40)] + [(100 + i, x, "a") for i, x in enumerate(hard)] + [(10_001, None, "a"), (10_002, "", "a"), (10_003, "x " * 50_000, "a")]
     got = packing.pack(docs(spark, rows).coalesce(2), TOKENIZER).toPandas()
     want = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x, _ in rows}
@@ -147,16 +147,33 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), TOKENIZER).count() == 0
 
 
-def test_packing_limits():
+@pytest.mark.parametrize(("segments", "loss"), [(3, 60), (100, 60), (3, 100), (1, 1), (2, 7)])
+def test_packing_limits(segments, loss):
     out = []
-    p = packing.Packer(out.append, 100, 3, 60)
+    p = packing.Packer(out.append, 100, segments, loss)
     rng = np.random.default_rng(5)
-    items = [(i, int(n), int(rng.integers(0, n + 1))) for i, n in enumerate(rng.integers(1, 100, 300))]
-    for i, n, loss in items:
-        p.add(i, 0, n, loss)
+    items = [(i, int(n), int(rng.integers(0, n + 1)) if i % 3 else 0) for i, n in enumerate(rng.integers(1, 100, 300))]
+    bears = {i: b for i, _, b in items}
+    for i, n, b in items:
+        p.add(i, 0, n, b)
     p.finish()
-    assert all(len(s) <= 3 and sum(x[2] for x in s) <= 100 for s in out)
-    assert sum(x[2] for s in out for x in s) == sum(n for _, n, _ in items)
+    borne = lambda i, start, n: sum(bears[i] <= x < 100 for x in range(start, start + n))
+    assert all(len(s) <= segments and sum(x[2] for x in s) <= 100 and sum(borne(*x) for x in s) <= loss for s in out)
+    pieces = sorted(x for s in out for x in s)
+    for i, n, _ in items:
+        mine = [(start, length) for j, start, length in pieces if j == i]
+        assert [start for start, _ in mine] == [0, *np.cumsum([length for _, length in mine])[:-1]] and sum(length for _, length in mine) == n
+
+
+def test_packing_prompts(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i % 90, words(rng, int(rng.integers(0, 300))), None if i % 5 == 0 else int(rng.integers(0, 400)), "x") for i in range(120)] + [(None, "y " * 9000, 30, "x"), (None, "y " * 9000, 30, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, prompt int, bears string")
+    got = packing.pack(d, TOKENIZER, segments=6, loss=700, prompt_col="prompt").toPandas()
+    by = got.groupby("sequence_id").agg(n=("length", "sum"), loss=("loss_tokens", "sum"), k=("length", "size"))
+    assert by.n.max() <= 2048 and by.loss.max() <= 700 and by.k.max() <= 6
+    want = sum(r.doc_tokens - min(max(r.prompt or 0, 0), r.doc_tokens) for r in spark.createDataFrame([(len(packing.byte_bpe(TOKENIZER)(t)) + 1, p) for _, t, p, _ in rows], "doc_tokens int, prompt int").collect())
+    assert got.loss_tokens.sum() == want
 
 
 def unit_rows(rng, n, d=16):
