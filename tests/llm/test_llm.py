@@ -425,3 +425,46 @@ def test_pipeline(spark, tmp_path):
     assert outs[4].groupby("doc_id").length.sum().sum() == sum(len(packing.byte_bpe(TOKENIZER)(t)) + 1 for t in outs[3].text)
     whole = pipeline.run(spark, str(tmp_path))
     assert whole.count() > 0 and whole.columns == list(outs[4].columns)
+
+
+def near_copies(rng, bases=20, copies=9, n=60):
+    """Bases of n words, each with copies in which one word is another, under ids in any order."""
+    texts = []
+    for _ in range(bases):
+        base = words(rng, n).split()
+        texts.append(" ".join(base))
+        for at in rng.choice(n, copies, replace=False):
+            texts.append(" ".join([*base[:at], "changed" + str(rng.integers(10**6)), *base[at + 1 :]]))
+    return [(int(i), t, "a") for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+
+
+def test_substrings_near_copies_brute_force(spark):
+    for seed in (31, 32):
+        rows = near_copies(np.random.default_rng(seed))
+        sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t, _ in rows}  # noqa: B905
+        want = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        got = substrings.repeated_passages(docs(spark, rows)).toPandas()
+        cls = dict(zip(got.doc_id, got.class_id, strict=True)) | dict(zip(got.other_id, got.class_id, strict=True))
+        assert len(want) >= 180 and sum(a in cls and cls[a] == cls.get(b) for a, b in want) >= 0.99 * len(want)
+        assert (got.similarity >= 0.8).all()
+
+
+def test_substrings_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(33)
+    shared = [words(rng, 70) for _ in range(4)]
+    rows = near_copies(rng, 6, 4) + [(1000 + i, f"{words(rng, 30)} {shared[i % 4]} {words(rng, 40)}", "a") for i in range(60)] + [(5000, words(rng, 40_000) + " " + shared[0], "a"), *EDGE]
+    read = lambda: sorted(map(tuple, substrings.repeated_passages(docs(spark, rows)).collect()))
+    one = read()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        two = read()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == two and {1000 + i for i in range(60)} | {5000} <= {x for r in one for x in (r[0], r[3])}
+
+
+def test_components_with_hubs(spark):
+    rng = np.random.default_rng(34)
+    edges = [(5, 10_000 + i) for i in range(3000)] + [(20_000 + i, 9) for i in range(2500)] + [(12_000, 21_000)] + [(int(a), int(b)) for a, b in rng.integers(30_000, 31_000, (400, 2))]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[x] == 5 for a, b in edges for x in (a, b) if x < 30_000)

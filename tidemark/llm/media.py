@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 
 # fixed values: formats with their magic bytes and where in the file those begin
 MAGIC: dict[str, list[tuple[bytes, int]]] = {
@@ -259,7 +258,6 @@ def inspect(df: DataFrame, bytes_col: str, declared_col: str | None = None, carv
     Columns of those names are replaced.  Null bytes: media_type null, no embedded, mismatch false.  Null declared type:
     never a mismatch.  Repeated rows are handled alike; an empty table gives no rows.
     """
-    text_batches(df.sparkSession, "200")
     df = df.drop("media_type", "embedded", "mismatch")
     piece = "struct<kind:string,start:long,length:long" + (",content:binary>" if carve else ">")
 
@@ -288,7 +286,6 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text: an empty one.  feature names the stored type, then every piece of media carved from the payload as
     kind:start:length.  Equal texts give equal values; an empty table gives no rows; other columns are not looked at.
     """
-    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
 

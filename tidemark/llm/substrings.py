@@ -6,12 +6,13 @@ equal minima stand for all pairs of subsequences that share the signature.  Only
 are made: their centres are the minima of some span of that width, found by a sliding minimum and a sliding maximum over
 it, and their ends by a stack over those centres alone.
 
-A window's context is the shingles that a shortest passage around its centre can reach.  Windows with equal minima and
-equal contexts are linked to the first of them; those that stand for different contexts are compared with each other, in
-pairs of tiles where a minimum is common.  Two are linked if their contexts hold near-duplicate passages, unless earlier
-links of the pair of tiles join them already, so links grow with the windows.  The links of two documents are joined
-where their intervals overlap on about the same diagonal; the intervals are cut from the texts and verified by the
-Jaccard similarity of their shingles.
+A window's context is the shingles that a shortest passage around its centre can reach.  Of the windows with equal
+minima, those that share a whole passage word by word at the same distance from their centres (or their whole context)
+are linked to the first that has it.  All others of the minimum are compared with each other, in pairs of tiles: first
+those that share a passage word by word at any distance are linked, then those whose contexts hold near-duplicate
+passages, unless earlier links of the pair of tiles join them already, so links grow with the windows.  The links of two
+documents are joined where their intervals overlap on about the same diagonal; the intervals are cut from the texts and
+verified by the Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, text_batches
+from .common import HUB_LEAST, HUB_SHARE, connected_components, cut, drop_cut, text_blocks
 from .embeddings import find
 
 SHINGLE = 5
@@ -39,6 +40,8 @@ SIMILARITY = 0.8
 SHIFT = 12
 #: Windows of one minimum in a tile, and buckets that a context's shingles are counted in before they are compared.
 TILE, BUCKETS = 2000, 512
+#: Shingles before the centre at which the passages begin that windows are linked by at first, in parts of a passage.
+STARTS = (1 / 6, 1 / 2, 5 / 6)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,36 +100,55 @@ def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return l[ok], at[ok], r[ok]
 
 
-def _contexts(base: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of base[lo:hi] as seen from c: equal where the shingles and their distances from c are."""
-    odd = int(_MIX)
-    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), odd, np.uint64)]))
-    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), pow(odd, -1, 1 << 64), np.uint64)]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(base * power[:-1], dtype=np.uint64)])
-    return mix((total[hi] - total[lo]) * back[c])
+class _Runs:
+    """Hashes of stretches base[lo:hi] as seen from c: equal where the shingles and their distances from c are."""
+
+    def __init__(self, base: np.ndarray):
+        odd = int(_MIX)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), odd, np.uint64)]))
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), pow(odd, -1, 1 << 64), np.uint64)]))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(base * power[:-1], dtype=np.uint64)])
+
+    def __call__(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((self.total[hi] - self.total[lo]) * self.back[c]) >> np.uint64(32) | np.uint64(1)
+
+
+#: A window: its minimum, document, l and c, r and hash function, and two pairs of keys, of the context and of runs.
+WINDOW = ("grp", "doc", "lc", "rh", "ab", "cd")
+LOW = (1 << 32) - 1
 
 
 def _windows(width: int, hashes: int):
-    cols = ["grp", "ctx", "hid", "doc", "l", "c", "r"]
+    back = [int(x * width) for x in STARTS]
+
+    def block(texts: list[str | None], docs: np.ndarray) -> np.ndarray:
+        arrays = [shingles(t) for t in texts]
+        base = np.concatenate([x for a in arrays for x in (a, np.zeros(1, np.uint64))])
+        sizes = np.array([len(a) for a in arrays])
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        runs, found = _Runs(base), []
+        for k in range(hashes):
+            h = np.where(base == 0, np.uint64(0), mix(base + np.uint64((k + 1) * int(_MIX) % (1 << 64))) | np.uint64(1))
+            l, c, r = compact_windows(h, width)  # noqa: E741
+            d = np.searchsorted(starts, c, "right") - 1
+            first, end = starts[d], starts[d] + sizes[d]
+            keys = [runs(c, np.maximum(first, c - width + 1), np.minimum(end, c + width))]
+            for i in back:
+                whole = (c - i >= first) & (c - i + width <= end)
+                keys.append(np.where(whole, runs(c, np.maximum(c - i, 0), np.minimum(c - i + width, len(base))), np.uint64(0)))
+            up = np.uint64(32)
+            place = (l - first).astype(np.uint64) << up | (c - first).astype(np.uint64)
+            right = (r - first).astype(np.uint64) << np.uint64(8) | np.uint64(k)
+            longs = [h[c], docs[d].astype(np.int64).view(np.uint64), place, right, keys[0] << up | keys[1], keys[2] << up | keys[3]]
+            found.append(np.stack(longs, 1).view(np.int64))
+        return np.concatenate(found)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            arrays = [shingles(t) for t in pdf["text"]]
-            docs = pdf["doc"].to_numpy(np.int64)
-            parts = [x for a in arrays for x in (a, np.zeros(1, np.uint64))]
-            if not parts:
-                continue
-            base = np.concatenate(parts)
-            sizes = np.array([len(a) for a in arrays])
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-            found = []
-            for k in range(hashes):
-                h = np.where(base == 0, np.uint64(0), mix(base + np.uint64((k + 1) * int(_MIX) % (1 << 64))) | np.uint64(1))
-                l, c, r = compact_windows(h, width)  # noqa: E741
-                d = np.searchsorted(starts, c, "right") - 1
-                ctx = _contexts(base, c, np.maximum(starts[d], c - width + 1), np.minimum(starts[d] + sizes[d], c + width))
-                found.append(np.stack([h[c].view(np.int64), ctx.view(np.int64), np.full(len(c), k), docs[d], l - starts[d], c - starts[d], r - starts[d]], 1))
-            yield pd.DataFrame(np.concatenate(found), columns=cols)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for part in text_blocks(texts):
+                w = block(texts[part], docs[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, i])) for i in range(len(WINDOW))], names=list(WINDOW))
 
     return run
 
@@ -153,50 +175,82 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield joined(held)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[np.ndarray, bool]]:
+    """Rows sorted by their first column, in whole groups; of a group over BLOCK rows pieces of BLOCK rows, True while more come.
+
+    What is yielded does not depend on how the rows came in batches.
+    """
+    held = np.zeros((0, len(columns)), np.int64)
+    for w in _blocks(batches, columns):
+        held = np.concatenate([held, w])
+        while len(held) > BLOCK:
+            last = int(np.searchsorted(held[:, 0], held[-1, 0], "left"))
+            n = last or BLOCK
+            yield held[:n], not last
+            held = held[n:]
+    if len(held):
+        yield held, False
+
+
 def _batch(rows: np.ndarray, columns: tuple[str, ...]) -> pa.RecordBatch:
-    types = [pa.int64() if c in ("grp", "doc", "odoc") else pa.int32() for c in columns]
+    types = [pa.int64() if c in ("grp", "doc", "odoc", "place") else pa.int32() for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()).cast(t) for i, t in enumerate(types)], names=list(columns))
 
 
-FIRST = ("grp", *LINK, "tiles")
+FIRST = ("grp", *LINK, "place")
+
+
+def _first_of(keys: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """For each row the first with the same keys (rows); itself where it is not valid."""
+    out = np.arange(len(valid))
+    at = np.nonzero(valid)[0]
+    if len(at):
+        at = at[np.lexsort(keys[at].T)]
+        new = np.concatenate([[True], (keys[at[1:]] != keys[at[:-1]]).any(1)])
+        out[at] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    return out
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by group, context and document: links to the first of a context, and the firsts of groups with several.
+    """Sorted by group and document: links to the first that shares a run, and the firsts of groups with several.
 
-    A row with tiles 0 is a link; else it is a first, with the number of its group's tiles and its own in odoc.
+    A link has place -1; a first its number in its group.
     """
-    held = np.zeros((0, 7), np.int64)
-
-    def close(w: np.ndarray) -> Iterator[pa.RecordBatch]:
-        grp, ctx = w[:, 0], w[:, 1]
-        new = np.concatenate([[True], (grp[1:] != grp[:-1]) | (ctx[1:] != ctx[:-1])])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-        link = ~new & (w[:, 3] != w[head, 3])
-        n = int(link.sum())
-        out = [np.concatenate([w[link][:, [0, *range(2, 7)]], w[head[link]][:, 3:], np.zeros((n, 1), np.int64)], 1)]
-        f = w[new]
-        g = np.concatenate([[0], np.nonzero(f[1:, 0] != f[:-1, 0])[0] + 1])
-        size = np.diff(np.concatenate([g, [len(f)]]))
-        several = np.minimum.reduceat(f[:, 3], g) != np.maximum.reduceat(f[:, 3], g)
-        place = np.arange(len(f)) - np.repeat(g, size)
-        tiles = np.repeat(np.where(several, -(-size // TILE), 0), size)
-        f, place, tiles = f[tiles > 0], place[tiles > 0], tiles[tiles > 0]
-        none = np.zeros((len(f), 3), np.int64)
-        out.append(np.concatenate([f[:, [0, *range(2, 7)]], (place % np.maximum(tiles, 1))[:, None], none, tiles[:, None]], 1))
+    going = 0  # firsts that were yielded of a group whose rows are not at their end
+    for w, more in _groups(batches, WINDOW):
+        g = np.concatenate([[0], np.nonzero(w[1:, 0] != w[:-1, 0])[0] + 1])
+        size = np.diff(np.concatenate([g, [len(w)]]))
+        large = size > 1
+        if going or more:
+            large[0] = True
+        w, size = w[np.repeat(large, size)], size[large]
+        if not len(w):
+            continue
+        doc, first, pairs = w[:, 1], np.ones(len(w), bool), []
+        for key in (w[:, 4] >> 32 & LOW, w[:, 4] & LOW, w[:, 5] >> 32 & LOW, w[:, 5] & LOW):
+            of = _first_of(np.stack([w[:, 0], key], 1), key != 0)
+            other = of != np.arange(len(w))
+            first &= ~other
+            at = np.nonzero(other & (doc != doc[of]))[0]
+            pairs.append(np.stack([at, of[at]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        f = np.stack([w[:, 3] & 255, doc, w[:, 2] >> 32, w[:, 2] & LOW, w[:, 3] >> 8], 1)
+        grp, n = w[:, :1], len(pairs)
+        out = [np.concatenate([grp[pairs[:, 0]], f[pairs[:, 0]], f[pairs[:, 1], 1:], np.full((n, 1), -1)], 1)]
+        g = np.concatenate([[0], np.cumsum(size)[:-1]])
+        firsts = np.add.reduceat(first.astype(np.int64), g)
+        place = np.cumsum(first) - 1 - np.repeat(np.cumsum(firsts) - firsts, size)
+        several = np.minimum.reduceat(np.where(first, doc, np.iinfo(np.int64).max), g) != np.maximum.reduceat(np.where(first, doc, np.iinfo(np.int64).min), g)
+        if going or more:
+            several[0] = True
+            place[: size[0]] += going
+            going = going + int(firsts[0]) if more else 0
+        at = np.nonzero(first & np.repeat(several, size))[0]
+        out.append(np.concatenate([grp[at], f[at], np.zeros((len(at), 4), np.int64), place[at, None]], 1))
         rows = np.concatenate(out)
         if len(rows):
             yield _batch(rows, FIRST)
 
-    for block in _blocks(batches, ("grp", "ctx", "hid", "doc", "l", "c", "r")):
-        w = np.concatenate([held, block])
-        last = int(np.searchsorted(w[:, 0], w[-1, 0], "left"))
-        held = w[last:]
-        if last:
-            yield from close(w[:last])
-    if len(held):
-        yield from close(held)
-
 
 def _around(width: int):
     """A document's firsts with the shingles around their centres, as 16-bit hashes (0 past the text's ends)."""
@@ -207,7 +261,7 @@ def _around(width: int):
             for t, doc, firsts in zip(pdf["text"], pdf["doc"], pdf["firsts"], strict=True):
                 a = (shingles(t) >> np.uint64(48)).astype("<u2") | np.uint16(1)
                 pad = np.concatenate([np.zeros(width - 1, "<u2"), a, np.zeros(width, "<u2")])
-                rows = pd.DataFrame([tuple(f.values()) if isinstance(f, dict) else tuple(f) for f in firsts], columns=["grp", "hid", "l", "c", "r", "mine", "tiles"])
+                rows = pd.DataFrame([tuple(f.values()) if isinstance(f, dict) else tuple(f) for f in firsts], columns=["grp", "hid", "l", "c", "r", "tile", "tiles"])
                 rows = rows[rows["c"] < len(a)]  # where an id is repeated, its other text may be shorter
                 rows["doc"] = doc
                 rows["part"] = [pad[c : c + span].tobytes() for c in rows["c"]]
@@ -225,75 +279,149 @@ def _share(hit: np.ndarray, least: int) -> np.ndarray:
     return best
 
 
-def _possible(x: np.ndarray, others: np.ndarray, least: int, similarity: float) -> np.ndarray:
-    """Which others can hold a passage near one of x: the shares found of both sides bound the Jaccard similarity."""
-    out, short = [], int(similarity * least)
-    for i in range(0, len(others), 256):
-        o = others[i : i + 256]
-        same = (o[:, :, None] == x[None, None, :]) & (x > 0)
-        a, b = _share(same.any(1), short), _share(same.any(2), short)
+def _aligned(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Which pairs of rows hold near-duplicate passages at equal distances from their centres."""
+    hit, share = (x == y) & (x > 0), 2 * similarity / (1 + similarity)
+    total = np.concatenate([np.zeros((len(hit), 1), np.int16), np.cumsum(hit, 1, dtype=np.int16)], 1)
+    out = np.zeros(len(hit), bool)
+    for n in range(least, hit.shape[1] + 1):
+        out |= (total[:, n:] - total[:, :-n]).max(1) >= share * n
+    return out
+
+
+def _possible(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Which pairs of rows can hold near passages: the shares found of both sides bound the Jaccard similarity."""
+    out, short = [np.zeros(0, bool)], int(similarity * least)
+    for i in range(0, len(x), 256):
+        a, b = x[i : i + 256], y[i : i + 256]
+        same = (a[:, :, None] == b[:, None, :]) & (b > 0)[:, None, :]
+        a, b = _share(same.any(2), short), _share(same.any(1), short)
         out.append(1 / np.maximum(a, 1e-3) + 1 / np.maximum(b, 1e-3) <= 1 + 1 / similarity + 1e-3)
     return np.concatenate(out)
 
 
-def _tile_links(side: np.ndarray, w: np.ndarray, x: np.ndarray, least: int, similarity: float) -> list[np.ndarray]:
-    """Links (LINK's columns) that join the windows of a pair of tiles whose contexts hold near-duplicate passages."""
-    order = np.lexsort((w[:, 3], w[:, 2], w[:, 1]))
-    side, w, x = side[order], w[order], x[order]
-    counts = np.zeros((len(w), BUCKETS), np.float32)
-    at, col = np.nonzero(x)
-    counts[at, mix(x[at, col].astype(np.uint64)) % np.uint64(BUCKETS)] = 1
-    enough = similarity * least - 3  # shared shingles, less some that fall into one bucket
-    root, out = np.arange(len(w)), []
-    for i in range(0, len(w), 256):
-        shared = counts[i : i + 256] @ counts.T
-        for p in range(i, min(i + 256, len(w))):
-            later = np.nonzero(shared[p - i] >= enough)[0]
-            later = later[(later > p) & (w[later, 1] != w[p, 1]) & ((side[p] == 1) | (side[later] != side[p]))]
-            if len(later):
-                later = later[find(root, later) != find(root, np.array([p]))[0]]
-            if len(later):
-                later = later[_possible(x[p], x[later], least, similarity)]
-            while len(later):
-                later = later[find(root, later) != find(root, np.array([p]))[0]]
-                if not len(later):
-                    break
-                q, later = int(later[0]), later[1:]
-                if matched(x[q][x[q] > 0], x[p][x[p] > 0], least, similarity):
-                    out.append(np.concatenate([w[q], w[p, 1:]]))
-                    a, b = find(root, np.array([p, q]))
-                    root[max(a, b)] = min(a, b)
-    return out
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) join what root has apart; afterwards root has all of them joined."""
+    root[:] = find(root, np.arange(len(root)))
+    news = root[a] != root[b]
+    a, b = a[news], b[news]
+    while len(a):
+        ra, rb = find(root, a), find(root, b)
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+    return news
+
+
+def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Links (LINK's columns) that join the windows of each pair of tiles whose contexts hold near-duplicate passages."""
+    n, root, out = len(w), np.arange(len(w)), []
+
+    def link(p: np.ndarray, q: np.ndarray) -> None:
+        p, q = (np.where(w[p, 1] > w[q, 1], p, q), np.where(w[p, 1] > w[q, 1], q, p))
+        keep = w[p, 1] != w[q, 1]
+        out.append(np.concatenate([w[p[keep]], w[q[keep], 1:]], 1))
+
+    total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(x * np.cumprod(np.full(x.shape[1], _MIX)), 1, dtype=np.uint64)], 1)
+    gaps = np.concatenate([np.zeros((n, 1), np.int16), np.cumsum(x == 0, 1, dtype=np.int16)], 1)
+    for i in range(x.shape[1] - least + 1):
+        of = _first_of(np.stack([pair, (total[:, i + least] - total[:, i]).view(np.int64)], 1), gaps[:, i + least] == gaps[:, i])
+        at = np.nonzero(of != np.arange(n))[0]
+        at = at[_united(root, at, of[at])]
+        link(at, of[at])
+    for p, q in _near(pair, side, w[:, 1], x, root, similarity * least - 3):  # less some shingles that fall into one bucket
+        ok = _aligned(x[p], x[q], least, similarity)
+        at = np.nonzero(ok)[0]
+        at = at[_united(root, p[at], q[at])]
+        link(p[at], q[at])
+        at = np.nonzero(~ok)[0]
+        at = at[find(root, p[at]) != find(root, q[at])]
+        at = at[_possible(x[p[at]], x[q[at]], least, similarity)]
+        for i, j in zip(p[at].tolist(), q[at].tolist(), strict=True):
+            if (e := find(root, np.array([i, j])))[0] != e[1] and matched(x[i][x[i] > 0], x[j][x[j] > 0], least, similarity):
+                link(np.array([i]), np.array([j]))
+                root[e.max()] = e.min()
+    return np.concatenate(out) if out else np.zeros((0, len(LINK)), np.int64)
+
+
+#: Pairs of windows that are compared at once, and rows under which all pairs of a pair of tiles are.
+PAIRS, FEW = 4096, 48
+
+
+def _near(pair: np.ndarray, side: np.ndarray, doc: np.ndarray, x: np.ndarray, root: np.ndarray, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that root does not join and that share enough shingles; root may change from yield to yield."""
+    root[:] = find(root, np.arange(len(root)))
+    cuts = [0, *(np.nonzero(pair[1:] != pair[:-1])[0] + 1).tolist(), len(pair)]
+    small, held = [np.zeros((2, 0), np.int64)], 0
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        r = root[i:j]
+        if (r == r[0]).all():
+            continue
+        meets = lambda p, q: (doc[p] != doc[q]) & ((side[p] == 1) | (side[p] != side[q])) & (root[p] != root[q])
+        if j - i < FEW:
+            p, q = np.triu_indices(j - i, 1)
+            p, q = p + i, q + i
+            keep = meets(p, q)
+            small.append(np.stack([p[keep], q[keep]]))
+            held += small[-1].shape[1]
+            if held >= PAIRS:
+                yield from _chunks(*np.concatenate(small, 1))
+                small, held = [np.zeros((2, 0), np.int64)], 0
+            continue
+        counts = np.zeros((j - i, BUCKETS), np.float32)
+        at, col = np.nonzero(x[i:j])
+        counts[at, mix(x[i + at, col].astype(np.uint64)) % np.uint64(BUCKETS)] = 1
+        largest = int(np.bincount(r - i).argmax()) + i
+        rest = i + np.nonzero(r != largest)[0]  # of two windows that are apart one at least is here
+        late = np.full(j - i, len(pair))  # rows of rest come in turn, and meet those before them only in their turn
+        late[rest - i] = np.arange(len(rest))
+        k, step = 0, 1
+        while k < len(rest):  # few at first: what they join need not be compared
+            rows = rest[k : k + step]
+            p, q = np.nonzero(counts[rows - i] @ counts.T >= enough)
+            p, q = rows[p], q + i
+            root[i:j] = find(root, np.arange(i, j))
+            keep = meets(p, q) & (late[q - i] > late[p - i])
+            yield from _chunks(p[keep], q[keep])
+            k, step = k + step, min(2 * step, 256)
+    yield from _chunks(*np.concatenate(small, 1))
+
+
+def _chunks(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(p), PAIRS):
+        yield p[i : i + PAIRS], q[i : i + PAIRS]
+
+
+#: Rows of pairs of tiles that are compared at once (more if one pair has more, up to two tiles).
+TILES_BLOCK = 8192
 
 
 def _tiles(least: int, similarity: float):
     """Sorted by pair of tiles: its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def close() -> list[np.ndarray]:
-            w, parts = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _tile_links(w[:, 0], w[:, 1:], parts, least, similarity) if len(w) > 1 else []
-
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grp = batch.column("pair").to_numpy()
-            w = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in ("side", *LINK[:5])], 1)
-            parts = np.frombuffer(b"".join(batch.column("part").to_pylist()), "<u2").reshape(len(w), -1)
-            cuts = [0, *(np.nonzero(grp[1:] != grp[:-1])[0] + 1).tolist(), len(grp)]
-            out = []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if held and grp[i] != key:
-                    out += close()
-                    held = []
-                key = grp[i]
-                held.append((w[i:j], parts[i:j]))
-            if out:
-                yield _batch(np.array(out), LINK)
-        if held and (out := close()):
-            yield _batch(np.array(out), LINK)
+            w = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in ("pair", "side", *LINK[:5])], 1)
+            x = np.frombuffer(b"".join(batch.column("part").to_pylist()), "<u2").reshape(len(w), -1)
+            w, x = (w, x) if held is None else (np.concatenate([held[0], w]), np.concatenate([held[1], x]))
+            while len(w) > TILES_BLOCK:
+                n = int(np.searchsorted(w[:, 0], w[TILES_BLOCK, 0], "left"))  # a pair's rows stay together
+                n = n or int(np.searchsorted(w[:, 0], w[0, 0], "right"))
+                if n == len(w):
+                    break
+                yield from done(w[:n], x[:n])
+                w, x = w[n:], x[n:]
+            held = w, x
+        if held is not None:
+            yield from done(*held)
+
+    def done(w: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        links = _tile_links(w[:, 0], w[:, 1], w[:, 2:], x, least, similarity)
+        if len(links):
+            yield _batch(links, LINK)
 
     return run
 
@@ -332,14 +460,13 @@ def _joined(agree: int):
 
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    text, have = None, np.zeros(0, np.uint64)
+    """A document's asked intervals with their shingles, each as often as its salts say."""
     for pdf in batches:
-        out = []
-        for t, lo, hi in zip(pdf["text"], pdf["lo"], pdf["hi"], strict=True):
-            if t != text:
-                text, have = t, shingles(t)
-            out.append((have[lo : hi + 1] >> np.uint64(32)).astype("<u4").tobytes())
-        yield pd.DataFrame({"cid": pdf["cid"], "side": pdf["side"], "doc": pdf["doc"], "lo": pdf["lo"], "part": out})
+        for t, doc, asked in zip(pdf["text"], pdf["doc"], pdf["asked"], strict=True):
+            have = (shingles(t) >> np.uint64(32)).astype("<u4")
+            rows = pd.DataFrame([tuple(f.values()) if isinstance(f, dict) else tuple(f) for f in asked], columns=["lo", "hi", "salts"])
+            rows["doc"], rows["part"] = doc, [have[a : b + 1].tobytes() for a, b in zip(rows["lo"], rows["hi"], strict=True)]
+            yield rows
 
 
 def _longest(hit: np.ndarray, share: float) -> tuple[int, int]:
@@ -440,25 +567,40 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     width = passage - SHINGLE + 1
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text_batches(spark)
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ints = "hid int, doc long, l int, c int, r int, odoc long, ol int, oc int, orr int"
-    made = d.mapInPandas(_windows(width, hashes), "grp long, ctx long, hid int, doc long, l int, c int, r int")
-    firsts = cut(made.repartition(n, "grp").sortWithinPartitions("grp", "ctx", "doc", "l").mapInArrow(_firsts, f"grp long, {ints}, tiles int"))
-    equal = firsts.where("tiles = 0").select(*LINK)
-    asked = firsts.where("tiles > 0").groupBy("doc").agg(F.collect_list(F.struct("grp", "hid", "l", "c", "r", F.col("odoc").alias("mine"), "tiles")).alias("firsts"))
-    around = asked.join(d, "doc").mapInPandas(_around(width), "grp long, hid int, l int, c int, r int, mine long, tiles int, doc long, part binary")
+    made = d.mapInArrow(_windows(width, hashes), ", ".join(f"{x} long" for x in WINDOW))
+    firsts = cut(made.repartition(n, "grp").sortWithinPartitions("grp", "doc", "lc").mapInArrow(_firsts, f"grp long, {ints}, place long"))
+    equal = firsts.where("place < 0").select(*LINK)
+    apart = firsts.where("place >= 0").withColumn("tile", F.floor(F.col("place") / TILE))
+    # tiles of the minima that have several; joined by tile, so that no key has more rows than a tile
+    many = apart.groupBy("grp").agg(F.max("tile").alias("last")).where("last > 0")
+    many = many.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("tile"), (F.col("last") + 1).alias("tiles"))
+    apart = apart.join(many, ["grp", "tile"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    asked = apart.groupBy("doc").agg(F.collect_list(F.struct("grp", "hid", "l", "c", "r", "tile", "tiles")).alias("firsts"))
+    around = asked.join(d, "doc").mapInPandas(_around(width), "grp long, hid int, l int, c int, r int, tile long, tiles long, doc long, part binary")
     # every window of a minimum with t tiles goes to the t pairs of tiles that hold its own
-    mine = F.col("mine")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b"), F.when(o == mine, 1).when(mine < o, 0).otherwise(2).alias("side")))
+    mine = F.col("tile")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b"), F.when(o == mine, 1).when(mine < o, 0).otherwise(2).alias("side")))
     spread = around.withColumn("t", F.explode(pairs)).select(F.xxhash64("grp", "t.a", "t.b").alias("pair"), F.col("t.side").alias("side"), *LINK[:5], "part")
-    near = spread.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_tiles(width, similarity), ints)
+    near = spread.repartition(n, "pair").sortWithinPartitions("pair", "doc", "c", "l").mapInArrow(_tiles(width, similarity), ints)
     links = cut(equal.unionByName(near))
-    pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc").mapInArrow(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int")
+    drop_cut(firsts)
+    pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc", "hid", "c", "oc").mapInArrow(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int")
     asked = cut(pairs.withColumn("cid", F.monotonically_increasing_id()))
+    drop_cut(links)
     both = asked.select("cid", F.lit(0).alias("side"), "doc", "lo", "hi").unionByName(asked.select("cid", F.lit(1).alias("side"), F.col("odoc").alias("doc"), F.col("olo").alias("lo"), F.col("ohi").alias("hi")))
-    parts = both.join(d, "doc").mapInPandas(_slices, "cid long, side int, doc long, lo int, part binary")
+    # an interval that many pairs ask for is cut once and joined over salts; such intervals are few, by their bound
+    over = max(HUB_LEAST, int(2 * asked.count() * HUB_SHARE))
+    times = both.groupBy("doc", "lo", "hi").agg(F.ceil(F.count("*") / over).alias("salts"))
+    salted = F.broadcast(times.where("salts > 1"))
+    per_doc = times.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "salts")).alias("asked"))
+    parts = per_doc.join(d, "doc").mapInPandas(_slices, "doc long, lo int, hi int, salts long, part binary")
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    both = both.join(salted, ["doc", "lo", "hi"], "left").withColumn("salt", F.pmod(F.xxhash64("cid"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
+    parts = both.join(parts, ["doc", "lo", "hi", "salt"]).select("cid", "side", "doc", "lo", "part")
     out = "doc_id long, start_word long, end_word long, other_id long, other_start long, other_end long, similarity double"
     found = cut(parts.repartition(n, "cid").sortWithinPartitions("cid", "side").mapInPandas(_verified(width, similarity), out).distinct())
+    drop_cut(asked)
     comp = connected_components(found.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b")))
     return found.join(comp.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")), "doc_id")
