@@ -468,3 +468,27 @@ def test_components_with_hubs(spark):
     edges = [(5, 10_000 + i) for i in range(3000)] + [(20_000 + i, 9) for i in range(2500)] + [(12_000, 21_000)] + [(int(a), int(b)) for a, b in rng.integers(30_000, 31_000, (400, 2))]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[x] == 5 for a, b in edges for x in (a, b) if x < 30_000)
+
+
+def test_mixing_probabilities_differ(spark):
+    """Expected copies grow with the square root of the length, and the words taken come near the target."""
+    rng = np.random.default_rng(40)
+    rows = [(i, words(rng, 4 if i % 2 else 64), f"s{i % 4 // 2}") for i in range(4000)]
+    got = mixing.mix(docs(spark, rows)).toPandas()
+    got["s"] = got.doc_id % 4 // 2
+    for _, g in got.groupby("s"):
+        short, long = g[g["size"] == 4].copies.mean(), g[g["size"] == 64].copies.mean()
+        assert abs(long / short - 4) < 0.8 or long == 3
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 64
+
+
+def test_mix_rows_that_differ_elsewhere(spark):
+    cols = "doc_id long, text string, source string, lang string, k string, cell int, copies int, row string, copy int"
+    rows = [(1, "one two", "a", x, "k", 1, 9, "r", 2) for x in "pqrs"] + [(2, " ", "a", "p", "k", 1, 9, "r", 2), (3, None, None, "p", None, None, None, None, None)] + [(i, "w " * 500, "b", "p", "k", 1, 9, "r", 2) for i in range(10, 30)]
+    d = spark.createDataFrame(rows, cols)
+    out = mixing.apply_mix(d)
+    assert out.columns == d.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows) and max(got.count(r) for r in got) <= 3
+    assert {r[3] for r in got if r[0] == 1} == set("pqrs") and all(got.count(r) == 3 for r in rows[:4])  # a stopped source
+    assert not {2, 3} & {r[0] for r in got}

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling, by DataFrame functions only.
 
-A source's target is shared out by weight and stops at a multiple of its size.  Every document is taken
-floor(target / size) times; what is still missing is a sample of documents of fixed size in words: documents are ranked
-by random odds over inclusion odds, and the ranking is cut where the running total of words is nearest to what is
-missing.  Documents that are long against the missing words are sampled first, each with the source's remaining
-fraction as its inclusion probability; the others get the probability that makes up for what the long ones took.
-
-Running totals never gather a source: ranks are counted into buckets twice, and only the rows of the one bucket where
-the cut falls are put in order.
+A source's target is shared out by weight and stops at a multiple of its size.  Inside a source a document of n words is
+expected c * sqrt(n) times, so that long texts are taken more often than fragments, but at most that multiple; c is such
+that the expected words are the target.  The whole part of a document's expected copies is certain.  The fraction left
+is its inclusion probability, which differs by document, in a sample of fixed size: documents are ranked by random odds
+over inclusion odds (Pareto order sampling), and the ranking is cut where the running total of words is nearest to what
+the sample is to hold.
+
+The sample is drawn by classes of length, from long to short.  A class is asked for its expected words and for what the
+classes before it left open, so the words of a source come near its target although single texts may be long.  A
+ranking is cut at one of CELLS bounds: sums by class and cell are all that a source is gathered to, and what a cell is
+too coarse for goes on to the next class.
 """
 
 from __future__ import annotations
@@ -19,19 +22,22 @@ from .common import cut
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Buckets of a level; two levels part a source's ranking in BUCKETS ** 2.
-BUCKETS = 1024
-#: A document is long if it has more than the missing words divided by this.
-LONG = 400
+#: Bounds at which the ranking of a class may be cut, and classes of length (powers of two; the last has all above).
+CELLS, CLASSES = 8192, 24
 SEED = "mix-1"
-#: Single documents taken in or left out of a source at the end, to come nearer to its target.
-REPAIRS = 2
+#: Inclusion probabilities are whole multiples of 1 / UNIT, so their sums are exact in any order.
+UNIT = 1 << 30
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _key(source: Column) -> Column:
+    """A join key of a source that is not null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size) -> with target: sizes in all shared by weight, none above most times its size.
 
@@ -50,97 +56,109 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     return s.withColumn("final", level).select("source", "source_size", "weight", F.least(F.col("stop"), F.coalesce(F.col("final") * F.col("weight"), F.col("stop"))).alias("target"))
 
 
-def _cut_at(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """rows (source, rank in [0, 1), size, uid) -> those of the ranking's head whose words come nearest to need.
+def _measure(size: Column) -> Column:
+    """What a document's expected copies are in proportion to: the square root of its words, as a whole number."""
+    return F.floor(F.sqrt(size) * 64).cast("long")
 
-    need: (source, need).  Returns rows with chosen boolean.  Equal rows that share a rank are taken in any order.
-    """
-    r = rows.withColumn("b1", F.floor(F.col("rank") * BUCKETS)).withColumn("b2", F.floor((F.col("rank") * BUCKETS - F.floor(F.col("rank") * BUCKETS)) * BUCKETS))
-    key = lambda a: F.coalesce(F.concat(F.lit("s"), a), F.lit("n"))
-    r, need = r.withColumn("k", key(F.col("source"))), need.select(key(F.col("source")).alias("k"), "need")
-
-    def crossing(sums: DataFrame, level: str, base: DataFrame) -> DataFrame:
-        """The bucket of each source where the running total passes base.need, with what is still missing there."""
-        w = Window.partitionBy("k").orderBy(level)
-        s = sums.join(base, "k").withColumn("upto", F.sum("words").over(w))
-        return s.where("upto > need").groupBy("k").agg(F.min(F.struct(level, (F.col("need") - (F.col("upto") - F.col("words"))).alias("left"))).alias("x")).select("k", F.col(f"x.{level}").alias(f"at_{level}"), F.col("x.left").alias("need"))
-
-    one = crossing(r.groupBy("k", "b1").agg(F.sum("size").alias("words")), "b1", need)
-    # joined by source and bucket: a hot source's rows are dealt over its buckets, and only the crossing one goes on
-    inside = r.withColumn("at_b1", F.col("b1")).join(one, ["k", "at_b1"])
-    two = crossing(inside.groupBy("k", "b2").agg(F.sum("size").alias("words")), "b2", one.select("k", "need"))
-    edge = one.select("k", "at_b1").join(two, "k", "left")
-    last = inside.drop("need").withColumn("at_b2", F.col("b2")).join(two, ["k", "at_b2"])
-    w = Window.partitionBy("k").orderBy("rank", "size", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("size").over(w)
-    inner = last.withColumn("upto", upto).withColumn("chosen", F.col("upto") - F.col("need") <= F.col("need") - (F.col("upto") - F.col("size")))
-    outer = r.join(edge, "k", "left").where("at_b1 IS NULL OR b1 <> at_b1 OR at_b2 IS NULL OR b2 <> at_b2")
-    outer = outer.withColumn("chosen", F.col("at_b1").isNull() | (F.col("b1") < F.col("at_b1")) | ((F.col("b1") == F.col("at_b1")) & (F.col("at_b2").isNull() | (F.col("b2") < F.col("at_b2")))))
-    cols = [*rows.columns, "chosen"]
-    return outer.select(*cols).unionByName(inner.select(*cols))
-
-
-def allocate(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(doc_id, uid, source, size long) -> with source_size, target, copies int: how often the mix takes the row.
-
-    uid tells rows apart where their doc_id does not.  Rows alike in all are taken in any order.  Reruns agree.
+
+def _class(size: Column) -> Column:
+    return F.least(F.length(F.bin(size)), F.lit(CLASSES))
+
+
+def _expected(size: Column, measure: Column, most: int) -> Column:
+    """Expected copies, by the source's theta (null: each row most times)."""
+    return F.when(size == 0, 0.0).when(F.col("theta").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.col("theta") * measure))
+
+
+def _share(expected: Column) -> Column:
+    return F.floor((expected - F.floor(expected)) * UNIT).cast("long")
+
+
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(k, source, size) -> (k, source_size, target, theta) and (k, class, expected words of the sample).
+
+    A row of measure x is expected min(most, theta * x) times.  Among a source's distinct measures, a few thousand however
+    large the source, theta is taken for the largest one that it leaves at most or below.
     """
-    totals = cut(water_fill(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    t = totals.withColumn("factor", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    t = t.withColumn("whole", F.least(F.floor("factor"), F.lit(most))).withColumn("missing", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    t = t.select(F.col("source").alias("s"), "source_size", "target", "whole", "missing")
+    by_x = cut(sizes.groupBy("k", "source", _measure(F.col("size")).alias("x"), _class(F.col("size")).alias("class")).agg(F.sum("size").alias("words")))
+    totals = water_fill(by_x.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    totals = cut(totals.select(_key(F.col("source")).alias("k"), "source_size", "target"))
+    down = Window.partitionBy("k").orderBy(F.col("x").desc())
+    above, rest = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    t = by_x.where("x > 0").groupBy("k", "x").agg(F.sum("words").alias("words")).join(totals.where(F.col("target") < F.col("source_size") * most), "k")
+    theta = (F.col("target") - most * F.coalesce(F.sum("words").over(above), F.lit(0)).cast("double")) / F.sum(F.col("x") * F.col("words")).over(rest).cast("double")
+    best = t.withColumn("theta", theta).where(F.col("theta") * F.col("x") <= most).groupBy("k").agg(F.max(F.struct("x", "theta"))["theta"].alias("theta"))
+    totals = cut(totals.join(best, "k", "left"))
+    units = _share(_expected(F.col("x"), F.col("x"), most)).cast("decimal(12,0)") * F.col("words").cast("decimal(20,0)")
+    need = by_x.where("x > 0").join(totals, "k").groupBy("k", "class").agg((F.sum(units).cast("double") / UNIT).alias("expected"))
+    return totals, need
+
+
+def _ranked(sizes: DataFrame, totals: DataFrame, most: int, seed: str) -> DataFrame:
+    """sizes with source_size, target, whole (certain copies), class and cell (null where nothing is left to sample)."""
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "uid")), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
-    d = sizes.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("u", u).withColumn("long", F.col("size") * LONG > F.col("missing"))
-    d = cut(d.withColumn("p", F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(0.0)))
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        odds = (F.col("u") / (1 - F.col("u"))) / F.greatest(F.col("p") / F.greatest(1 - F.col("p"), F.lit(1e-12)), F.lit(1e-300))
-        return rows.withColumn("rank", F.least(odds / (1 + odds), F.lit(1 - 2.0**-40)))
-
-    by_kind = d.groupBy("source").agg(F.first("missing").alias("missing"), F.sum(F.when(F.col("long"), F.col("size")).otherwise(0)).alias("long_size"), F.sum(F.when(F.col("long"), 0).otherwise(F.col("size"))).alias("short_size"), F.max("p").alias("p"))
-    first = cut(_cut_at(ranked(d.where("long")), by_kind.select("source", (F.col("long_size") * F.col("p")).alias("need"))))
-    took = first.where("chosen").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("took"))
-    rest = by_kind.join(took, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.greatest(F.col("missing") - F.coalesce("took", F.lit(0)), F.lit(0.0)).alias("need"), "short_size")
-    rest = cut(rest)
-    p2 = rest.select(F.col("source").alias("s"), F.when(F.col("short_size") > 0, F.least(F.col("need") / F.col("short_size"), F.lit(1.0))).otherwise(0.0).alias("p2"))
-    short = d.where("NOT long").join(p2, F.col("source").eqNullSafe(F.col("s"))).withColumn("p", F.col("p2")).drop("s", "p2")
-    second = _cut_at(ranked(short), rest.select("source", "need"))
-    both = first.unionByName(second).withColumn("rid", F.monotonically_increasing_id())
-    for _ in range(REPAIRS):
-        both = _repaired(cut(both))
-    return both.select(*sizes.columns, "source_size", "target", (F.col("whole") + F.col("chosen").cast("long")).cast("int").alias("copies"))
-
-
-def _repaired(d: DataFrame) -> DataFrame:
-    """d with one row of each source taken in or left out, where that brings the source's words nearer to its target."""
-    gap = d.groupBy(F.col("source").alias("s")).agg((F.first("missing") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    off = F.abs(F.col("gap") - F.when(F.col("chosen"), -F.col("size")).otherwise(F.col("size")))
-    tried = d.join(gap, F.col("source").eqNullSafe(F.col("s"))).where((off < F.abs("gap")) & (F.col("size") > 0))
-    best = tried.groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("doc_id"), F.col("uid"), F.col("rid"))).alias("x")).select(F.col("source").alias("s"), F.col("x.rid").alias("turned"))
-    return d.join(best, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("chosen", F.col("chosen") != F.coalesce(F.col("rid") == F.col("turned"), F.lit(False))).drop("s", "turned")
+    d = sizes.join(totals, "k").withColumn("lam", _expected(F.col("size"), _measure(F.col("size")), most)).withColumn("p", _share(F.col("lam")) / F.lit(float(UNIT))).withColumn("u", u)
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    d = d.withColumn("odds", F.when(F.col("p") > 0, odds))
+    cell = F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * CELLS), F.lit(CELLS - 1)).cast("int")
+    return d.withColumns({"whole": F.floor("lam").cast("int"), "class": _class(F.col("size")), "cell": cell}).drop("lam", "p", "u", "odds", "theta")
+
+
+def _cuts(ranked: DataFrame, need: DataFrame) -> DataFrame:
+    """(k, class, last): the last cell of each class that the sample takes, -1 for none."""
+    cells = ranked.where("cell IS NOT NULL").groupBy("k", "class", "cell").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("k", "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = cells.select("k", "class", F.struct("cell", upto.alias("upto")).alias("c")).groupBy("k", "class").agg(F.collect_list("c").alias("cells"))
+    by_source = rows.join(need, ["k", "class"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("turn"), "class", "expected", "cells"))).alias("classes"))
+
+    def step(state: Column, c: Column) -> Column:
+        wanted = c["expected"] + state["carry"]
+        low = F.coalesce(F.array_max(F.filter(F.transform(c["cells"], lambda e: e["upto"]), lambda x: x <= wanted)), F.lit(0).cast("long"))
+        high = F.array_min(F.filter(F.transform(c["cells"], lambda e: e["upto"]), lambda x: x > wanted))
+        take = F.when(high - wanted < wanted - low, high).otherwise(low)
+        last = F.coalesce(F.array_max(F.transform(F.filter(c["cells"], lambda e: e["upto"] <= take), lambda e: e["cell"])), F.lit(-1))
+        return F.struct((wanted - take).alias("carry"), F.concat(state["cuts"], F.array(F.struct(c["class"].alias("class"), last.alias("last")))).alias("cuts"))
+
+    start = F.struct(F.lit(0.0).alias("carry"), F.expr("cast(array() as array<struct<class:int,last:int>>)").alias("cuts"))
+    return by_source.select("k", F.explode(F.aggregate("classes", start, step, lambda s: s["cuts"])).alias("c")).select("k", "c.class", "c.last")
+
+
+def allocate(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, table: DataFrame | None = None) -> DataFrame:
+    """sizes (doc_id, uid, source, size long, ...) -> with source_size, target, copies int: how often the mix takes the row.
+
+    uid tells rows apart where their doc_id does not; rows alike in both and in source are taken together.  Reruns
+    agree.  table: the same rows as sizes without its further columns, for the sums; sizes is then read once.
+    """
+    with_key = lambda d: d.withColumn("k", _key(F.col("source")))
+    small = with_key(table if table is not None else sizes)
+    totals, need = plan(small, weights, most)
+    cuts = cut(_cuts(_ranked(small, totals, most, seed), need))
+    d = _ranked(with_key(sizes), totals, most, seed).join(cuts, ["k", "class"], "left")
+    copies = F.col("whole") + (F.coalesce(F.col("cell") <= F.col("last"), F.lit(False))).cast("int")
+    return d.select(*sizes.columns, "source_size", "target", copies.alias("copies"))
+
+
+def _uid(text: Column) -> Column:
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("uid"), "source", word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", _uid(F.col("text")).alias("uid"), "source", word_count(F.col("text")).alias("size"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies): a row per row of docs.
 
-    Null text: size 0 (such rows count as taken but carry no words).  Null source: a source of its own, last in order.
-    Null or repeated ids and repeated rows are ranked one by one.  Empty table: no rows.  Other columns are ignored.
+    Null or empty text, or one of white space: size 0, never taken.  Null source: a source of its own, last in order.
+    Null ids are alike to the draw; repeated rows are taken together or not.  Very long texts are one row of their class
+    of length.  Empty table: no rows.  Other columns are ignored.
     """
     d = allocate(cut(sized(docs)), weights, most, seed)
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
-    s = cut(sized(docs))
-    a = allocate(s, weights, most, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"), F.col("source").alias("__s"), "copies")
-    # rows alike in id, text and source share their copies: as many rows come back as the mix takes of them together
-    a = a.groupBy("__id", "__uid", "__s").agg(F.sum("copies").alias("__n"))
-    d = docs.withColumn("__u", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
-    one = d.dropDuplicates(["doc_id", "__u", "source"])
-    j = one.join(a, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__u") == F.col("__uid")) & F.col("source").eqNullSafe(F.col("__s")))
-    return j.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    """docs with every row as often as the mix takes it; rows keep all their columns, and texts are never shuffled."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _uid(F.col("text")).alias("uid"), "source", word_count(F.col("text")).alias("size"))
+    a = allocate(whole, weights, most, seed, cut(sized(docs))).where("copies > 0")
+    return a.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

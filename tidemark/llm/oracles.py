@@ -34,30 +34,34 @@ PII = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,
 _WEIGHTS = ", ".join(str(float(w)) for w in mixing.WEIGHTS)
 
 
-def _rank(p: str) -> str:
-    odds = f"(u / (1 - u)) / greatest({p} / greatest(1 - {p}, 1e-12), 1e-300)"
-    return f"least(({odds}) / (1 + ({odds})), 1 - pow(2.0, -40))"
+def _turn(c: int) -> str:
+    """The cut of class c: its need with what longer classes left open, and the bound nearest to it."""
+    before = f"(SELECT k, carry FROM t{c + 1})" if c < mixing.CLASSES else "(SELECT k, 0.0::DOUBLE AS carry FROM s6)"
+    return f"""w{c} AS (SELECT b.k, coalesce(e.expected, 0.0) + b.carry AS wanted FROM {before} b LEFT JOIN ex e ON e.k = b.k AND e.class = {c}),
+ m{c} AS (SELECT w.k, wanted, coalesce(max(upto) FILTER (WHERE upto <= wanted), 0) AS low, min(upto) FILTER (WHERE upto > wanted) AS high FROM w{c} w LEFT JOIN pre p ON p.k = w.k AND p.class = {c} GROUP BY 1, 2),
+ t{c} AS (SELECT k, CAST(CASE WHEN high - wanted < wanted - low THEN high ELSE low END AS BIGINT) AS take, wanted - (CASE WHEN high - wanted < wanted - low THEN high ELSE low END) AS carry FROM m{c})"""
 
 
-def _chosen(source: str, p: str, need: str) -> str:
-    return f"SELECT rid, upto + upto - size <= 2 * need AS chosen FROM (SELECT rid, size, {need} AS need, sum(size) OVER (PARTITION BY k ORDER BY {_rank(p)}, size, uid, rid ROWS UNBOUNDED PRECEDING) AS upto FROM {source})"
+def _expected(size: str, x: str) -> str:
+    return f"CASE WHEN {size} = 0 THEN 0.0::DOUBLE WHEN theta IS NULL THEN {float(mixing.MOST)}::DOUBLE ELSE least({float(mixing.MOST)}::DOUBLE, theta * {x}) END"
 
 
-def _repair(before: str, after: str) -> str:
-    return f"""{after}g AS (SELECT k, any_value(missing) - coalesce(sum(size) FILTER (WHERE chosen), 0) AS gap FROM {before} GROUP BY k),
- {after}b AS (SELECT {before}.k, rid, row_number() OVER (PARTITION BY {before}.k ORDER BY abs(gap - CASE WHEN chosen THEN -size ELSE size END), doc_id, uid, rid) AS n FROM {before} JOIN {after}g g ON {before}.k = g.k WHERE size > 0 AND abs(gap - CASE WHEN chosen THEN -size ELSE size END) < abs(gap)),
- {after} AS (SELECT {before}.* EXCLUDE (chosen), chosen <> (b.rid IS NOT NULL) AS chosen FROM {before} LEFT JOIN {after}b b ON b.n = 1 AND b.rid = {before}.rid)"""
-
+_X, _CLASS = "CAST(floor(sqrt(CAST(size AS DOUBLE)) * 64) AS BIGINT)", f"least(length(bin(size)), {mixing.CLASSES})"
+_CUTS = range(mixing.CLASSES, 0, -1)
 
 MIX = f"""WITH z AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(md5(text), '') AS uid, source, coalesce('s' || source, 'n') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
  s0 AS (SELECT k, source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY 1, 2), s1 AS (SELECT *, list_extract([{_WEIGHTS}], CAST((row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % {len(mixing.WEIGHTS)} + 1 AS INT)) AS weight, CAST(source_size * {mixing.MOST} AS DOUBLE) AS stop FROM s0),
  s2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(stop) OVER (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
  s3 AS (SELECT *, (SELECT arg_min(level, stop / weight) FROM s2 WHERE level * weight <= stop) AS final FROM s2), s4 AS (SELECT k, source_size, least(stop, coalesce(final * weight, stop)) AS target FROM s3),
- s5 AS (SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END), {mixing.MOST}) AS whole FROM s4), s6 AS (SELECT *, greatest(target - whole * source_size, 0.0) AS missing FROM s5),
- d AS (SELECT z.*, source_size, target, whole, missing, (CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), uid)), 1, 12) AS BIGINT) + 0.5) / pow(2.0, 48) AS u, size * {mixing.LONG} > missing AS long, CASE WHEN source_size > 0 THEN missing / source_size ELSE 0.0 END AS p FROM z JOIN s6 ON z.k = s6.k),
- dl AS (SELECT *, sum(size) OVER (PARTITION BY k) * p AS need FROM d WHERE long), c1 AS ({_chosen('dl', 'p', 'need')}),
- took AS (SELECT k, sum(size) AS took FROM dl JOIN c1 ON dl.rid = c1.rid WHERE chosen GROUP BY k), ds AS (SELECT d.*, greatest(missing - coalesce(took, 0), 0.0) AS need, sum(size) OVER (PARTITION BY d.k) AS short_size FROM d LEFT JOIN took ON d.k = took.k WHERE NOT long),
- dt AS (SELECT *, CASE WHEN short_size > 0 THEN least(need / short_size, 1.0) ELSE 0.0 END AS p2 FROM ds), c2 AS ({_chosen('dt', 'p2', 'need')}), r0 AS (SELECT d.*, chosen FROM d JOIN (SELECT * FROM c1 UNION ALL SELECT * FROM c2) c ON d.rid = c.rid),
- {_repair('r0', 'r1')}, {_repair('r1', 'r2')} SELECT doc_id, size, source_size, target, CAST(size * (whole + CAST(chosen AS INT)) AS BIGINT) AS taken, CAST(whole + CAST(chosen AS INT) AS INT) AS copies FROM r2"""
+ bx AS (SELECT k, {_X} AS x, {_CLASS} AS class, sum(size) AS words FROM z GROUP BY ALL), b1 AS (SELECT k, x, sum(words) AS words FROM bx WHERE x > 0 GROUP BY ALL),
+ th AS (SELECT b1.k, x, (target - {mixing.MOST} * CAST(coalesce(sum(words) OVER (PARTITION BY b1.k ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / CAST(sum(x * words) OVER (PARTITION BY b1.k ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS theta FROM b1 JOIN s4 ON b1.k = s4.k WHERE target < source_size * {mixing.MOST}),
+ s5 AS (SELECT k, arg_max(theta, x) AS theta FROM th WHERE theta * x <= {mixing.MOST} GROUP BY k), s6 AS (SELECT s4.*, theta FROM s4 LEFT JOIN s5 ON s4.k = s5.k),
+ ey AS (SELECT bx.k, class, words, {_expected('x', 'x')} AS lam FROM bx JOIN s6 ON bx.k = s6.k WHERE x > 0), ex AS (SELECT k, class, CAST(sum(CAST(floor((lam - floor(lam)) * {mixing.UNIT}) AS HUGEINT) * CAST(words AS HUGEINT)) AS DOUBLE) / {mixing.UNIT} AS expected FROM ey GROUP BY ALL),
+ d0 AS (SELECT z.*, source_size, target, {_CLASS} AS class, {_expected('size', _X)} AS lam, (CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), uid)), 1, 12) AS BIGINT) + 0.5) / pow(2.0, 48) AS u FROM z JOIN s6 ON z.k = s6.k),
+ d1 AS (SELECT *, floor((lam - floor(lam)) * {mixing.UNIT}) / {float(mixing.UNIT)}::DOUBLE AS p FROM d0), d2 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM d1), d3 AS (SELECT *, CAST(least(floor(odds / (1 + odds) * {mixing.CELLS}), {mixing.CELLS - 1}) AS INT) AS cell FROM d2),
+ ce AS (SELECT k, class, cell, sum(size) AS words FROM d3 WHERE odds IS NOT NULL GROUP BY ALL), pre AS (SELECT k, class, cell, CAST(sum(words) OVER (PARTITION BY k, class ORDER BY cell ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM ce),
+ {', '.join(map(_turn, _CUTS))}, ta AS ({' UNION ALL '.join(f'SELECT k, {c} AS class, take FROM t{c}' for c in _CUTS)}), la AS (SELECT ta.k, ta.class, max(cell) AS last FROM ta JOIN pre ON pre.k = ta.k AND pre.class = ta.class AND upto <= take GROUP BY ALL),
+ fi AS (SELECT d3.*, CAST(floor(lam) + CAST(coalesce(odds IS NOT NULL AND cell <= last, false) AS INT) AS INT) AS copies FROM d3 LEFT JOIN la ON la.k = d3.k AND la.class = d3.class)
+ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM fi"""
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": MIX, "op7_pii": PII}
