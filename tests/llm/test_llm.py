@@ -492,3 +492,41 @@ def test_mix_rows_that_differ_elsewhere(spark):
     assert set(got) <= set(rows) and max(got.count(r) for r in got) <= 3
     assert {r[3] for r in got if r[0] == 1} == set("pqrs") and all(got.count(r) == 3 for r in rows[:4])  # a stopped source
     assert not {2, 3} & {r[0] for r in got}
+
+
+@pytest.mark.parametrize("most", [3, 40, 8192])
+def test_fingerprint_tiles_dealt_out(spark, most):
+    """However many groups a tile is dealt into, links join what all pairs join."""
+    rng = np.random.default_rng(41)
+    base = rng.integers(0, 2**64, 30, dtype=np.uint64)
+    near = np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for _ in range(6)])
+    fp = np.unique(np.concatenate([near, np.arange(40, dtype=np.uint64)]))
+    root = {int(x): int(x) for x in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(fp.tolist()):
+        for y in fp[:i].tolist():
+            if (x ^ y).bit_count() <= 2:
+                root[find(x)] = find(y)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    links = simhash.fingerprint_links(df, most=most).collect()
+    got = {x: x for x in root}
+    for r in links:
+        a, b = r.a % 2**64, r.b % 2**64
+        assert (a ^ b).bit_count() >= 1
+        a, b = min(got[a], got[b]), max(got[a], got[b])
+        got = {x: a if c == b else c for x, c in got.items()}
+    assert len(set(got.values())) == len({find(x) for x in root}) and all((find(x) == find(y)) == (got[x] == got[y]) for x in root for y in list(root)[:50])
+
+
+def test_keep_one_clashing_names(spark):
+    cols = "doc_id long, text string, rid long, fp string, row int, c int, low int, none int"
+    rows = [(3, "same words here", 1, "f", 2, 3, 4, 5), (1, "same words here", 1, "f", 2, 3, 4, 5), (1, "same words here", 1, "f", 2, 3, 4, 5), (None, "same words here", 9, "f", 2, 3, 4, 5), (None, "other text of none", 1, "f", 2, 3, 4, 5), (7, "x " * 100_000, 1, None, None, None, None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, cols))
+    assert kept.columns == [c.split()[0] for c in cols.split(", ")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[4], rows[5]], key=repr)
+    assert simhash.keep_one(spark.createDataFrame([], cols)).count() == 0

@@ -2,8 +2,9 @@
 
 Distinct fingerprints fall into tiles by the population counts of their four 16-bit words.  The Hamming distance of two
 fingerprints is at least the sum of the differences of those counts, so tile pairs whose counts differ by more than the
-radius in total are skipped; every other pair of tiles meets in one group, where numpy compares them by exclusive-or and
-bit counts, block by block.  A group yields a spanning forest of its links, never all pairs.
+radius in total are skipped; every other pair of tiles meets, where numpy compares them by exclusive-or and bit counts,
+block by block.  A tile and all that it meets are dealt by hash into squares of MOST by MOST fingerprints at most, each a
+group of its own, so no group grows with the corpus.  A group yields a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints in one side of a block that numpy compares at once.
 BLOCK = 1024
+#: Fingerprints in one side of a group, about.
+MOST = 8192
 
 
 def fingerprint(text: str | None, width: int = WORDS) -> int:
@@ -61,8 +64,9 @@ def neighbour_tiles(radius: int, words: int = 4) -> list[tuple[int, ...]]:
 
 
 def _forest(base: np.ndarray, more: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between base and base, and base and more."""
-    nodes = np.concatenate([base, more])
+    """A spanning forest of the links between base and more (which may hold base as well)."""
+    nodes, of = np.unique(np.concatenate([base, more]), return_inverse=True)
+    left, right = of[: len(base)], of[len(base) :]
     root = np.arange(len(nodes))
 
     def find(x: np.ndarray) -> np.ndarray:
@@ -73,10 +77,10 @@ def _forest(base: np.ndarray, more: np.ndarray, radius: int) -> list[tuple[int,
             x = y
 
     for i in range(0, len(base), BLOCK):
-        for j in range(i, len(nodes), BLOCK):
-            near = np.bitwise_count(nodes[i : min(i + BLOCK, len(base)), None] ^ nodes[None, j : j + BLOCK]) <= radius
+        for j in range(0, len(more), BLOCK):
+            near = np.bitwise_count(base[i : i + BLOCK, None] ^ more[None, j : j + BLOCK]) <= radius
             a, b = np.nonzero(near)
-            a, b = a + i, b + j
+            a, b = left[a + i], right[b + j]
             while len(a):
                 ra, rb = find(a), find(b)
                 if not (open_ := ra != rb).any():
@@ -122,37 +126,63 @@ def _tile_links(radius: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct (fp long, each once) -> (a, b): links of distance radius at most that join all that such links join."""
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """distinct (fp long, each once) -> (a, b): links of distance radius at most that join all that such links join.
+
+    Tiles are 17 ** 4 at most, so the table of how many parts each is dealt into is small enough to broadcast.
+    """
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(4)]
-    tile = lambda d: sum(((c - x + 8) * 64**i for i, (c, x) in enumerate(zip(counts, d, strict=True))), F.lit(0)).cast("long")
-    near = neighbour_tiles(radius)
-    copies = F.array(*(F.struct(tile(d).alias("tile"), F.lit(int(not any(d))).cast("long").alias("own")) for d in near))
-    spread = distinct.select("fp", F.explode(copies).alias("c")).select("c.tile", "c.own", "fp")
+    tile = sum(((c + 8) * 64**i for i, c in enumerate(counts)), F.lit(0)).cast("long")
+    shifts = [sum(x * 64**i for i, x in enumerate(d)) for d in neighbour_tiles(radius)]
+    own = distinct.select("fp", tile.alias("tile"))
+    to = F.explode(F.array(*(F.struct(F.lit(x).cast("long").alias("shift"), F.lit(int(not x)).cast("long").alias("own")) for x in shifts)))
+    sizes = own.groupBy("tile").count()
+    parts = sizes.select("tile", "count", to.alias("c")).groupBy((F.col("tile") - F.col("c.shift")).alias("tile"))
+    parts = parts.agg(F.ceil(F.sum(F.col("count") * F.col("c.own")) / most).alias("rows"), F.ceil(F.sum("count") / most).alias("cols")).where("rows > 0")
+    spread = own.select("fp", "tile", to.alias("c")).select("fp", (F.col("tile") - F.col("c.shift")).alias("tile"), "c.own")
+    spread = spread.join(F.broadcast(parts), "tile")
+    h = F.xxhash64("fp")
+    row, col = F.pmod(h, "rows"), F.pmod(F.shiftright(h, 8), "cols")
+
+    def all_of(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    squares = F.transform(all_of("rows"), lambda i: F.struct(i.alias("i"), col.alias("j"), F.lit(0).cast("long").alias("own")))
+    as_base = F.transform(all_of("cols"), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(1).cast("long").alias("own")))
+    spread = spread.select("fp", "tile", F.explode(F.when(F.col("own") == 1, F.concat(squares, as_base)).otherwise(squares)).alias("s"))
+    spread = spread.select(F.xxhash64("tile", "s.i", "s.j").alias("tile"), "s.own", "fp")
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return spread.repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(_tile_links(radius), "a long, b long")
 
 
+def _classes(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp, ...) -> with c, the least fingerprint (as a signed long) that links reach."""
+    comp = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    return cut(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(*distinct.columns, F.coalesce("component", "fp").alias("c")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id_col, fp, component_id): a row per row of docs; component_id is the smallest id reachable by links.
 
     Null text: as an empty one, fingerprint 0, linked like any other.  Null id: the row stays, its id never names a
     component unless all ids there are null (then null).  Repeated rows and equal texts share a fingerprint, hence a
-    component.  Empty table: no rows.  Other columns are not looked at.
+    component.  Very long texts are counted in blocks of shingles.  Empty table: no rows.  Other columns are not looked at.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("low")))
-    comp = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = cut(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c")))
+    named = _classes(cut(fps.groupBy("fp").agg(F.min(id_col).alias("low"))), radius)
     least = named.groupBy("c").agg(F.min("low").alias("component_id"))
     by_fp = named.join(least, "c").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id (of several, any of its equals)."""
-    found = near_duplicates(docs, radius=radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    marked = docs.withColumn("__f", fingerprint_column(F.col("text")))
-    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__f") == F.col("__fp")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__f"]).drop("__f")
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (of several, the first written).
+
+    Every text is fingerprinted once; rows carry a number by which those kept are found again.  Nulls, repeated rows and
+    very long texts as in near_duplicates; a null doc_id is kept only where its group has no other.
+    """
+    rows = cut(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", fingerprint_column(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("rid")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    named = _classes(cut(rows.groupBy("fp").agg(first.alias("low"))), radius)
+    kept = named.groupBy("c").agg(F.min("low")["rid"].alias("rid")).select("rid")
+    return rows.join(kept, "rid", "left_semi").select("row.*")
