@@ -530,3 +530,32 @@ def test_keep_one_clashing_names(spark):
     assert kept.columns == [c.split()[0] for c in cols.split(", ")]
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[4], rows[5]], key=repr)
     assert simhash.keep_one(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_embeddings_clashing_names_and_repeats(spark):
+    rng = np.random.default_rng(42)
+    x = unit_rows(rng, 8, 32)
+    cols = "item long, e array<float>, lab string, rep int, same string, vec int, vec_id int, row int, kept_id int, id int"
+    rows = [(i if i else None, [float(v) for v in e], "a", 1, "s", 2, 3, 4, 5, 6) for i, e in enumerate(x)]
+    rows += [rows[3], rows[3], (100, rows[4][1], *rows[4][2:]), (101, rows[4][1], "b", *rows[4][3:])]
+    d = spark.createDataFrame(rows, cols)
+    how = {"id_col": "item", "vec_col": "e", "label_col": "lab"}
+    got = embeddings.link(d, **how).collect()
+    assert len(got) == len(rows)
+    assert [r.n_links for r in got if r.item == 3] == [2, 2, 2] and {r.component_id for r in got if r.item in (4, 100)} == {4}
+    assert {r.n_links for r in got if r.item in (101, 1, 2)} == {0}
+    kept = embeddings.keep_one(d, **how)
+    assert kept.columns == d.columns and sorted((r.item for r in kept.collect()), key=repr) == sorted([None, 1, 2, 3, 3, 3, 4, 5, 6, 7, 101], key=repr)
+
+
+def test_embeddings_large_buckets(spark, monkeypatch):
+    """Buckets over many tiles and blocks give the links of all pairs."""
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(43)
+    x = unit_rows(rng, 12, 16)
+    x = unit_rows(rng, 1, 16) * 0 + np.concatenate([x, np.repeat(x[:2], 150, 0) + rng.normal(scale=0.03, size=(300, 16))])
+    rows = [(i, [float(v) for v in e], 1) for i, e in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got.values()) >= 0.97 * want.sum() and all(got[i] <= want[i] for i in got)

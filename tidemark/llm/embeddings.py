@@ -108,71 +108,87 @@ def usable(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+#: Rows that a task verifies at once (more if a pair of tiles has more), rows under which a group is compared pair by
+#: pair with other such groups, and pairs whose cosines are computed at once.
+ROWS, FEW, PAIRS = 4096, 24, 20_000
+
+
+def _near_pairs(grp: np.ndarray, side: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that may link, PAIRS at most or those of one block."""
+    starts = np.concatenate([[0], np.nonzero(grp[1:] != grp[:-1])[0] + 1])
+    size = np.diff(np.concatenate([starts, [len(grp)]]))
+    few = np.repeat(size < FEW, size)
+    for d in range(1, FEW):
+        at = np.nonzero(few[:-d] & (grp[:-d] == grp[d:]))[0]
+        if not len(at):
+            break
+        for i in range(0, len(at), PAIRS):
+            yield at[i : i + PAIRS], at[i : i + PAIRS] + d
+    for start, n in zip(starts[size >= FEW].tolist(), size[size >= FEW].tolist(), strict=True):
+        s = side[start : start + n]
+        a, b = start + np.nonzero(s <= 1)[0], start + np.nonzero(s >= 1)[0]  # 1: a tile against itself
+        for i in range(0, len(a), 256):
+            p, q = np.nonzero(x[a[i : i + 256]] @ x[b].T >= threshold - 1e-9)
+            p, q = a[i + p], b[q]
+            ok = (side[p] != 1) | (p < q)
+            p, q = p[ok], q[ok]
+            for j in range(0, len(p), PAIRS):
+                yield p[j : j + PAIRS], q[j : j + PAIRS]
+
+
 def _verify(threshold: float):
     """Sorted by group: counts of each vector's links in the group, and a spanning forest of them."""
 
-    def links(side: np.ndarray, ids: np.ndarray, weight: np.ndarray, here: int, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        a, b = np.nonzero(side <= 1)[0], np.nonzero(side >= 1)[0]  # 1: a tile against itself
-        x = unit(x)
-        n = np.zeros(len(ids), np.int64)
-        root = np.arange(len(ids))
-        for i in range(0, len(a), 256):
-            ai = a[i : i + 256]
-            p, q = np.nonzero(x[ai] @ x[b].T >= threshold - 1e-9)
-            p, q = ai[p], b[q]
-            ok = (ids[p] != ids[q]) & ((side[p] != 1) | (p < q))
+    def links(grp: np.ndarray, side: np.ndarray, ids: np.ndarray, weight: np.ndarray, code: np.ndarray, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        x, n, root, last = unit(x), np.zeros(len(ids), np.int64), np.arange(len(ids)), np.iinfo(np.int64).max
+        for p, q in _near_pairs(grp, side, x, threshold):
+            ok = (ids[p] != ids[q]) & ((side[p] == 1) | (side[p] != side[q]))
+            p, q = p[ok], q[ok]
+            ok = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
             p, q = p[ok], q[ok]
-            for j in range(0, len(p), 20000):
-                pj, qj = p[j : j + 20000], q[j : j + 20000]
-                ok = np.einsum("ij,ij->i", x[pj], x[qj]) >= threshold
-                pj, qj = pj[ok], qj[ok]
-                shared = (c[pj][:, :, None] == c[qj][:, None, :]).any(2)
-                ok = np.where(shared, c[pj], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == here  # alike from both ends
-                pj, qj = pj[ok], qj[ok]
-                np.add.at(n, pj, weight[qj])
-                np.add.at(n, qj, weight[pj])
-                while len(pj):  # joins the ends of each link
-                    rp, rq = find(root, pj), find(root, qj)
-                    if not (open_ := rp != rq).any():
-                        break
-                    pj, qj, rp, rq = pj[open_], qj[open_], rp[open_], rq[open_]
-                    np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
+            shared = (c[p][:, :, None] == c[q][:, None, :]).any(2)
+            ok = np.where(shared, c[p], last).min(1, initial=last) == code[p]  # alike from both ends
+            p, q = p[ok], q[ok]
+            np.add.at(n, p, weight[q])
+            np.add.at(n, q, weight[p])
+            while len(p):  # joins the ends of each link
+                rp, rq = find(root, p), find(root, q)
+                if not (open_ := rp != rq).any():
+                    break
+                p, q, rp, rq = p[open_], q[open_], rp[open_], rq[open_]
+                np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
         hit = np.nonzero(n)[0]
-        return (ids[hit], n[hit], ids[find(root, hit)]) if len(hit) else None
+        return ids[hit], n[hit], ids[find(root, hit)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def close() -> tuple[np.ndarray, ...] | None:
-            if sum(len(h[0]) for h in held) < 2:
-                return None
-            side, ids, weight, code, x, c = (h[0] if len(h) == 1 else np.concatenate(h) for h in zip(*held, strict=True))
-            return links(side, ids, weight, code[0], x, c)
-
-        def out(found: list) -> pa.RecordBatch:
-            cols = [np.concatenate(x) for x in zip(*found, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["rep", "n", "other"])
-
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            vec = t.column("vec").combine_chunks()
+            dims = vec.value_lengths().to_numpy()
+            for d in np.unique(dims):  # vectors of a group are of one length
+                at = np.nonzero(dims == d)[0]
+                part = t if len(at) == t.num_rows else t.take(pa.array(at))
+                x, c = (part.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for k in ("vec", "codes"))
+                found = links(*(part.column(k).to_numpy() for k in ("grp", "side", "rep", "weight", "code")), x.astype(np.float64), c)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in found], names=["rep", "n", "other"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            grp, side, ids, weight, code = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("grp", "side", "rep", "weight", "code"))
-            vec, codes_ = batch.column("vec"), batch.column("codes")
-            values, at = vec.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(vec.value_lengths().to_numpy())])
-            c = codes_.flatten().to_numpy(zero_copy_only=False).reshape(len(grp), -1)
-            found = []
-            cuts = [0, *(np.nonzero(grp[1:] != grp[:-1])[0] + 1).tolist(), len(grp)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if held and grp[i] != key:
-                    if (got := close()) is not None:
-                        found.append(got)
-                    held = []
-                key = grp[i]
-                held.append((side[i:j], ids[i:j], weight[i:j], code[i:j], values[at[i] : at[j]].reshape(j - i, -1), c[i:j]))
-            if found:
-                yield out(found)
-        if held and (got := close()) is not None:
-            yield out([got])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) < 2 * ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            grp = t.column("grp").to_numpy()
+            cuts = np.concatenate([np.nonzero(grp[1:] != grp[:-1])[0] + 1])  # the last group may go on
+            at = 0
+            while len(cuts) and cuts[-1] - at > ROWS:
+                end = int(cuts[max(np.searchsorted(cuts, at + ROWS, "right") - 1, np.searchsorted(cuts, at, "right"))])
+                yield from done(t.slice(at, end - at))
+                at = end
+            held = t.slice(at).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -192,26 +208,31 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
     or more.  Vectors that are null, empty, zero or hold a null or non-finite component link with nothing: n_links 0,
     component_id their own id.  Repeated rows are vectors of their own, linked by cosine 1; they share an id, so they
     count as links.  Null id: the row stays and counts as a link, but never names a component.  Empty table: no rows.
+    A vector is cast to doubles where it is compared; it travels as it came.  Other columns are not looked at.
     """
     spark = vectors.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("lab"), F.col(vec_col).cast("array<double>").alias("vec"))
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("lab"), F.col(vec_col).alias("vec"))
     v = v.withColumn("ok", usable(F.col("vec")) & F.col("lab").isNotNull())
-    v = cut(v.withColumn("same", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("lab").cast("string"), F.array_join("vec", ",")), 256))))
+    # 128 bits of label and vector name a group of equal ones
+    same = F.struct(F.xxhash64("lab", "vec").alias("a"), F.xxhash64(F.lit("second"), "vec", "lab").alias("b"))
+    v = cut(v.withColumn("same", F.when(F.col("ok"), same)))
     # equal vectors of a label: one stands for all, with their number as weight
     groups = v.where("ok").groupBy("same").agg(F.min("id").alias("low"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.first("lab").alias("lab"))
-    groups = cut(groups.withColumn("rep", F.xxhash64("same")))
     column = F.pandas_udf(_codes_column(tables, probes, seed), ArrayType(LongType()))
-    coded = cut(groups.select("rep", "weight", "vec", F.concat_ws("/", F.col("lab").cast("string"), F.size("vec")).alias("kind"), column(F.col("vec")).alias("codes")))
+    kind = F.concat_ws("/", F.col("lab").cast("string"), F.size("vec"))
+    groups = cut(groups.select("same", F.xxhash64("same").alias("rep"), "low", "weight", "vec", kind.alias("kind"), column(F.col("vec")).alias("codes")))
+    coded = groups.select("rep", "weight", "vec", "kind", "codes")
+    # buckets are counted and cut on ids and codes alone; vectors are fetched once for those that meet another
     entries = coded.select("rep", "kind", F.explode("codes").alias("code"))
     sizes = entries.groupBy("kind", "code").agg(F.count("*").alias("size")).where("size > 1").withColumn("tiles", F.ceil(F.col("size") / TILE))
+    met = entries.join(sizes, ["kind", "code"]).groupBy("rep").agg(F.collect_list(F.struct("code", "tiles")).alias("met"))
     # every vector of a bucket with t tiles goes to the t pairs of tiles that hold its own
+    spread = coded.join(met, "rep").select("rep", "weight", "vec", "kind", "codes", F.explode("met").alias("m")).select("*", "m.code", "m.tiles").drop("m")
     mine = F.pmod(F.col("rep"), F.col("tiles"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("a"), F.greatest(o, F.col("mine")).alias("b"), F.when(o == F.col("mine"), 1).when(F.col("mine") < o, 0).otherwise(2).cast("int").alias("side")))
-    spread = coded.select("rep", "weight", "vec", "kind", "codes", F.explode("codes").alias("code")).join(sizes, ["kind", "code"])
     spread = spread.withColumn("mine", mine).withColumn("pair", F.explode(pairs))
     spread = spread.select(F.xxhash64("kind", "code", "pair.a", "pair.b").alias("grp"), F.col("pair.side").alias("side"), "rep", "weight", "code", "vec", "codes")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     links = cut(spread.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_verify(threshold), "rep long, n long, other long"))
     comp = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("n").alias("n"))
@@ -223,8 +244,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
     return done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
 
 
-def keep_one(vectors: DataFrame, **how) -> DataFrame:
-    """vectors without those that another of their component stands for."""
-    kept = link(vectors, **how).where("kept").select(F.col("vec_id").alias("__id")).distinct()
-    return vectors.join(kept, vectors["vec_id"] == F.col("__id"), "left_semi")
-
+def keep_one(vectors: DataFrame, id_col: str = "vec_id", **how) -> DataFrame:
+    """vectors without those that another of their component stands for; rows of a null id always stay."""
+    kept = link(vectors, id_col=id_col, **how).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    held = vectors.select(F.struct(*vectors.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return held.where("id IS NULL").select("row.*").unionByName(held.join(kept, held["id"] == kept["kept_id"], "left_semi").select("row.*"))
