@@ -18,11 +18,11 @@ verified by the Jaccard similarity of their shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +53,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Bytes whose words are hashed at once.
+BYTES = 1 << 20
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    odd = int(_MIX)
+    up, down = np.full(n, odd, np.uint64), np.full(n, pow(odd, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in bytes, A-Z lower-cased, and where they begin.  The last byte must be white space."""
+    hashes, begins, at = [], [], 0
+    while at < len(raw):
+        end = min(at + BYTES, len(raw))
+        if end < len(raw):  # not inside a word
+            while not (gap := _SPACE[raw[end : end + BYTES]]).any():
+                end += BYTES
+            end += int(gap.argmax()) + 1
+        part = raw[at:end]
+        space = _SPACE[part]
+        edge = np.diff(space, prepend=True)
+        begin, stop = np.nonzero(edge & ~space)[0], np.nonzero(edge & space)[0]
+        up, down = _powers(1 << max(20, (len(part) - 1).bit_length()))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[part] * up[: len(part)], dtype=np.uint64)])
+        hashes.append(mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64)))
+        begins.append(begin + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(begins)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+class Shingled:
+    """Hashes of the five-word shingles of texts: base[starts[i] : starts[i] + sizes[i]] for text i, each ended by a 0."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        h, begins = word_hashes(np.frombuffer(b"\n".join([*raw, b""]), np.uint8))
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        of = np.searchsorted(ends, begins, "right")
+        words = np.bincount(of, minlength=len(raw))
+        self.sizes = np.maximum(words - SHINGLE + 1, 0)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]])
+        self.base = np.zeros(int(self.sizes.sum()) + len(raw), np.uint64)
+        n = len(h) - SHINGLE + 1
+        if n > 0:
+            out = np.zeros(n, np.uint64)
+            for i in range(SHINGLE):
+                out = out * _MIX + mix(h[i : i + n] + np.uint64(i + 1))
+            at = np.nonzero(of[:n] == of[SHINGLE - 1 :])[0]  # within one text
+            first = np.concatenate([[0], np.cumsum(words)[:-1]])
+            self.base[self.starts[of[at]] + at - first[of[at]]] = mix(out[at]) | np.uint64(1)  # never 0
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of a text's five-word shingles, in order (none for a shorter text)."""
-    w = words(text)
-    n = len(w) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        out = out * _MIX + mix(h[i : i + n] + np.uint64(i + 1))
-    return mix(out) | np.uint64(1)  # never 0, which parts documents
+    return Shingled([text]).base[:-1]
 
 
 def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -104,10 +150,8 @@ class _Runs:
     """Hashes of stretches base[lo:hi] as seen from c: equal where the shingles and their distances from c are."""
 
     def __init__(self, base: np.ndarray):
-        odd = int(_MIX)
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), odd, np.uint64)]))
-        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(base), pow(odd, -1, 1 << 64), np.uint64)]))
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(base * power[:-1], dtype=np.uint64)])
+        up, self.back = _powers(1 << max(20, len(base).bit_length()))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(base * up[: len(base)], dtype=np.uint64)])
 
     def __call__(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.total[hi] - self.total[lo]) * self.back[c]) >> np.uint64(32) | np.uint64(1)
@@ -122,11 +166,9 @@ def _windows(width: int, hashes: int):
     back = [int(x * width) for x in STARTS]
 
     def block(texts: list[str | None], docs: np.ndarray) -> np.ndarray:
-        arrays = [shingles(t) for t in texts]
-        base = np.concatenate([x for a in arrays for x in (a, np.zeros(1, np.uint64))])
-        sizes = np.array([len(a) for a in arrays])
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        runs, found = _Runs(base), []
+        of = Shingled(texts)
+        base, sizes, starts, found = of.base, of.sizes, of.starts, []
+        runs = _Runs(base)
         for k in range(hashes):
             h = np.where(base == 0, np.uint64(0), mix(base + np.uint64((k + 1) * int(_MIX) % (1 << 64))) | np.uint64(1))
             l, c, r = compact_windows(h, width)  # noqa: E741
@@ -226,14 +268,19 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, size = w[np.repeat(large, size)], size[large]
         if not len(w):
             continue
-        doc, first, pairs = w[:, 1], np.ones(len(w), bool), []
+        doc, first, root, pairs = w[:, 1], np.ones(len(w), bool), np.arange(len(w)), []
         for key in (w[:, 4] >> 32 & LOW, w[:, 4] & LOW, w[:, 5] >> 32 & LOW, w[:, 5] & LOW):
             of = _first_of(np.stack([w[:, 0], key], 1), key != 0)
             other = of != np.arange(len(w))
             first &= ~other
-            at = np.nonzero(other & (doc != doc[of]))[0]
+            at = np.nonzero(other)[0]
+            a, b = find(root, at), find(root, of[at])
+            at = at[a != b]
+            at = at[np.unique(np.stack([a, b], 1)[a != b], axis=0, return_index=True)[1]]  # one link joins two trees
+            _united(root, at, of[at])
+            at = at[doc[at] != doc[of[at]]]
             pairs.append(np.stack([at, of[at]], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
+        pairs = np.concatenate(pairs)
         f = np.stack([w[:, 3] & 255, doc, w[:, 2] >> 32, w[:, 2] & LOW, w[:, 3] >> 8], 1)
         grp, n = w[:, :1], len(pairs)
         out = [np.concatenate([grp[pairs[:, 0]], f[pairs[:, 0]], f[pairs[:, 1], 1:], np.full((n, 1), -1)], 1)]
@@ -252,20 +299,44 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows, FIRST)
 
 
+def _lists(column: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The row that each element of a column of lists of structs is in, and its fields as longs."""
+    flat = column.flatten()
+    of = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+    return of, np.stack([flat.field(x).cast(pa.int64()).to_numpy(zero_copy_only=False) for x in names], 1) if len(flat) else np.zeros((0, len(names)), np.int64)
+
+
+def _pieces(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of data, sizes[i] numbers of it for row i."""
+    ends = np.concatenate([[0], np.cumsum(sizes * data.itemsize)])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+ASKED = ("grp", "hid", "l", "c", "r", "tile", "tiles")
+
+
 def _around(width: int):
     """A document's firsts with the shingles around their centres, as 16-bit hashes (0 past the text's ends)."""
-    span = 2 * width - 1
+    reach = np.arange(-width + 1, width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for t, doc, firsts in zip(pdf["text"], pdf["doc"], pdf["firsts"], strict=True):
-                a = (shingles(t) >> np.uint64(48)).astype("<u2") | np.uint16(1)
-                pad = np.concatenate([np.zeros(width - 1, "<u2"), a, np.zeros(width, "<u2")])
-                rows = pd.DataFrame([tuple(f.values()) if isinstance(f, dict) else tuple(f) for f in firsts], columns=["grp", "hid", "l", "c", "r", "tile", "tiles"])
-                rows = rows[rows["c"] < len(a)]  # where an id is repeated, its other text may be shorter
-                rows["doc"] = doc
-                rows["part"] = [pad[c : c + span].tobytes() for c in rows["c"]]
-                yield rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for part in text_blocks(texts):
+                s = Shingled(texts[part])
+                short = (s.base >> np.uint64(48)).astype("<u2") | np.uint16(1)
+                rows = batch.slice(part.start, part.stop - part.start)
+                of, f = _lists(rows.column("firsts"), ASKED)
+                ok = f[:, 3] < s.sizes[of]  # where an id is repeated, its other text may be shorter
+                of, f = of[ok], f[ok]
+                docs = rows.column("doc").to_numpy()
+                for i in range(0, len(of), BLOCK):
+                    o, g = of[i : i + BLOCK], f[i : i + BLOCK]
+                    at = g[:, 3:4] + reach
+                    inside = (at >= 0) & (at < s.sizes[o][:, None])
+                    x = np.where(inside, short[np.where(inside, at + s.starts[o][:, None], 0)], np.uint16(0)).astype("<u2")
+                    cols = [pa.array(np.ascontiguousarray(g[:, j])) for j in range(len(ASKED))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(docs[o]), _pieces(x, np.full(len(o), len(reach)))], names=[*ASKED, "doc", "part"])
 
     return run
 
@@ -459,14 +530,24 @@ def _joined(agree: int):
     return run
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's asked intervals with their shingles, each as often as its salts say."""
-    for pdf in batches:
-        for t, doc, asked in zip(pdf["text"], pdf["doc"], pdf["asked"], strict=True):
-            have = (shingles(t) >> np.uint64(32)).astype("<u4")
-            rows = pd.DataFrame([tuple(f.values()) if isinstance(f, dict) else tuple(f) for f in asked], columns=["lo", "hi", "salts"])
-            rows["doc"], rows["part"] = doc, [have[a : b + 1].tobytes() for a, b in zip(rows["lo"], rows["hi"], strict=True)]
-            yield rows
+    names = ("lo", "hi", "salts")
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for part in text_blocks(texts):
+            s = Shingled(texts[part])
+            have = (s.base >> np.uint64(32)).astype("<u4")
+            rows = batch.slice(part.start, part.stop - part.start)
+            of, f = _lists(rows.column("asked"), names)
+            docs = rows.column("doc").to_numpy()
+            n = np.minimum(f[:, 1] + 1, s.sizes[of]) - np.minimum(f[:, 0], s.sizes[of])
+            cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + 1, BYTES), "left") if len(n) else np.zeros(0, np.int64)
+            cuts = np.unique(np.concatenate([[0], cuts, [len(n)]]))
+            for i, j in zip(cuts, cuts[1:], strict=False):  # some intervals at a time
+                data = [have[b + lo : b + lo + k] for b, lo, k in zip(s.starts[of[i:j]].tolist(), f[i:j, 0].tolist(), n[i:j].tolist(), strict=True)]
+                cols = [pa.array(np.ascontiguousarray(f[i:j, k])) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(docs[of[i:j]]), _pieces(np.concatenate(data), n[i:j])], names=[*names, "doc", "part"])
 
 
 def _longest(hit: np.ndarray, share: float) -> tuple[int, int]:
@@ -547,7 +628,8 @@ def _verified(least: int, similarity: float):
                     held = (cid, side, doc, lo, part)
                     continue
                 a, b = np.frombuffer(held[4], "<u4"), np.frombuffer(part, "<u4")
-                for s, e, os_, oe, jac in matched(a, b, least, similarity):
+                whole = [(0, len(a), 0, len(b), 1.0)] if len(a) >= least and held[4] == part else None
+                for s, e, os_, oe, jac in whole or matched(a, b, least, similarity):
                     out.append((held[2], held[3] + s, held[3] + e + SHINGLE - 1, doc, lo + os_, lo + oe + SHINGLE - 1, jac))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "similarity"])
@@ -578,11 +660,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     many = many.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("tile"), (F.col("last") + 1).alias("tiles"))
     apart = apart.join(many, ["grp", "tile"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
     asked = apart.groupBy("doc").agg(F.collect_list(F.struct("grp", "hid", "l", "c", "r", "tile", "tiles")).alias("firsts"))
-    around = asked.join(d, "doc").mapInPandas(_around(width), "grp long, hid int, l int, c int, r int, tile long, tiles long, doc long, part binary")
+    around = asked.join(d, "doc").mapInArrow(_around(width), "grp long, hid long, l long, c long, r long, tile long, tiles long, doc long, part binary")
     # every window of a minimum with t tiles goes to the t pairs of tiles that hold its own
     mine = F.col("tile")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b"), F.when(o == mine, 1).when(mine < o, 0).otherwise(2).alias("side")))
-    spread = around.withColumn("t", F.explode(pairs)).select(F.xxhash64("grp", "t.a", "t.b").alias("pair"), F.col("t.side").alias("side"), *LINK[:5], "part")
+    spread = around.withColumn("t", F.explode(pairs)).select(F.xxhash64("grp", "t.a", "t.b").alias("pair"), F.col("t.side").alias("side"), *(F.col(x).cast("long" if x == "doc" else "int").alias(x) for x in LINK[:5]), "part")
     near = spread.repartition(n, "pair").sortWithinPartitions("pair", "doc", "c", "l").mapInArrow(_tiles(width, similarity), ints)
     links = cut(equal.unionByName(near))
     drop_cut(firsts)
@@ -595,7 +677,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     times = both.groupBy("doc", "lo", "hi").agg(F.ceil(F.count("*") / over).alias("salts"))
     salted = F.broadcast(times.where("salts > 1"))
     per_doc = times.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "salts")).alias("asked"))
-    parts = per_doc.join(d, "doc").mapInPandas(_slices, "doc long, lo int, hi int, salts long, part binary")
+    parts = per_doc.join(d, "doc").mapInArrow(_slices, "lo long, hi long, salts long, doc long, part binary")
     parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     both = both.join(salted, ["doc", "lo", "hi"], "left").withColumn("salt", F.pmod(F.xxhash64("cid"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
     parts = both.join(parts, ["doc", "lo", "hi", "salt"]).select("cid", "side", "doc", "lo", "part")
