@@ -559,3 +559,44 @@ def test_embeddings_large_buckets(spark, monkeypatch):
     want = (u @ u.T >= 0.93).sum(1) - 1
     got = {r.vec_id: r.n_links for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert sum(got.values()) >= 0.97 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+def test_posterior_labels_beat_wrong_ones(spark):
+    """With a tenth of the training labels turned, unlabelled votes and the label model still give the true classes."""
+    rows = labelled(900, 44)
+    rng = np.random.default_rng(45)
+    d = docs(spark, [(i, t, "a") for i, t, _ in rows])
+    known = [(i, 1, y if rng.random() > 0.1 else 1 - y) for i, _, y in rows if i < 450]
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()}
+    y = {i: t for i, _, t in rows}
+    rest = [i for i in y if i >= 450]
+    right = sum(got[i] == y[i] for i in rest) / len(rest)
+    assert right >= 0.97 > sum(a == y[i] for i, _, a in known) / len(known)
+
+
+def test_label_model_uses_rows_without_labels():
+    """Counts of vote patterns give the same as the rows, and a voter's rates come from all rows, not the labelled ones."""
+    rng = np.random.default_rng(46)
+    y = rng.random(5000) < 0.15
+    votes = np.stack([np.where(y, rng.random(5000) < a, rng.random(5000) < b) for a, b in ((0.9, 0.02), (0.8, 0.03), (0.7, 0.01), (0.5, 0.05))], 1).astype(float)
+    few = np.arange(60)
+    told = toxicity.rates(votes[few], y[few].astype(float), np.ones(60))
+    start = np.where(votes[:, 0] > 0, 0.9, 0.05)
+    off, on, prior, weight = toxicity.label_model(votes, start, None, told)
+    patterns, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    assert np.allclose(toxicity.label_model(patterns, np.where(patterns[:, 0] > 0, 0.9, 0.05), n.astype(float), told)[1], on)
+    assert np.allclose(on, (0.9, 0.8, 0.7, 0.5), atol=0.06) and abs(prior - 0.15) < 0.02
+    q = toxicity.posterior(votes, off, on, prior, weight)
+    assert ((q > 0.5) == y).mean() > max((votes[:, k] == y).mean() for k in range(4))
+
+
+def test_toxicity_edges(spark):
+    rows = labelled(200, 47)
+    text = rows[0][1]
+    d = spark.createDataFrame([(i, t, 1, "r", 2.0) for i, t, _ in rows] + [(0, text, 1, "r", 2.0), (None, None, 1, "r", 2.0), (5000, "fine words " * 30_000 + text, 1, "r", 2.0)], "doc_id long, text string, row int, found string, score double")
+    l = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.score(d, l).collect()
+    assert len(got) == 203 and len({r.score for r in got if r.doc_id == 0}) == 1
+    kept = toxicity.drop_toxic(d, l)
+    assert kept.columns == d.columns and kept.count() == sum(not r.predicted for r in got)
+    assert toxicity.drop_toxic(d.limit(0), l).count() == 0

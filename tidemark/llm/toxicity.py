@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
-Voters look for words of a fixed lexicon, for words and word beginnings mined from labelled training rows, and for
-patterns of writing.  A generative label model, fitted by expectation maximisation, estimates how often each voter
-fires on toxic and on clean texts; voters whose votes stay correlated given the class share one vote between them.  Its
-posterior labels train a linear classifier on word features, whose scores are then calibrated on the training labels.
-
-The fit uses at most LABELLED rows, chosen by a hash of their ids; everything else runs over all documents.
+Voters look for words of a fixed lexicon, for patterns of writing, and for words and word beginnings that labelled
+training rows show to be precise.  A generative label model over the votes of all documents, labelled or not, is fitted by
+expectation maximisation: how often each voter fires on toxic and on clean texts, and which voters stay correlated given
+the class and so share one vote between them.  Labels only give it prior counts, worth PRIOR rows; they are no voter.  Its
+posterior labels of the sampled rows train a linear classifier on the features found, whose scores are then calibrated on
+the training labels.
+
+There are 16 voters, so what all documents vote is a table of 65,536 patterns at most.  The classifier is fitted on at most
+LABELLED rows, chosen by a hash of their ids; votes, label model and scores cover all documents.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import cut
+from .common import cut, drop_cut
 
 #: Labelled rows that the fit may use, at most (a documented bound; where there are more, a hash of the id chooses).
 LABELLED = 20_000
 #: Mined features, at most, and the likelihood ratio (twice its logarithm) that one needs.
 FEATURES, RATIO = 3000, 20.0
+#: Rows that the firing rates on labelled rows are worth beside the votes of all documents.
+PRIOR = 500.0
 #: Share of toxic rows among those that hold a mined feature, at least.
 PRECISE = 0.75
 THRESHOLD = 0.3
@@ -60,41 +65,73 @@ def grams(text: str | None) -> set[str]:
     return out
 
 
+#: Voters: bits 0 to 3 the kinds of the lexicon, 4 to 7 the patterns, 8 to 15 the mined features in groups.
+FIXED = (*(f"lexicon:{k}" for k in LEXICON), *(f"pattern:{k}" for k in PATTERNS))
+VOTERS = 16
+_BIT = {f: 1 << i for i, f in enumerate(FIXED)}
+
+
+def _group(gram: str) -> int:
+    """The voter of a mined feature: words and beginnings apart, each dealt over four by hash."""
+    return 1 << 8 + 4 * (gram[0] == "^") + crc32(gram.encode("utf-8", "surrogatepass")) % 4
+
+
 class Finder:
-    """Finds a text's features among those of vocab, and the fixed voters that fire; made once for each worker."""
+    """A text's features among those of vocab, and the voters that fire as bits; made once for each worker."""
 
-    def __init__(self, vocab: dict[str, int]):
-        self.whole = {g[1:]: i for g, i in vocab.items() if g[0] == "="}
-        self.begins = {n: {g[1:]: i for g, i in vocab.items() if g[0] == "^" and len(g) == n + 1} for n in (4, 5, 6)}
+    def __init__(self, vocab: list[str]):
+        self.whole = {g[1:]: i for i, g in enumerate(vocab) if g[0] == "="}
+        self.begins = {n: {g[1:]: i for i, g in enumerate(vocab) if g[0] == "^" and len(g) == n + 1} for n in (4, 5, 6)}
+        self.group = [_group(g) for g in vocab]
 
-    def __call__(self, text: str | None) -> tuple[list[int], list[str]]:
+    def __call__(self, text: str | None) -> tuple[list[int], int]:
         text = text or ""
         words = set(_WORD.findall(text.lower()))
         hits = [self.whole[w] for w in self.whole.keys() & words]
         for n, known in self.begins.items():
             if known:
                 hits += [known[b] for b in known.keys() & {w[:n] for w in words if len(w) > n}]
-        fired = {"lexicon:" + _FIXED[w] for w in _FIXED.keys() & words}
-        if words & _YOU:
-            fired |= {"pattern:" + k for k in ("addressed", "shut_up") if PATTERNS[k].search(text)}
-        fired |= {"pattern:" + k for k in ("shouting", "marks") if PATTERNS[k].search(text)}
-        return sorted(hits), sorted(fired)
+        voted = 0
+        for i in hits:
+            voted |= self.group[i]
+        for w in _FIXED.keys() & words:
+            voted |= _BIT["lexicon:" + _FIXED[w]]
+        for k in ("addressed", "shut_up") if words & _YOU else ():
+            voted |= _BIT["pattern:" + k] * bool(PATTERNS[k].search(text))
+        for k in ("shouting", "marks"):
+            voted |= _BIT["pattern:" + k] * bool(PATTERNS[k].search(text))
+        return sorted(hits), voted
+
+
+def votes_of(masks: np.ndarray) -> np.ndarray:
+    return (np.asarray(masks, np.int64)[:, None] >> np.arange(VOTERS) & 1).astype(np.float64)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """votes (rows, voters) of 0 and 1, first guess of the posterior -> firing rates on clean and toxic texts, share of toxic ones, weights of voters."""
+def rates(votes: np.ndarray, q: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Sums of votes on clean and on toxic rows by their posterior q, and how many rows of either there are."""
+    return votes.T @ (count * (1 - q)), votes.T @ (count * q), float(count @ (1 - q)), float(count @ q)
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, count: np.ndarray | None = None, prior_rates: tuple | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Firing rates on clean and toxic texts, share of toxic ones, weights of voters.
+
+    votes (patterns, voters) of 0 and 1 with how many rows have each; start: the first guess of the posterior.
+    prior_rates: what rates() gives for rows whose labels are known, added as counts worth PRIOR rows.
+    """
     n, m = votes.shape
+    count = np.ones(n) if count is None else count
+    known = (np.zeros(m), np.zeros(m), 0.0, 0.0) if prior_rates is None else tuple(x * PRIOR / max(1.0, prior_rates[2] + prior_rates[3]) for x in prior_rates)
     weight = np.ones(m)
     for _ in range(2):  # once as if independent, once with what is left of correlations
         q = start
         for _ in range(rounds):
-            prior = float(np.clip(q.mean(), 1e-4, 0.5))
-            on = (votes.T @ q + 0.2) / (q.sum() + 1.0)
-            off = (votes.T @ (1 - q) + 0.02) / ((1 - q).sum() + 1.0)
-            on = np.maximum(on, off)  # voters speak for toxicity, never against it
+            clean, toxic, n_clean, n_toxic = (a + b for a, b in zip(rates(votes, q, count), known, strict=True))
+            prior = float(np.clip(n_toxic / max(n_clean + n_toxic, 1e-9), 1e-4, 0.5))
+            on, off = (toxic + 0.2) / (n_toxic + 1.0), (clean + 0.02) / (n_clean + 1.0)
+            on, off = np.clip(np.maximum(on, off), 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)  # voters speak for toxicity, never against it
             q = posterior(votes, off, on, prior, weight)
         left = np.zeros((m, m))
-        for y in (q, 1 - q):
+        for y in (q * count, (1 - q) * count):
             mean = votes.T @ y / max(y.sum(), 1e-9)
             d = (votes - mean) * np.sqrt(y)[:, None]
             left += d.T @ d
@@ -126,21 +163,17 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, y: np.ndarray,
 
 @dataclass
 class Model:
-    """What score() needs: feature weights, weights of the fixed voters, bias, and the calibration of the sum."""
+    """What scores need: mined features with their weights, weights of the fixed voters by bit, bias and calibration."""
 
-    vocab: dict[str, int] = field(default_factory=dict)
-    weights: list[float] = field(default_factory=list)
-    fixed: dict[str, float] = field(default_factory=lambda: {f"lexicon:{k}": 4.0 for k in ("insult", "contempt")})
+    vocab: list[str] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    fixed: np.ndarray = field(default_factory=lambda: np.array([4.0 * (f in ("lexicon:insult", "lexicon:contempt")) for f in FIXED]))
     bias: float = -3.0
     scale: float = 1.0
     shift: float = 0.0
-    finder: Finder | None = field(default=None, repr=False)
 
-    def score(self, text: str | None) -> float:
-        if self.finder is None:
-            self.finder = Finder(self.vocab)
-        hits, fired = self.finder(text)
-        x = self.bias + sum(self.weights[i] for i in hits) + sum(self.fixed.get(f, 0.0) for f in fired)
+    def score(self, hits: list[int], voted: int) -> float:
+        x = self.bias + float(self.weights[hits].sum()) + sum(float(w) for i, w in enumerate(self.fixed) if voted >> i & 1)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * x + self.shift))))
 
 
@@ -167,11 +200,11 @@ def _mine(train: DataFrame) -> list[str]:
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return []
-    hot = train.where("toxic = 1").select("text").mapInPandas(counts(None), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n >= 3")
-    on = {r["g"]: r["n"] for r in hot.orderBy(F.desc("n"), "g").limit(40 * FEATURES).collect()}
+    least = max(3, math.ceil(RATIO / 2 / math.log((pos + neg) / pos)))  # with fewer rows no ratio is enough
+    hot = train.where("toxic = 1").select("text").mapInPandas(counts(None), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    on = {r["g"]: r["n"] for r in hot.collect()}
     cold = train.where("toxic = 0").select("text").mapInPandas(counts(set(on)), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     off = {r["g"]: r["n"] for r in cold.collect()}
-
     return select(on, off, pos, neg)
 
 
@@ -192,43 +225,46 @@ def select(on: dict[str, int], off: dict[str, int], pos: int, neg: int) -> list[
     return [g for _, g in sorted(found)[:FEATURES]]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
-    """Fits a Model on rows of docs (doc_id, text) whose labels (doc_id, toxic 0/1) may be learnt from."""
+def _sample(labels: DataFrame, bound: int) -> DataFrame:
+    """(doc_id, toxic) of at most bound documents whose labels may be learnt from, chosen by a hash; 1 wins over 0."""
     l = labels.where(F.col("toxic").isin(0, 1) & trainable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))  # noqa: E741
-    there = l.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.98 * bound / max(there, 1)) * (1 << 30)) + 1)
-    sample = F.broadcast(l.where(share).limit(bound))  # bounded: two numbers for each of at most bound rows
-    train = cut(docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic"))
-    vocab = {g: i for i, g in enumerate(_mine(train))}
+    return cut(l.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, keep: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """A Model, and docs as the columns in keep (all, as a struct row, if None) with found: what its scores are made of."""
+    sample = _sample(labels, bound)
+    train = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # bounded: two numbers a row
+    vocab = _mine(train)
+    drop_cut(train)
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(text: pd.Series) -> pd.DataFrame:
         find = Finder(vocab)
-        for pdf in batches:
-            got = [find(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "hits": [a for a, _ in got], "fired": [b for _, b in got]})
-
-    rows = train.mapInPandas(facts, "doc_id long, toxic int, hits array<int>, fired array<string>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    n, m = len(rows), len(vocab)
-    if not n or not rows["toxic"].any() or rows["toxic"].all():
-        return Model()
-    y = rows["toxic"].to_numpy(np.float64)
-    fixed = [*(f"lexicon:{k}" for k in LEXICON), *(f"pattern:{k}" for k in PATTERNS)]
-    # mined features vote in groups of their kind, dealt by hash; the labels are one more voter, not the truth
-    group = {i: 4 * (0 if g[0] == "=" else len(g) - 4) + crc32(g.encode()) % 4 for g, i in vocab.items()}
-    votes = np.zeros((n, len(fixed) + 17))
-    for r, (hits, fired) in enumerate(zip(rows["hits"], rows["fired"], strict=True)):
-        votes[r, [group[int(i)] for i in hits]] = 1
-        votes[r, [16 + fixed.index(f) for f in fired]] = 1
-    votes[:, -1] = y
-    off, on, prior, weight = label_model(votes, np.where(y > 0, 0.9, 0.05))
-    q = posterior(votes, off, on, prior, weight)
-    at = {f: m + k for k, f in enumerate(fixed)}
-    pairs = [(r, c) for r, (hits, fired) in enumerate(zip(rows["hits"], rows["fired"], strict=True)) for c in (*map(int, hits), *(at[f] for f in fired))]
-    ri, ci = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    w = logistic(ri, ci, n, m + len(fixed), q)
-    raw = w[-1] + np.bincount(ri, w[ci], n)
-    a, b = _platt(raw, y)
-    return Model(vocab, w[:m].tolist(), {f: float(w[at[f]]) for f in fixed}, float(w[-1]), a, b)
+        got = [find(t) for t in text]
+        return pd.DataFrame({"hits": [a for a, _ in got], "voted": [b for _, b in got]})
+
+    found.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
+    rows = [F.struct(*docs.columns).alias("row"), "doc_id"] if keep is None else keep
+    seen = cut(docs.select(*rows, F.pandas_udf(found, "hits array<int>, voted int")("text").alias("found")))
+    known = seen.select("doc_id", "found").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "found.hits", "found.voted").toPandas()
+    known = known.sort_values(["doc_id", "toxic"], kind="stable")
+    n, m = len(known), len(vocab)
+    if not n or not known["toxic"].any() or known["toxic"].all():
+        return Model(vocab, np.zeros(m)), seen
+    y, mine = known["toxic"].to_numpy(np.float64), votes_of(known["voted"])
+    patterns = seen.groupBy("found.voted").agg(F.count("*").alias("n")).toPandas().sort_values("voted")
+    votes, count = votes_of(patterns["voted"]), patterns["n"].to_numpy(np.float64)
+    told = rates(mine, y, np.ones(n))
+    off, on = (np.clip((x + 0.2) / (k + 1.0), 1e-4, 1 - 1e-4) for x, k in ((told[0], told[2]), (told[1], told[3])))
+    start = posterior(votes, off, np.maximum(on, off), float(np.clip(y.mean(), 1e-4, 0.5)), np.ones(VOTERS))
+    q = posterior(mine, *label_model(votes, start, count, told))
+    fixed = len(FIXED)
+    ri, ci = np.nonzero(mine[:, :fixed])
+    ri = np.concatenate([np.repeat(np.arange(n), [len(h) for h in known["hits"]]), ri])
+    ci = np.concatenate([*(np.asarray(h, np.int64) for h in known["hits"]), m + ci])
+    w = logistic(ri, ci, n, m + fixed, q)
+    a, b = _platt(w[-1] + np.bincount(ri, w[ci], n), y)
+    return Model(vocab, w[:m], w[m:-1], float(w[-1]), a, b), seen
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -244,27 +280,28 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05), b
 
 
-def score_column(text: Column, model: Model) -> Column:
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in text], dtype="float64")
+def score_column(found: Column, model: Model) -> Column:
+    def run(hits: pd.Series, voted: pd.Series) -> pd.Series:
+        return pd.Series([model.score(list(h), int(v)) for h, v in zip(hits, voted, strict=True)], dtype="float64")
 
-    run.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, DoubleType())(text)
+    run.__annotations__ = {"hits": pd.Series, "voted": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, DoubleType())(found["hits"], found["voted"])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted): a row per row of docs.
 
-    Null or empty text: the score of a text without features.  Null id: held_out false, never trained on.  Repeated rows
-    get equal scores.  Labels that are null or not 0 or 1 are left out; where a document has several, 1 wins; without
-    labels of both kinds the fixed lexicon alone scores.  Empty docs: no rows.  Other columns are not looked at.
+    Null or empty text: the score of a text without features.  Null id: held_out false, its label never used.  Repeated
+    rows get equal scores and each votes in the label model.  Labels that are null or not 0 or 1 are left out; where a
+    document has several, 1 wins; without labels of both kinds the fixed lexicon alone scores.  Of features that tie
+    the first by name are mined.  Very long texts are searched whole.  Empty docs: no rows.  Other columns are not looked at.
     """
-    model = fit(docs, labels, bound)
-    s = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), score_column(F.col("text"), model).alias("score"))
+    model, seen = fit(docs, labels, bound, ["doc_id"])
+    s = seen.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), score_column(F.col("found"), model).alias("score"))
     return s.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = LABELLED) -> DataFrame:
     """docs without the rows that score threshold or more."""
-    model = fit(docs, labels, bound)
-    return docs.withColumn("__t", score_column(F.col("text"), model)).where(F.col("__t") < threshold).drop("__t")
+    model, seen = fit(docs, labels, bound)
+    return seen.select("row", score_column(F.col("found"), model).alias("score")).where(F.col("score") < threshold).select("row.*")
