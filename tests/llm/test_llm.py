@@ -600,3 +600,51 @@ def test_toxicity_edges(spark):
     kept = toxicity.drop_toxic(d, l)
     assert kept.columns == d.columns and kept.count() == sum(not r.predicted for r in got)
     assert toxicity.drop_toxic(d.limit(0), l).count() == 0
+
+
+def test_taught_sums_by_brute_force(spark):
+    rng = np.random.default_rng(48)
+    feats = [[sorted(set(rng.integers(0, 50, int(rng.integers(0, 9))).tolist())) for _ in range(300)] for _ in range(2)]
+    label = rng.integers(-1, 2, 300).tolist()
+    df = spark.createDataFrame([(i, q, a, b) for i, (q, a, b) in enumerate(zip(label, *feats, strict=True))], "doc_id long, quality int, a array<short>, b array<short>")
+    model = quality.Model([np.append(rng.normal(size=quality.BUCKETS), 0.1) for _ in range(2)], [(1.2, 0.1), (0.8, -0.2)], 0.0, [(0.7, 0.9), (0.5, float("inf"))])
+    got = quality.taught(df.repartition(3), model)
+    for v in (0, 1):
+        for y in (0, 1):
+            g, h, n = np.zeros(quality.BUCKETS + 1), np.zeros(quality.BUCKETS + 1), 0
+            for i in range(300):
+                raw = [sum(model.views[k][f] for f in feats[k][i]) + model.views[k][-1] for k in (0, 1)]
+                x = model.curves[1 - v][0] * raw[1 - v] + model.curves[1 - v][1]
+                if label[i] < 0 and (x >= model.edges[1 - v][1] if y else -x >= model.edges[1 - v][0]):
+                    n += 1
+                    at = [*feats[v][i], quality.BUCKETS]
+                    g[at] += 1 / (1 + np.exp(-raw[v])) - y
+                    h[at] += 0.25
+            assert np.allclose(got[v][y][0], g, atol=1e-4) and np.allclose(got[v][y][1], h, atol=1e-4) and got[v][y][2] == n
+
+
+def test_co_training_teaches(spark):
+    """A view that saw few labels learns a feature that only unlabelled rows show, from the other view."""
+    rng = np.random.default_rng(49)
+    y = rng.integers(0, 2, 4000)
+    a = [[10 + int(v)] for v in y]  # the first view tells all rows
+    b = [[20 + int(v)] if i < 200 or rng.random() < 0.3 else [30 + int(v)] for i, v in enumerate(y)]  # the second mostly by features without labels
+    known = np.arange(4000) < 200
+    df = spark.createDataFrame([(i, int(y[i]) if known[i] else -1, a[i], b[i]) for i in range(4000)], "doc_id long, quality int, a array<short>, b array<short>")
+    feats = [(np.concatenate(v[:200]), np.ones(200, np.int64)) for v in (a, b)]
+    alone, both = (quality.co_train(feats, y[:200].astype(float), lambda m: quality.taught(df, m), k) for k in (0, 3))
+    late = [i for i in range(200, 4000) if b[i][0] >= 30]
+    values = np.array([b[i][0] for i in late])
+    right = [((m.sure([None, (values, np.ones(len(late), np.int64))], 1) > 0) == (y[late] == 1)).mean() for m in (alone, both)]
+    assert right[0] < 0.7 and right[1] > 0.95
+
+
+def test_quality_edges(spark):
+    rng = np.random.default_rng(50)
+    rows = [(i, words(rng, 30) if i % 3 else "!!! " * 30, "en", "s", 100, 1, "x") for i in range(120)]
+    rows += [(5, rows[5][1], "en", "s", 100, 1, "x"), (None, None, None, None, None, 1, "x"), (700, "w " * 60_000, "en", "s", 120_000, 1, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality int, a string")
+    l = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] + [(3, 1, 0), (None, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score(d, l).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 5}) == 1
+    assert sum(r.keep == bool(r.doc_id % 3) for r in got if r.doc_id is not None and 60 <= r.doc_id < 120) >= 57

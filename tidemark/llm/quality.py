@@ -1,11 +1,14 @@
 """Document quality by co-training.
 
-One classifier sees what a text says (the shapes and beginnings of its words), the other how the page is made (language,
-source, length, line layout, shares of kinds of characters).  Each is trained on the labels and on the confident
-pseudo-labels of the other, over several rounds.  Both are calibrated on labelled rows that no round trained on, and the
-mean of their calibrated log-odds scores every document.
-
-The fit uses at most LABELLED labelled and POOL unlabelled rows, chosen by a hash of their ids; the scores cover all.
+One classifier sees what a text says (the shapes and beginnings of its words, shares of kinds of characters), the other
+the page's metadata (language, source, stated length) and layout (lines and their lengths, repeated lines), never a word.
+Both are logistic classifiers.  In each round a view labels every unlabelled document that it is sure of, and the other
+is trained anew on the labelled rows and on these.  Those documents stay where they are, however many: Spark sums their
+gradient and curvature by feature, weighted by class so that together they count as a part of the labelled rows, and the
+fit moves along that sum.  Both views are calibrated on labelled rows that no round trained on, and the sum of their
+calibrated log-odds, less what both owe to the share of good rows, scores every document.
+
+The fit uses at most LABELLED labelled rows, chosen by a hash of their ids; features are found once for each document.
 """
 
 from __future__ import annotations
@@ -19,18 +22,25 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .toxicity import _platt, logistic
-
-#: Documented bounds of the fit: labelled rows, and unlabelled rows that pseudo-labels may come from.
-LABELLED, POOL = 12_000, 12_000
-ROUNDS = 4
-#: How sure a view must be to teach the other, and the share of the pool that it may teach in a round.
-SURE, SHARE = 0.95, 0.15
+from .common import cut, drop_cut
+from .toxicity import _platt
+
+#: Documented bound of the fit: labelled rows.
+LABELLED = 12_000
+ROUNDS = 3
+#: How right a view must be, on labelled rows that it has not seen, about those it is as sure of, to teach a document.
+SURE = 0.99
+#: What the documents that a view is taught of a class weigh together, in labelled rows of the class.
+TAUGHT = 0.25
+L2, STEPS = 2.0, 150
+#: Gradients are summed as whole multiples of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1 << 20
 BUCKETS = 1 << 13
+VIEWS = ("a", "b")
 
 _RUN = re.compile(r"[a-zà-ÿ]+|[A-ZÀ-Þ]+|[0-9]+")
 
@@ -45,115 +55,175 @@ def shape(word: str) -> str:
 
 
 def text_view(text: str | None) -> list[int]:
-    w = (text or "").split()
-    n = max(1, len(w))
+    t = text or ""
+    w = t.split()
+    n, chars = max(1, len(w)), max(1, len(t))
     shapes = Counter(map(shape, w))
     out = {f"s:{s}:{min(3, int(4 * k / n))}" for s, k in shapes.items() if k > 1 or n < 20}
     out |= {f"b:{x[:3].lower()}" for x in set(w)}
-    out.add(f"distinct:{int(10 * len(set(w)) / n)}")
+    caps, marks, digits = sum(map(str.isupper, t)), sum(not (c.isalnum() or c.isspace()) for c in t), sum(map(str.isdigit, t))
+    out |= {f"distinct:{int(10 * len(set(w)) / n)}", f"caps:{min(10, int(20 * caps / chars))}", f"marks:{min(12, int(40 * marks / chars))}", f"digits:{min(10, int(20 * digits / chars))}"}
     return sorted({_bucket(x) for x in out})
 
 
 def page_view(text: str | None, lang: str | None, source: str | None, n_chars: int | float | None) -> list[int]:
-    t = text or ""
-    lines = t.split("\n")
-    n = max(1, len(t))
-    caps, marks, digits = sum(map(str.isupper, t)), sum(not (c.isalnum() or c.isspace()) for c in t), sum(map(str.isdigit, t))
+    lines = (text or "").split("\n")
     size = 0 if n_chars is None or n_chars != n_chars else n_chars
-    out = [f"lang:{lang}", f"source:{source}", f"chars:{int(math.log2(max(1, size)))}", f"lines:{int(math.log2(len(lines)))}", f"line:{int(math.log2(max(1, n / len(lines))))}"]
-    out += [f"caps:{min(10, int(20 * caps / n))}", f"marks:{min(12, int(40 * marks / n))}", f"digits:{min(10, int(20 * digits / n))}", f"again:{int(5 * (1 - len(set(lines)) / len(lines)))}"]
+    long = max(map(len, lines))
+    mean = sum(map(len, lines)) / len(lines)
+    out = [f"lang:{lang}", f"source:{source}", f"chars:{int(2 * math.log2(max(1, size)))}", f"lines:{int(2 * math.log2(len(lines)))}", f"line:{int(2 * math.log2(max(1, mean)))}"]
+    out += [f"longest:{int(2 * math.log2(max(1, long)))}", f"again:{int(8 * (1 - len(set(lines)) / len(lines)))}", f"even:{int(4 * mean / max(1, long))}"]
     return sorted({_bucket(x) for x in out})
 
 
+def logits(values: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of weights (bias last) over rows of sizes[i] features each, one after the other in values.
+
+    Summed in whole numbers, so that equal rows have equal sums wherever they stand.
+    """
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.rint(w * (1 << 30)).astype(np.int64)[values])])
+    ends = np.cumsum(sizes)
+    return (total[ends] - total[ends - sizes]) / (1 << 30) + w[-1]
+
+
+def train(feats: tuple[np.ndarray, np.ndarray], y: np.ndarray, start: np.ndarray | None = None, pull: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights (bias last) of a logistic classifier on values and sizes of rows; pull: gradient and curvature of others at start."""
+    values, sizes = feats
+    rows, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+    w = np.zeros(BUCKETS + 1) if start is None else start.copy()
+    if start is None:
+        w[-1] = math.log(np.clip(y.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(y.mean(), 1e-3, 1 - 1e-3)))
+    l2 = np.append(np.full(BUCKETS, L2), 0.0)
+    scale = np.append(np.bincount(values, minlength=BUCKETS) * 0.25, n * 0.25) + l2
+    g0, h0 = pull or (np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1))
+    at, speed = w.copy(), np.zeros(BUCKETS + 1)
+    for _ in range(STEPS):  # gradient steps scaled by a bound of the curvature, with momentum
+        g = 1 / (1 + np.exp(-np.clip(logits(values, sizes, w), -30, 30))) - y
+        d = np.append(np.bincount(values, g[rows], BUCKETS), g.sum()) + l2 * w + g0 + 10 * h0 * (w - at)  # 10: features of a row go together
+        speed = 0.8 * speed - 0.1 * d / (scale + 10 * h0)
+        w = w + speed
+    return w
+
+
 @dataclass
 class Model:
-    views: tuple[np.ndarray, np.ndarray]
-    curves: tuple[tuple[float, float], tuple[float, float]]
+    """By view weights and calibration curve; prior: log-odds of a good row; by view the log-odds from which it teaches."""
+
+    views: list[np.ndarray]
+    curves: list[tuple[float, float]]
+    prior: float = 0.0
+    edges: list[tuple[float, float]] | None = None
 
-    def logits(self, feats: list[list[int]], view: int) -> np.ndarray:
-        w = self.views[view]
-        raw = np.array([w[f].sum() + w[-1] for f in feats]) if feats else np.zeros(0)
+    def sure(self, feats: list[tuple[np.ndarray, np.ndarray]], view: int) -> np.ndarray:
+        """Calibrated log-odds; feats: values and sizes by view."""
         a, b = self.curves[view]
-        return np.clip(a * raw + b, -30, 30)
+        return np.clip(a * logits(*feats[view], self.views[view]) + b, -30, 30)
+
 
+def _lists(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(batch.column(v).flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(v).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) for v in VIEWS]
 
-def _pairs(feats: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.array([x for f in feats for x in f], np.int64)
 
+def _of(feats: list[tuple[np.ndarray, np.ndarray]], keep: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(v[np.repeat(keep, n)], n[keep]) for v, n in feats]
 
-def _train(feats: list[list[int]], y: np.ndarray) -> np.ndarray:
-    r, c = _pairs(feats)
-    return logistic(r, c, len(feats), BUCKETS, y, l2=2.0, steps=150)
 
+def edge(x: np.ndarray, right: np.ndarray, least: float = SURE) -> float:
+    """The least x (0 at least) from which the share of rows that are right, less a doubt for few, is least or more."""
+    order = np.argsort(-x, kind="stable")
+    good = (np.cumsum(right[order]) + 1) / (np.arange(len(x)) + 2) >= least
+    at = np.nonzero(good & (x[order] > 0))[0]
+    return float(x[order][at[-1]]) if len(at) else math.inf
 
-def co_train(views: tuple[list[list[int]], list[list[int]]], y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """views: feature lists of the labelled rows first, then of the pool; y: labels of the labelled rows."""
+
+def taught(table: DataFrame, model: Model) -> list[list[tuple[np.ndarray, np.ndarray, float]]]:
+    """By view and class: gradient and curvature at the view's weights, and number, of the rows the other view is sure of."""
+    wide = BUCKETS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, 2, wide))
+        for batch in batches:
+            feats = _lists(batch)
+            for v in (0, 1):
+                x = model.sure(feats, 1 - v)
+                for label in (0, 1):
+                    values, sizes = _of(feats, x >= model.edges[1 - v][1] if label else -x >= model.edges[1 - v][0])[v]
+                    p = 1 / (1 + np.exp(-np.clip(logits(values, sizes, model.views[v]), -30, 30)))
+                    for k, y in enumerate((p - label, np.full(len(p), 0.25))):
+                        sums[v, label, k] += np.append(np.bincount(values, np.repeat(y, sizes), BUCKETS), y.sum())
+        flat = np.rint(sums.ravel() * UNIT).astype(np.int64)
+        at = np.nonzero(flat)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], names=["at", "n"])
+
+    got = table.where("quality < 0").select(*VIEWS).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # bounded by the buckets
+    flat = np.zeros(8 * wide)
+    flat[got["at"]] = got["n"] / UNIT
+    return [[(g, h, h[-1] / 0.25) for g, h in of] for of in flat.reshape(2, 2, 2, wide)]
+
+
+def co_train(feats: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, teach, rounds: int = ROUNDS) -> Model:
+    """feats: values and sizes of the labelled rows by view; y: their labels; teach(model): taught() of the others."""
     n = len(y)
     if not n or y.min() == y.max():  # nothing to tell apart
         p = float(y[0]) * 0.98 + 0.01 if n else 0.5
-        flat = np.zeros(BUCKETS + 1)
-        flat[-1] = math.log(p / (1 - p))
-        return Model((flat, flat), ((1.0, 0.0), (1.0, 0.0)))
+        flat = np.append(np.zeros(BUCKETS), math.log(p / (1 - p)))
+        return Model([flat, flat], [(1.0, 0.0)] * 2, float(flat[-1]))
     held = np.arange(n) % 4 == 3 if n >= 40 else np.zeros(n, bool)
-    base = np.nonzero(~held)[0]
-    pool = len(views[0]) - n
-    taught: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view was given
-    models: list[np.ndarray] = [np.zeros(BUCKETS + 1)] * 2
-    rate = y[base].mean()
-    for _ in range(rounds + 1):
-        for v in (0, 1):
-            rows = [*base.tolist(), *(n + i for i in taught[v])]
-            models[v] = _train([views[v][i] for i in rows], np.concatenate([y[base], np.array(list(taught[v].values()))]))
-        for v in (0, 1):
-            rest = [i for i in range(pool) if i not in taught[1 - v]]
-            r, c = _pairs([views[v][n + i] for i in rest])
-            p = 1 / (1 + np.exp(-np.clip(models[v][-1] + np.bincount(r, models[v][c], len(rest)), -30, 30))) if rest else np.zeros(0)
-            room = SHARE * pool
-            for label, sure, most in ((1.0, p, room * rate), (0.0, 1 - p, room * (1 - rate))):
-                best = [k for k in np.argsort(-sure, kind="stable")[: int(most) + 1] if sure[k] >= SURE]
-                taught[1 - v].update({rest[k]: label for k in best})
-    curves = []
-    check = np.nonzero(held)[0] if held.any() else base
-    for v in (0, 1):
-        r, c = _pairs([views[v][i] for i in check])
-        curves.append(_platt(models[v][-1] + np.bincount(r, models[v][c], len(check)), y[check]))
-    return Model((models[0], models[1]), (curves[0], curves[1]))
-
-
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "a": [text_view(t) for t in pdf["text"]], "b": [page_view(*x) for x in zip(pdf["text"], pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)]})
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    d = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    check = held if held.any() else ~held
+    own, base = _of(feats, ~held), y[~held]
+    share = float(np.clip(y.mean(), 0.01, 0.99))
+    views = [train(x, base) for x in own]
+    for k in range(rounds + 1):
+        seen = _of(feats, check)
+        model = Model(views, [_platt(logits(*x, w), y[check]) for x, w in zip(seen, views, strict=True)], math.log(share / (1 - share)))
+        model.edges = [(edge(-x, y[check] == 0), edge(x, y[check] == 1)) for x in (model.sure(seen, v) for v in (0, 1))]
+        if k == rounds:
+            return model
+        pulls = []
+        for of in teach(model):  # each class by its labelled rows, whatever was taught
+            even = [TAUGHT * (base == label).sum() / rows if rows else 0.0 for label, (_, _, rows) in enumerate(of)]
+            pulls.append(tuple(sum(e * of[label][i] for label, e in enumerate(even)) for i in (0, 1)))
+        views = [train(x, base, w, pull) for x, w, pull in zip(own, views, pulls, strict=True)]
+
+
+def _features(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"a": [text_view(t) for t in text], "b": [page_view(*x) for x in zip(text, lang, source, n_chars, strict=True)]})
+
+
+def feature_columns(text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
+    return F.pandas_udf(_features, "a array<short>, b array<short>")(text, lang, source, n_chars)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """A Model, and a table of every document's features: doc_id, quality (-1 where no label was used), a, b."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = lambda there, bound, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.98 * bound / max(there, 1)) * (1 << 30)) + 1)
-    sample = F.broadcast(known.where(chosen(known.count(), labelled, "l")).limit(labelled))  # bounded: two numbers a row
-    some = F.broadcast(cut(d.where(chosen(d.count(), pool, "p")).select("doc_id").distinct().join(known, "doc_id", "left_anti").limit(pool)))
-    rows = d.join(sample, "doc_id").unionByName(d.join(some, "doc_id").withColumn("quality", F.lit(-1)))
-    got = cut(rows.select("doc_id", "quality", "text", "lang", "source", "n_chars")).mapInPandas(_features, "doc_id long, quality int, a array<int>, b array<int>").toPandas()
-    got = got.assign(late=got["quality"] < 0, order=[crc32(str(i).encode()) for i in got["doc_id"]]).sort_values(["late", "order", "doc_id", "quality"], kind="stable")
-    y = got.loc[~got["late"], "quality"].to_numpy(np.float64)
-    views = tuple([np.asarray(x, np.int64).tolist() for x in got[c]] for c in ("a", "b"))
-    return co_train(views, y)
-
-
-def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    d = docs.select("doc_id", feature_columns(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars").cast("long")).alias("f"))
+    table = cut(d.join(F.broadcast(sample), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), "f.a", "f.b"))  # bounded: two numbers a row
+    got = table.where("quality >= 0").toPandas()
+    got = got.assign(order=[crc32(str(i).encode()) for i in got["doc_id"]]).sort_values(["order", "doc_id", "quality"], kind="stable")
+    feats = [(np.concatenate([np.zeros(0, np.int64), *got[v]]).astype(np.int64), np.array([len(x) for x in got[v]], np.int64)) for v in VIEWS]
+    model = co_train(feats, got["quality"].to_numpy(np.float64), lambda m: taught(table, m), rounds)
+    drop_cut(sample)
+    return model, table
+
+
+def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_score, page_score, score, keep): a row per row of docs; keep where score is 0.5 or more.
 
-    Null text counts as empty, null metadata as a value of its own.  Null ids are scored, never trained on.  Repeated
-    rows get equal scores; where a document has several labels, 0 wins.  Without labels of both kinds every score is the
-    share of good labels (0.5 without any).  Empty docs: no rows.  Other columns are not looked at.
+    Null text counts as empty, null metadata as a value of its own.  Null ids are scored and taught, their labels never
+    used.  Repeated rows get equal scores and teach as often as they stand; where a document has several labels, 0 wins.
+    Very long texts are read whole.  Without labels of both kinds every score is the share of good labels (0.5 without
+    any).  Empty docs: no rows.  Other columns are not looked at.
     """
-    model = fit(docs, labels, labelled, pool)
+    model, table = fit(docs, labels, labelled, rounds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a = model.logits([text_view(t) for t in pdf["text"]], 0)
-            b = model.logits([page_view(*x) for x in zip(pdf["text"], pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)], 1)
-            p = [1 / (1 + np.exp(-x)) for x in (a, b, (a + b) / 2)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_score": p[0], "page_score": p[1], "score": p[2], "keep": p[2] >= 0.5})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feats = _lists(batch)
+            a, b = model.sure(feats, 0), model.sure(feats, 1)
+            p = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (a, b, a + b - model.prior)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(p[2] >= 0.5)], names=["doc_id", "text_score", "page_score", "score", "keep"])
 
-    d = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    return d.mapInPandas(run, "doc_id long, text_score double, page_score double, score double, keep boolean")
+    kind = table.schema["doc_id"].dataType.simpleString()
+    return table.select("doc_id", *VIEWS).mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double, keep boolean")
