@@ -32,7 +32,7 @@ from .embeddings import find
 SHINGLE = 5
 #: Words in the shortest passage.
 PASSAGE = 50
-HASHES = 5
+HASHES = 4
 #: Hashes that must link a pair of intervals before it is verified; their contexts were compared already.
 AGREE = 1
 SIMILARITY = 0.8
@@ -400,7 +400,10 @@ def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray
         at = np.nonzero(of != np.arange(n))[0]
         at = at[_united(root, at, of[at])]
         link(at, of[at])
-    for p, q in _near(pair, side, w[:, 1], x, root, similarity * least - 3):  # less some shingles that fall into one bucket
+    signs = _signatures(x)
+    for p, q in _near(pair, side, w[:, 1], x, root, similarity * least - SLACK):
+        enough = np.bitwise_count(signs[p] & signs[q]).sum(1) >= similarity * least - SLACK
+        p, q = p[enough], q[enough]
         ok = _aligned(x[p], x[q], least, similarity)
         at = np.nonzero(ok)[0]
         at = at[_united(root, p[at], q[at])]
@@ -415,6 +418,18 @@ def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray
     return np.concatenate(out) if out else np.zeros((0, len(LINK)), np.int64)
 
 
+#: Shared shingles of a context that may fall into buckets that others of it have.
+SLACK = 4
+
+
+def _signatures(x: np.ndarray) -> np.ndarray:
+    """Rows of bits for the buckets that a context's shingles fall into."""
+    bits = np.zeros((len(x), BUCKETS), bool)
+    at, col = np.nonzero(x)
+    bits[at, mix(x[at, col].astype(np.uint64)) % np.uint64(BUCKETS)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 #: Pairs of windows that are compared at once, and rows under which all pairs of a pair of tiles are.
 PAIRS, FEW = 4096, 48
 
@@ -499,7 +514,7 @@ def _tiles(least: int, similarity: float):
 
 def _joined(agree: int):
     """Sorted by pair: intervals of two documents where links of enough hashes overlap on about one diagonal."""
-    names = ("doc", "lo", "hi", "odoc", "olo", "ohi")
+    names = ("doc", "lo", "hi", "odoc", "olo", "ohi", "shift")
 
     def one(g: np.ndarray) -> list[tuple]:  # hid, doc, l, c, r, odoc, ol, oc, or
         if len(g) < agree:
@@ -512,7 +527,8 @@ def _joined(agree: int):
             ends = np.maximum.accumulate(part[:, 4])
             for p in np.split(part, np.nonzero(part[1:, 2] > ends[:-1])[0] + 1):
                 if len(np.unique(p[:, 0])) >= agree:
-                    out.append((p[0, 1], p[:, 2].min(), p[:, 4].max(), p[0, 5], p[:, 6].min(), p[:, 8].max()))
+                    shift = int(np.sort(p[:, 3] - p[:, 7])[len(p) // 2])
+                    out.append((p[0, 1], p[:, 2].min(), p[:, 4].max(), p[0, 5], p[:, 6].min(), p[:, 8].max(), shift))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -609,6 +625,32 @@ def _matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> lis
     return out
 
 
+def _matched_along(a: np.ndarray, b: np.ndarray, shift: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """What matched() gives where a[i] stands for b[i - shift]: changed words, but none put in or left out."""
+    i, j = max(0, shift), min(len(a), len(b) + shift)
+    if j - i < least:
+        return []
+    hit, share = a[i:j] == b[i - shift : j - shift], 2 * similarity / (1 + similarity)
+    out, todo = [], [(0, j - i)]
+    while todo:
+        x, y = todo.pop()
+        if y - x < least:
+            continue
+        s, e = (x + z for z in _longest(hit[x:y], share))
+        if e - s < least:
+            continue
+        if hit[s:e].all():
+            jac = 1.0
+        else:
+            u, v = np.unique(a[i + s : i + e]), np.unique(b[i + s - shift : i + e - shift])
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            jac = both / (len(u) + len(v) - both)
+        if jac >= similarity:
+            out.append((i + s, i + e, i + s - shift, i + e - shift, jac))
+        todo += [(x, s), (e, y)]
+    return out
+
+
 def _densest(at: np.ndarray, n: int) -> tuple[int, int] | None:
     """The span of at most about n that holds the most of the positions at."""
     if not len(at):
@@ -623,13 +665,13 @@ def _verified(least: int, similarity: float):
         held = None
         for pdf in batches:
             out = []
-            for cid, side, doc, lo, part in zip(pdf["cid"], pdf["side"], pdf["doc"], pdf["lo"], pdf["part"], strict=True):
+            for cid, side, doc, lo, shift, part in zip(pdf["cid"], pdf["side"], pdf["doc"], pdf["lo"], pdf["shift"], pdf["part"], strict=True):
                 if held is None or held[0] != cid or held[1] == side:
                     held = (cid, side, doc, lo, part)
                     continue
                 a, b = np.frombuffer(held[4], "<u4"), np.frombuffer(part, "<u4")
-                whole = [(0, len(a), 0, len(b), 1.0)] if len(a) >= least and held[4] == part else None
-                for s, e, os_, oe, jac in whole or matched(a, b, least, similarity):
+                found = _matched_along(a, b, shift - held[3] + lo, least, similarity)
+                for s, e, os_, oe, jac in found or matched(a, b, least, similarity):
                     out.append((held[2], held[3] + s, held[3] + e + SHINGLE - 1, doc, lo + os_, lo + oe + SHINGLE - 1, jac))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "similarity"])
@@ -668,10 +710,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = spread.repartition(n, "pair").sortWithinPartitions("pair", "doc", "c", "l").mapInArrow(_tiles(width, similarity), ints)
     links = cut(equal.unionByName(near))
     drop_cut(firsts)
-    pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc", "hid", "c", "oc").mapInArrow(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int")
+    pairs = links.repartition(n, "doc", "odoc").sortWithinPartitions("doc", "odoc", "hid", "c", "oc").mapInArrow(_joined(agree), "doc long, lo int, hi int, odoc long, olo int, ohi int, shift int")
     asked = cut(pairs.withColumn("cid", F.monotonically_increasing_id()))
     drop_cut(links)
-    both = asked.select("cid", F.lit(0).alias("side"), "doc", "lo", "hi").unionByName(asked.select("cid", F.lit(1).alias("side"), F.col("odoc").alias("doc"), F.col("olo").alias("lo"), F.col("ohi").alias("hi")))
+    both = asked.select("cid", F.lit(0).alias("side"), "doc", "lo", "hi", "shift").unionByName(asked.select("cid", F.lit(1).alias("side"), F.col("odoc").alias("doc"), F.col("olo").alias("lo"), F.col("ohi").alias("hi"), "shift"))
     # an interval that many pairs ask for is cut once and joined over salts; such intervals are few, by their bound
     over = max(HUB_LEAST, int(2 * asked.count() * HUB_SHARE))
     times = both.groupBy("doc", "lo", "hi").agg(F.ceil(F.count("*") / over).alias("salts"))
@@ -680,7 +722,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = per_doc.join(d, "doc").mapInArrow(_slices, "lo long, hi long, salts long, doc long, part binary")
     parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     both = both.join(salted, ["doc", "lo", "hi"], "left").withColumn("salt", F.pmod(F.xxhash64("cid"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
-    parts = both.join(parts, ["doc", "lo", "hi", "salt"]).select("cid", "side", "doc", "lo", "part")
+    parts = both.join(parts, ["doc", "lo", "hi", "salt"]).select("cid", "side", "doc", "lo", "shift", "part")
     out = "doc_id long, start_word long, end_word long, other_id long, other_start long, other_end long, similarity double"
     found = cut(parts.repartition(n, "cid").sortWithinPartitions("cid", "side").mapInPandas(_verified(width, similarity), out).distinct())
     drop_cut(asked)
