@@ -238,7 +238,8 @@ def test_media_texts(spark):
     rows = [*EDGE, (7, "é" * 288, "a"), (8, "magic GIF89a here", "a")]
     got = media.store_texts(docs(spark, rows), with_media=True).collect()
     assert len(got) == len(rows)
-    for r, (i, t, _) in zip(got, rows, strict=True):
+    order = lambda r: (repr(r[0]), len((r[1] or "").encode()) if isinstance(r[1], str | None) else r[1])
+    for r, (i, t, _) in zip(sorted(got, key=order), sorted(rows, key=order), strict=True):
         raw = (t or "").encode()
         pay = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
@@ -648,3 +649,61 @@ def test_quality_edges(spark):
     got = quality.score(d, l).collect()
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 5}) == 1
     assert sum(r.keep == bool(r.doc_id % 3) for r in got if r.doc_id is not None and 60 <= r.doc_id < 120) >= 57
+
+
+def more_media():
+    import struct
+
+    jpeg = b"\xff\xd8\xff\xe0\0\x07JFIF\0" + b"\xff\xda\0\x04\1\2" + b"data\xff\0more\xff\xd1end" + b"\xff\xd9"
+    bmp = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\1\2\3\0"
+    webp = b"RIFF" + struct.pack("<I", 4 + 8 + 6) + b"WEBPVP8 " + struct.pack("<I", 5) + b"12345\0"
+    flac = b"fLaC\x80\0\0\x22" + b"\0" * 34 + b"\xff\xf8frames"
+    page = lambda flag, data: b"OggS\0" + bytes([flag]) + b"\0" * 8 + b"SERI" + b"\0" * 8 + b"\1" + bytes([len(data)]) + data
+    return {"image/jpeg": jpeg, "image/bmp": bmp, "image/webp": webp, "application/ogg": page(2, b"one") + page(0, b"two") + page(4, b"three"), "audio/flac": flac}
+
+
+def test_media_other_formats():
+    parts = more_media()
+    blob = b"".join(b"..text.." + p for p in parts.values())
+    assert [(f.kind, blob[f.start : f.start + f.length]) for f in media.sniff(blob)] == list(parts.items())
+    for kind, p in parts.items():
+        assert media.corrected_type(p, "text/plain") == kind
+        cuts = range(1, len(p)) if kind != "audio/flac" else range(1, 42)
+        assert not any(f.kind == kind and f.start == 0 for n in cuts for f in media.sniff(p[:n])), kind
+    broken = {"image/jpeg": (2, 0), "image/bmp": (6, 1), "image/webp": (12, 200), "application/ogg": (26, 255), "audio/flac": (4, 3)}
+    for kind, (at, byte) in broken.items():
+        p = bytearray(parts[kind])
+        p[at if kind != "image/webp" else 16] = byte
+        assert not [f for f in media.sniff(bytes(p)) if f.start == 0 and f.kind == kind], kind
+
+
+def test_media_repeated_magic_is_linear():
+    import time
+
+    def slow(x):  # without what is kept between hits
+        hits = sorted((e - n + 1 - at, k) for e, (k, at, n) in media.automaton().iter(x.decode("latin-1")) if e - n + 1 >= at)
+        out, free = [], 0
+        for s, k in hits:
+            if s >= free and (n := media.VALID[k](x, s, {})):
+                out.append((k, s, n))
+                free = s + n
+        return out
+
+    for unit in (b"%PDF-1", b"PK\x03\x04", b"GIF89a1234567!12" + b"\x40" * 9, b"GIF89a1234567,0123456789", b"OggS", b"fLaC", b"BM"):
+        b = time.perf_counter()
+        assert media.sniff(unit * (600_000 // len(unit))) == []
+        assert time.perf_counter() - b < 5, unit
+        rng = np.random.default_rng(51)
+        for _ in range(60):  # the same as hit by hit
+            x = b"".join(unit if rng.random() < 0.6 else bytes(rng.integers(0, 256, 7, dtype=np.uint8)) + rng.choice([b"%%EOF", b"startxref", b";", b"!", b","]) for _ in range(30))
+            assert [tuple(f) for f in media.sniff(x)] == slow(x)
+
+
+def test_media_of_texts_that_hold_files(spark):
+    pdf = "%PDF-1.4\n1 0 obj\nstartxref\n0\n%%EOF"
+    rows = [(1, pdf + " and more", "a"), (2, "before " + pdf, "a"), (3, "plain", "a"), (4, "%PDF-1" * 60_000, "a")]
+    got = {r.doc_id: r.feature for r in media.store_texts(docs(spark, rows)).collect()}
+    assert got == {1: f"audio/wav,application/pdf,application/pdf:0:{len(pdf)}", 2: f"audio/wav,text/plain,application/pdf:7:{len(pdf)}", 3: "audio/wav,text/plain", 4: "audio/wav,text/plain"}
+    d = spark.createDataFrame([(1, bytearray(more_media()["image/bmp"]), "image/png", 3, "x")], "id int, b binary, declared string, row int, found string")
+    r = media.inspect(d, "b", "declared").first()
+    assert (r.media_type, r.mismatch, r.row, r.found) == ("image/bmp", True, 3, "x")

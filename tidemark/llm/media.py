@@ -2,7 +2,9 @@
 
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass.  A validator for each format then
 reads the structure behind a hit (chunk lengths, checksums, terminators) and either confirms it with its exact length or
-rejects it.  A confirmed hit at the start corrects the declared type; confirmed hits further in are carved out.
+rejects it.  A confirmed hit at the start corrects the declared type; confirmed hits further in are carved out.  What a
+validator finds out behind a position (the next end marker, where a chain of blocks ends) is kept for the hits that
+follow, so magic bytes that repeat all over a long text are read once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 
 # fixed values: formats with their magic bytes and where in the file those begin
 MAGIC: dict[str, list[tuple[bytes, int]]] = {
@@ -45,12 +48,12 @@ class Found(NamedTuple):
     length: int
 
 
-def _png(b: bytes, s: int) -> int:
+def _png(b: bytes, s: int, memo: dict) -> int:
     i = s + 8
     first = True
     while i + 12 <= len(b):
         n, name = struct.unpack(">I", b[i : i + 4])[0], b[i + 4 : i + 8]
-        if first and name != b"IHDR" or i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack(">I", b[i + 8 + n : i + 12 + n])[0]:
+        if first and (name, n) != (b"IHDR", 13) or i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack(">I", b[i + 8 + n : i + 12 + n])[0]:
             return 0
         first, i = False, i + 12 + n
         if name == b"IEND":
@@ -58,30 +61,46 @@ def _png(b: bytes, s: int) -> int:
     return 0
 
 
-def _gif(b: bytes, s: int) -> int:
-    if s + 13 > len(b):
-        return 0
-    i = s + 13 + (3 << (b[s + 10] & 7) + 1 if b[s + 10] & 128 else 0)
+def _next(b: bytes, what: bytes, s: int, memo: dict) -> int:
+    """Where what next occurs from s on, -1 if nowhere; s never falls from one call to the next."""
+    at = memo.get(what)
+    if at is None or 0 <= at < s:
+        at = memo[what] = b.find(what, s)
+    return at
 
-    def blocks(i: int) -> int:
-        while i < len(b) and b[i]:
-            i += 1 + b[i]
-        return i + 1
 
+def _gif(b: bytes, s: int, memo: dict) -> int:
+    if s + 13 > len(b):
+        return 0
+    ends: dict[int, int] = memo.setdefault("gif", {})  # of a chain of blocks: where it ends, 0 if it is broken
+    i, path, end = s + 13 + (3 << (b[s + 10] & 7) + 1 if b[s + 10] & 128 else 0), [], 0
     while i < len(b):
+        if i in ends:
+            end = ends[i]
+            break
+        path.append(i)
         if b[i] == 0x3B:
-            return i + 1 - s
+            end = i + 1
+            break
         if b[i] == 0x21:
-            i = blocks(i + 2)
+            i = -(i + 2)
         elif b[i] == 0x2C and i + 10 <= len(b):
-            i += 10 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 128 else 0)
-            i = blocks(i + 1)
+            i = -(i + 11 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 128 else 0))
         else:
-            return 0
-    return 0
-
-
-def _jpeg(b: bytes, s: int) -> int:
+            break
+        while -i < len(b) and i not in ends and b[-i]:  # data blocks, under negative positions
+            path.append(i)
+            i -= 1 + b[-i]
+        if i in ends:
+            end = ends[i]
+            break
+        path.append(i)
+        i = 1 - i
+    ends.update(dict.fromkeys(path, end))
+    return end - s if end else 0
+
+
+def _jpeg(b: bytes, s: int, memo: dict) -> int:
     i = s + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         m = b[i + 1]
@@ -106,7 +125,7 @@ def _jpeg(b: bytes, s: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, s: int) -> int:
+def _bmp(b: bytes, s: int, memo: dict) -> int:
     if s + 30 > len(b):
         return 0
     size, reserved, data, header = struct.unpack("<IIII", b[s + 2 : s + 18])
@@ -115,8 +134,8 @@ def _bmp(b: bytes, s: int) -> int:
     return size if ok and 14 + header <= data <= size and s + size <= len(b) else 0
 
 
-def _riff(kind: bytes) -> Callable[[bytes, int], int]:
-    def check(b: bytes, s: int) -> int:
+def _riff(kind: bytes) -> Callable[[bytes, int, dict], int]:
+    def check(b: bytes, s: int, memo: dict) -> int:
         if b[s : s + 4] != b"RIFF" or s + 12 > len(b):
             return 0
         end = s + 8 + struct.unpack("<I", b[s + 4 : s + 8])[0]
@@ -132,7 +151,7 @@ def _riff(kind: bytes) -> Callable[[bytes, int], int]:
     return check
 
 
-def _flac(b: bytes, s: int) -> int:
+def _flac(b: bytes, s: int, memo: dict) -> int:
     if b[s + 4 : s + 8] not in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") or s + 42 > len(b):
         return 0
     i = s + 4
@@ -146,7 +165,7 @@ def _flac(b: bytes, s: int) -> int:
     return 0
 
 
-def _ogg(b: bytes, s: int) -> int:
+def _ogg(b: bytes, s: int, memo: dict) -> int:
     i, serial = s, b[s + 14 : s + 18]
     while b[i : i + 5] == b"OggS\x00" and i + 27 <= len(b) and b[i + 14 : i + 18] == serial:
         n = b[i + 26]
@@ -159,15 +178,15 @@ def _ogg(b: bytes, s: int) -> int:
     return 0
 
 
-def _pdf(b: bytes, s: int) -> int:
+def _pdf(b: bytes, s: int, memo: dict) -> int:
     if not b[s + 5 : s + 6].isdigit():
         return 0
-    end = b.find(b"%%EOF", s)
-    return end + 5 - s if end > 0 and b.find(b"startxref", s, end) > 0 else 0
+    end = _next(b, b"%%EOF", s, memo)
+    return end + 5 - s if end > 0 and 0 < _next(b, b"startxref", s, memo) < end else 0
 
 
-def _zip(b: bytes, s: int) -> int:
-    i = b.find(b"PK\x05\x06", s)
+def _zip(b: bytes, s: int, memo: dict) -> int:
+    i = _next(b, b"PK\x05\x06", s, memo)
     if i < 0 or i + 22 > len(b):
         return 0
     count, size, offset, note = struct.unpack("<HIIH", b[i + 10 : i + 22])
@@ -175,7 +194,7 @@ def _zip(b: bytes, s: int) -> int:
     return i + 22 + note - s if ok and i + 22 + note <= len(b) else 0
 
 
-def _gzip(b: bytes, s: int) -> int:
+def _gzip(b: bytes, s: int, memo: dict) -> int:
     if s + 18 > len(b) or b[s + 3] & 0xE0:
         return 0
     d = zlib.decompressobj(31)
@@ -192,7 +211,7 @@ def _gzip(b: bytes, s: int) -> int:
     return min(at, len(b)) - len(d.unused_data) - s if d.eof else 0
 
 
-VALID: dict[str, Callable[[bytes, int], int]] = {
+VALID: dict[str, Callable[[bytes, int, dict], int]] = {
     "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "image/webp": _riff(b"WEBP"), "audio/wav": _riff(b"WAVE"),
     "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
 }
@@ -212,9 +231,9 @@ def sniff(b: bytes) -> list[Found]:
     """Confirmed media in b, outermost first: a hit inside one that is confirmed belongs to it and is not listed."""
     hits = sorted((end - n + 1 - at, kind) for end, (kind, at, n) in automaton().iter(b.decode("latin-1")) if end - n + 1 >= at)
     out: list[Found] = []
-    free = 0
+    free, memo = 0, {}
     for s, kind in hits:
-        if s >= free and (n := VALID[kind](b, s)):
+        if s >= free and (n := VALID[kind](b, s, memo)):
             out.append(Found(kind, s, n))
             free = s + n
     return out
@@ -275,7 +294,8 @@ def inspect(df: DataFrame, bytes_col: str, declared_col: str | None = None, carv
     run.__annotations__ = {"data": pd.Series, "declared": pd.Series, "return": pd.DataFrame}
     udf = F.pandas_udf(run, f"media_type string, embedded array<{piece}>, mismatch boolean")
     declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
-    return df.withColumn("__m", udf(F.col(bytes_col), declared)).select(*df.columns, "__m.media_type", "__m.embedded", "__m.mismatch")
+    held = df.select(F.struct(*df.columns).alias("row"), udf(F.col(bytes_col), declared).alias("found"))
+    return held.select("row.*", "found.media_type", "found.embedded", "found.mismatch")
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
@@ -283,25 +303,34 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Columns: id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and, if
     with_media, media (the stored bytes).  The payload is the UTF-8 text and bytes 255 up to a positive multiple of 576.
-    Null text: an empty one.  feature names the stored type, then every piece of media carved from the payload as
-    kind:start:length.  Equal texts give equal values; an empty table gives no rows; other columns are not looked at.
+    The files are written to the shared folder as a column, and all features come from what is read from there.  Null
+    text: an empty one.  feature names the stored type, the payload's own (declared text/plain, corrected where media
+    stand at its start), then every piece of media carved from the payload as kind:start:length.  Equal texts give equal
+    values; very long texts make long files; an empty table gives no rows; other columns are not looked at.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
 
-    def one(text: str | None) -> tuple:
-        raw = (text or "").encode("utf-8")
-        media = to_wav(raw + b"\xff" * (BLOCK * max(1, -(-len(raw) // BLOCK)) - len(raw)))
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
+            files = [to_wav(r + b"\xff" * (BLOCK * max(1, -(-len(r) // BLOCK)) - len(r))) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
+
+    def one(n: int, media: bytes) -> tuple:
         back = from_wav(media)
-        inner = [f"{f.kind}:{f.start}:{f.length}" for f in sniff(back)]
-        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), ",".join([corrected_type(media, None), *inner]))
+        found = sniff(back)
+        own = found[0].kind if found and not found[0].start else "text/plain"
+        feature = ",".join([corrected_type(media, None), own, *(f"{f.kind}:{f.start}:{f.length}" for f in found)])
+        row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
         return (*row, media) if with_media else row
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_media]
+        names = [id_col, *(x.split()[0] for x in schema.split(", ")[1:])]
         for batch in batches:
-            cols = list(zip(*map(one, batch.column(1).to_pylist()), strict=True)) or [()] * len(types)
-            names = [id_col, *(x.split()[0] for x in schema.split(", ")[1:])]
+            cols = list(zip(*map(one, batch.column(1).to_pylist(), batch.column(2).to_pylist()), strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    files = cut(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(store, f"`{id_col}` {kind}, n_bytes long, media binary"))
+    return files.mapInArrow(read, schema)
