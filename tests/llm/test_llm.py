@@ -339,7 +339,7 @@ def test_quotes(spark):
     third = "B wrote:\n> On Monday A wrote:\n>> The parser drops the last line.\n> No, it is a defect.\n\nThanks, fixed."
     rows = [(1, 0, "user", first), (1, 1, "assistant", second), (1, 2, "user", third), (1, 3, "user", "> never said before by anyone\nOwn words."), (2, 0, "user", second), (1, 4, "user", None), (None, 1, "user", second), (2, None, None, "> Is that on purpose?"), (2, 0, "user", second)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("clash")).withColumn("hash", F.lit(1))
-    got = quotes.link_conversations(d).collect()
+    got = quotes.link_conversations(d, implicit=False).collect()
     assert len(got) == len(rows)
     by = {(r.conv_id, r.turn): r for r in got}
     assert (by[1, 1].content, by[1, 1].parent_turn, by[1, 1].depth) == ("No, it is a defect.", 0, 1)
@@ -707,3 +707,88 @@ def test_media_of_texts_that_hold_files(spark):
     d = spark.createDataFrame([(1, bytearray(more_media()["image/bmp"]), "image/png", 3, "x")], "id int, b binary, declared string, row int, found string")
     r = media.inspect(d, "b", "declared").first()
     assert (r.media_type, r.mismatch, r.row, r.found) == ("image/bmp", True, 3, "x")
+
+
+def mail(rng, n_conv=12, n=14):
+    """Messages of which some quote earlier ones (whole or a line, nested, under an attribution or not)."""
+    rows = []
+    for c in range(n_conv):
+        own = []
+        for t in range(n):
+            lines = [words(rng, int(rng.integers(3, 8))) for _ in range(int(rng.integers(1, 4)))]
+            quote = []
+            if t and rng.random() < 0.7:
+                k = int(rng.integers(0, t))
+                which = own[k] if rng.random() < 0.5 else [own[k][int(rng.integers(0, len(own[k])))]]
+                quote = ["> " + x.upper() + "!" for x in which]
+                if k and rng.random() < 0.4:
+                    quote = ["> > " + own[k - 1][0], *quote]
+                if rng.random() < 0.5:
+                    quote = ["On Monday someone wrote:", *quote]
+                quote.append("")
+            elif t and rng.random() < 0.2:
+                quote = ["> nobody said these words " + words(rng, 3)]
+            own.append(lines)
+            rows.append((c, t, "user" if t % 2 == 0 else "assistant", "\n".join([*quote, *lines])))
+    return rows
+
+
+def test_quotes_brute_force(spark):
+    rows = mail(np.random.default_rng(52))
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    want, own = {}, {}
+    for c, t, role, text in rows:  # every earlier message is searched for every quoted block, shallowest first
+        blocks, mine = [], []
+        for line in text.split("\n"):
+            m = re.match(r"((?:> ?)+)(.*)", line)
+            if m:
+                level = m[1].count(">")
+                if not blocks or blocks[-1][0] != level:
+                    blocks.append((level, []))
+                blocks[-1][1].append(m[2])
+            elif not line.endswith("wrote:"):
+                mine.append(line)
+        own[c, t] = "\n".join(mine).strip("\n")
+        found = []
+        for level, lines in blocks:
+            for block in ("\n".join(lines), *[x for x in lines if len(norm(x)) >= 12]):
+                said = [k for k in range(t) if norm(block) and norm(block) in {norm(own[c, k]), *(norm(x) for x in own[c, k].split("\n") if len(norm(x)) >= 12)}]
+                if said:
+                    found.append((level, -said[0]))
+                    break
+        want[c, t] = -min(found)[1] if found else t - 1 if t else None
+    got = quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == want and sum(w != t - 1 for (_, t), w in want.items() if t) > 40
+    assert {(r.conv_id, r.turn): r.content for r in got} == own
+
+    def depth(c, t):
+        return 0 if want[c, t] is None else 1 + depth(c, want[c, t])
+
+    child = {}
+    for (c, t), parent in sorted(want.items()):
+        child.setdefault((c, parent), t)
+
+    def head(c, t):
+        return t if want[c, t] is None or child[c, want[c, t]] != t else head(c, want[c, t])
+
+    assert all((r.depth, r.thread_turn, r.branch_turn) == (depth(r.conv_id, r.turn), 0, head(r.conv_id, r.turn)) for r in got)
+    out = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), piece=3).collect()
+    assert sorted((r.conv_id, m.turn) for r in out for m in r.messages) == sorted(own)
+    for r in out:
+        turns = [m.turn for m in r.messages]
+        assert all(want[r.conv_id, b] == a for a, b in zip(turns, turns[1:])) and len(turns) <= 3  # noqa: B905
+        assert r.text == "\n".join(f"<|{m.role}|>\n{m.content}" for m in r.messages) and not re.search(r"^>", r.text, re.M)
+        if r.piece == 0:
+            assert r.answers_turn == want[r.conv_id, r.branch_turn]
+
+
+def test_quotes_messages_that_share_a_turn(spark):
+    rows = [(1, 0, "user", "The first words of all."), (1, 1, "assistant", "> The first words of all.\nYes."), (1, 1, "assistant", "Something else altogether."), (1, 2, "user", "> Something else altogether.\nWhy?"), (1, 2, None, None), (None, 3, "user", "x"), (1, None, "user", "> Yes.\ny"), (2, 0, "user", "z " * 60_000)]
+    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, mid int, thread string")
+    got = quotes.link_conversations(d, implicit=False).collect()
+    by = {r.content[:9]: r for r in got}
+    assert (by["Yes."].parent_turn, by["Yes."].depth) == (0, 1) and (by["Something"].parent_turn, by["Something"].depth) == (None, 0)
+    assert (by["Why?"].parent_turn, by["Why?"].depth, by["Why?"].thread) == (1, 1, by["Something"].message)
+    out = quotes.conversations(d).collect()
+    assert sum(len(r.messages) for r in out) == len(rows) and any("<|unknown|>" in r.text for r in out)
+    assert quotes.conversations(d.limit(0)).count() == 0

@@ -24,7 +24,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_conversations(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
