@@ -268,3 +268,68 @@ def test_schema_comparison_reads_every_line_once(spark, monkeypatch):
     scanning.agg_20(spark, sf)
     have = sorted(r.event_id for side in sides for r in side.collect())
     assert have == sorted(r.event_id for r in scanning._lines(spark, sf).select("event_id").collect())
+
+
+def test_normalisers_outside_ascii(spark):
+    assert one(spark, "Ｓｍａｒｔ Ｐｌｕｇ", text.normalize_protocol) == "smart plug"
+    assert one(spark, "Ｗｉ-Ｆｉ ofﬁce Straße", text.normalize_protocol) == "wifi office strasse"
+    assert one(spark, "Ｓｍａｒｔ＿Ｐｌｕｇ ＆ Straße ½", text.normalize_rule) == "smart plug and strasse 1 2"
+    assert one(spark, "Ｎｏｔ　 Ｗorking ﬁne", text.normalize_simple) == "not working fine"
+    assert one(spark, "STRASSE ﬁ", text.normalize_for_dedup) == one(spark, "straße FI", text.normalize_for_dedup) == "strasse fi"
+    assert [one(spark, None, f) for f in (text.normalize_protocol, text.normalize_rule, text.normalize_simple)] == [""] * 3
+    assert text.normalized_term("Ｗｉ-Ｆｉ") == "wifi"
+
+
+def test_word_boundary_terms(spark):
+    f = lambda c: text.word_boundary_terms(c, ["Wi-Fi", "bulb", "a19", "smart bulb"])
+    assert one(spark, "wifi smart bulb a190", f) == ["Wi-Fi", "bulb", "smart bulb"]
+    assert one(spark, "bulbs", f) == [] and one(spark, "", f) == []
+
+
+def test_clean_text_changed(spark):
+    assert one(spark, "a  b", text.clean_text).changed is True and one(spark, "a b", text.clean_text).changed is False
+
+
+BULBS = {
+    "bulb": {"identity_terms": ["light bulb", "bulb"], "ecosystem_terms": ["hue"], "wrong_terms": ["lamp shade"], "accessory_terms": ["socket"], "collision_terms": ["smart size"]},
+    "smart": {"specific_terms": ["Wi-Fi", "alexa", "smart home"], "bluetooth_support_terms": ["app"], "weak_terms": ["smart home"]},
+}
+
+
+def test_bulb_evidence(spark):
+    rows = [
+        ("Ｗｉ-Ｆｉ LED Light Bulb", "Lighting", "Works with Alexa over Wi-Fi. " + "x" * 500, "For a smart home"),
+        ("LED Bulb", "Lighting", "bright", "bluetooth app"),
+        ("Bulb", "Lighting", "smart home look", ""),
+        ("Socket for bulbs", "Lighting", "alexa", ""),
+        ("Smart RGB Bulb", "", None, None),
+    ]
+    got = classify.classify_bulbs(spark.createDataFrame(rows, "title string, categories string, features string, description string"), BULBS).collect()
+    a, b, c, d, e = got
+    assert (a.audit_label, a.proposed_decision, a.confidence, a.draft_positive_before_audit) == ("correct_target", "include", "high", True)
+    assert a.matched_device_terms == ["bulb", "light bulb"] and a.matched_smart_terms == ["Wi-Fi", "alexa"]
+    assert a.supporting_metadata_fields == ["title", "features", "description"]
+    assert a.limited_metadata_evidence.startswith("categories: Lighting | features: Works with Alexa over Wi-Fi. xxx") and "… | description: For a smart home" in a.limited_metadata_evidence
+    assert a.audit_notes == "Primary bulb identity and specific connected-control evidence are both present."
+    assert (b.audit_label, b.confidence, b.matched_smart_terms) == ("correct_target", "medium", ["bluetooth"])
+    assert (c.audit_label, c.draft_positive_before_audit, c.matched_smart_terms) == ("non_smart", False, [])
+    assert (d.audit_label, d.proposed_decision) == ("accessory", "exclude")
+    assert (e.audit_label, e.confidence, e.matched_smart_terms, e.limited_metadata_evidence) == ("correct_target", "high", ["smart_near_bulb"], "")
+
+
+def test_switch_evidence(spark):
+    rules = {"switch": {"identity_terms": ["switch", "dimmer"], "context_terms": ["wall"], "protocol_terms": ["z-wave"], "wrong_terms": ["network"], "accessory_terms": ["cover"], "retrofit_phrases": ["snaps on top"], "rf_only_terms": ["433mhz"], "radio_terms": ["wifi"], "dominant_terms": ["light switch"], "near_words": ["switch"]}, "smart": {"specific_terms": ["alexa"]}}
+    rows = [("Z Wave Dimmer", "wall", ["a"]), ("Smart Switch", "", ["a"]), ("Switch cover", "wall", ["a"]), ("Wall switch 433MHz", "", ["a"]), ("Alexa wall switch", "", ["a", "b"])]
+    got = classify.classify_switches(spark.createDataFrame(rows, "title string, categories string, candidate_device_types array<string>"), rules).collect()
+    assert [(r.audit_label, r.proposed_decision, r.confidence) for r in got] == [("correct_target", "include", "high"), ("insufficient_evidence", "hold", "low"), ("accessory", "exclude", "high"), ("non_smart", "exclude", "high"), ("ambiguous", "hold", "low")]
+    assert got[0].matched_smart_terms == ["z-wave"] and got[1].matched_smart_terms == ["smart_near_switch"] and got[0].draft_positive_before_audit and not got[1].draft_positive_before_audit
+    assert got[0].supporting_metadata_fields == ["title", "categories"] and got[0].limited_metadata_evidence == "categories: wall"
+
+
+def test_candidate_reason(spark):
+    import json
+
+    d = spark.createDataFrame([("Kasa Ｓｍａｒｔ Plug", "Outlets", "plug with alexa", "")], "title string, categories string, features string, description string")
+    r = classify.analyze_candidates(d, RULES | {"filter": {"candidate_term_policy": "smart_and_device"}}).first()
+    assert r.matched_fields == ["features", "title"] and r.eligible_after_exclusions is True and r.candidate_confidence == "high"
+    assert json.loads(r.candidate_reason) == {"policy": "smart_and_device", "device_types": ["smart_plug"], "eligible_device_types": ["smart_plug"], "matched_fields": ["features", "title"], "smart_matched_fields": ["features", "title"], "title_only": False, "ambiguity_status": "single_device_type"}

@@ -12,7 +12,10 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 SPACE = r"(?U)\s+"
 # fixed values: entities that the JVM form of clean_text knows, a subset of HTML's
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# fixed values: spellings made one
+PROTOCOLS = {"wi-fi": "wifi", "wi fi": "wifi", "z-wave": "zwave", "z wave": "zwave"}
 FAILURE_TYPES = ("N0", "F1", "F2", "F3", "F4", "F5", "F6", "F7", "F8")
+# fixed values: what the scan for personal data looks for
 PII_PATTERNS = {
     "email": r"(?i)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![\w.-])",
     "us_phone": r"(?<!\d)(?:\+?1[\s.\-]?)?(?:\(?\d{3}\)?[\s.\-])\d{3}[\s.\-]\d{4}(?!\d)",
@@ -26,8 +29,27 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def nfkc(c: Column, fold: bool = False) -> Column:
+    """NFKC, case-folded if fold.  Python sees only the texts that hold characters outside ASCII; null gives ""."""
+
+    def run(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        def one(x: str | None) -> str | None:
+            if x is None:
+                return None
+            x = unicodedata.normalize("NFKC", x)
+            return x.casefold() if fold else x
+
+        return s.map(one)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    odd = F.when(F.length(c) != F.octet_length(c), c)
+    return F.coalesce(F.pandas_udf(run, StringType())(odd), F.lower(c) if fold else c, F.lit(""))
+
+
 def clean_text(c: Column) -> Column:
-    """struct(text, html, unicode, whitespace): unescaped, without tags, NFKC, spaces collapsed; null gives ""."""
+    """struct(text, changed, html, unicode, whitespace): unescaped, without tags, NFKC, spaces collapsed; null gives ""."""
 
     def run(s: pd.Series) -> pd.DataFrame:
         import html
@@ -41,11 +63,11 @@ def clean_text(c: Column) -> Column:
             plain = tag.sub(" ", html.unescape(x))
             norm = unicodedata.normalize("NFKC", plain)
             done = re.sub(r"\s+", " ", norm).strip()
-            out.append((done, plain != x, norm != plain, done != norm))
-        return pd.DataFrame(out, columns=["text", "html", "unicode", "whitespace"])
+            out.append((done, done != x, plain != x, norm != plain, done != norm))
+        return pd.DataFrame(out, columns=["text", "changed", "html", "unicode", "whitespace"])
 
     run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
-    flags = [StructField(n, BooleanType()) for n in ("html", "unicode", "whitespace")]
+    flags = [StructField(n, BooleanType()) for n in ("changed", "html", "unicode", "whitespace")]
     return F.pandas_udf(run, StructType([StructField("text", StringType()), *flags]))(c)
 
 
@@ -59,35 +81,38 @@ def clean_text_simple(c: Column) -> Column:
 
 def normalize_for_dedup(c: Column) -> Column:
     """NFKC, collapsed and case-folded."""
-
-    def run(s: pd.Series) -> pd.Series:
-        import re
-        import unicodedata
-
-        return s.map(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x or "")).strip().casefold())
-
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, StringType())(c)
+    return collapse(nfkc(c, fold=True))
 
 
 def normalize_simple(c: Column) -> Column:
-    """Lower case with collapsed spaces; what normalize_for_dedup gives on text that NFKC leaves alone."""
-    return collapse(F.lower(F.coalesce(c, F.lit(""))))
+    """NFKC, lower case, spaces collapsed."""
+    return collapse(F.lower(nfkc(c)))
 
 
 def normalize_rule(c: Column) -> Column:
-    """Lower case, & as "and", every run of non-word characters one space."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit(" and ")), r"(?U)[\W_]+", " "))
+    """NFKC, case-folded, & as "and", every run of characters that are neither letters nor numbers one space."""
+    return F.trim(F.regexp_replace(F.replace(nfkc(c, fold=True), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
 
 
 def normalize_protocol(c: Column) -> Column:
-    """Lower case ASCII words with the spellings of wifi and zwave made one."""
-    c = F.lower(F.coalesce(c, F.lit("")))
-    for a, b in (("wi-fi", "wifi"), ("wi fi", "wifi"), ("z-wave", "zwave"), ("z wave", "zwave")):
+    """NFKC, case-folded ASCII words with the spellings of wifi and zwave made one."""
+    c = nfkc(c, fold=True)
+    for a, b in PROTOCOLS.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
+def normalized_term(term: str) -> str:
+    """normalize_protocol for one term, on the driver."""
+    import re
+    import unicodedata
+
+    t = unicodedata.normalize("NFKC", term).casefold()
+    for a, b in PROTOCOLS.items():
+        t = t.replace(a, b)
+    return re.sub("[^a-z0-9]+", " ", t).strip()
+
+
 def has_term(text: Column, term: str) -> Column:
     """Whether a normalised text holds a normalised term as whole words."""
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {term} "))
@@ -101,6 +126,12 @@ def matching_terms(text: Column, terms: Sequence[str]) -> Column:
     return F.filter(F.array(*map(F.lit, sorted(set(terms)))), lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" "))))
 
 
+def word_boundary_terms(text: Column, terms: Sequence[str]) -> Column:
+    """The terms that stand in a text between characters that are no ASCII letters or digits, sorted; one pattern a term."""
+    found = [F.when(F.regexp_like(text, F.lit(rf"(?<![a-z0-9])\Q{n}\E(?![a-z0-9])")), F.lit(t)) for t in sorted(set(terms)) if (n := normalized_term(t))]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
 def within_tokens(text: Column, left: Sequence[str], right: Sequence[str], distance: int) -> Column:
     """Whether a word of left stands at most distance words from one of right."""
     words = F.split(text, " ")
@@ -116,12 +147,15 @@ def truncate(c: Column, limit: int = 420) -> Column:
 
 def snippet(c: Column, terms: Sequence[str], limit: int = 420) -> Column:
     """Text around the first of the terms (third of the limit before it), with ellipses where it is cut."""
-    text = collapse(F.coalesce(c, F.lit("")))
-    low = normalize_protocol(text)
-    found = F.array_min(F.filter(F.transform(F.array(*map(F.lit, terms)), lambda t: F.position(t, low)), lambda p: p > 0))
+    return snippet_at(collapse(F.coalesce(c, F.lit(""))), normalize_protocol(collapse(F.coalesce(c, F.lit("")))), F.array(*(F.lit(normalized_term(t)) for t in terms)), limit)
+
+
+def snippet_at(text: Column, low: Column, terms: Column, limit: int = 420) -> Column:
+    """snippet of a collapsed text, whose terms (an array of normalised ones) are looked for in low, its normalised form."""
+    found = F.array_min(F.filter(F.transform(F.filter(terms, lambda t: t != ""), lambda t: F.position(t, low)), lambda p: p > 0))
     start = F.greatest(F.lit(0), found - 1 - limit // 3)
     cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, F.lit(limit)), F.when(start + limit < F.length(text), "…").otherwise(""))
-    return F.when(found.isNull(), truncate(text, limit)).otherwise(cut)
+    return F.when(text == "", "").when(found.isNull(), truncate(text, limit)).otherwise(cut)
 
 
 def flatten_json(c: Column) -> Column:
