@@ -312,6 +312,8 @@ def _pieces(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
+#: Rows of pairs of tiles that are compared at once (more if one pair has more, up to two tiles).
+TILES_BLOCK = 8192
 ASKED = ("grp", "hid", "l", "c", "r", "tile", "tiles")
 
 
@@ -330,8 +332,8 @@ def _around(width: int):
                 ok = f[:, 3] < s.sizes[of]  # where an id is repeated, its other text may be shorter
                 of, f = of[ok], f[ok]
                 docs = rows.column("doc").to_numpy()
-                for i in range(0, len(of), BLOCK):
-                    o, g = of[i : i + BLOCK], f[i : i + BLOCK]
+                for i in range(0, len(of), TILES_BLOCK):
+                    o, g = of[i : i + TILES_BLOCK], f[i : i + TILES_BLOCK]
                     at = g[:, 3:4] + reach
                     inside = (at >= 0) & (at < s.sizes[o][:, None])
                     x = np.where(inside, short[np.where(inside, at + s.starts[o][:, None], 0)], np.uint16(0)).astype("<u2")
@@ -401,9 +403,7 @@ def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray
         at = at[_united(root, at, of[at])]
         link(at, of[at])
     signs = _signatures(x)
-    for p, q in _near(pair, side, w[:, 1], x, root, similarity * least - SLACK):
-        enough = np.bitwise_count(signs[p] & signs[q]).sum(1) >= similarity * least - SLACK
-        p, q = p[enough], q[enough]
+    for p, q in _near(pair, side, w[:, 1], signs, root, similarity * least - SLACK):
         ok = _aligned(x[p], x[q], least, similarity)
         at = np.nonzero(ok)[0]
         at = at[_united(root, p[at], q[at])]
@@ -434,7 +434,7 @@ def _signatures(x: np.ndarray) -> np.ndarray:
 PAIRS, FEW = 4096, 48
 
 
-def _near(pair: np.ndarray, side: np.ndarray, doc: np.ndarray, x: np.ndarray, root: np.ndarray, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(pair: np.ndarray, side: np.ndarray, doc: np.ndarray, signs: np.ndarray, root: np.ndarray, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that root does not join and that share enough shingles; root may change from yield to yield."""
     root[:] = find(root, np.arange(len(root)))
     cuts = [0, *(np.nonzero(pair[1:] != pair[:-1])[0] + 1).tolist(), len(pair)]
@@ -448,28 +448,33 @@ def _near(pair: np.ndarray, side: np.ndarray, doc: np.ndarray, x: np.ndarray, ro
             p, q = np.triu_indices(j - i, 1)
             p, q = p + i, q + i
             keep = meets(p, q)
+            p, q = p[keep], q[keep]
+            keep = np.bitwise_count(signs[p] & signs[q]).sum(1) >= enough
             small.append(np.stack([p[keep], q[keep]]))
             held += small[-1].shape[1]
             if held >= PAIRS:
                 yield from _chunks(*np.concatenate(small, 1))
                 small, held = [np.zeros((2, 0), np.int64)], 0
             continue
-        counts = np.zeros((j - i, BUCKETS), np.float32)
-        at, col = np.nonzero(x[i:j])
-        counts[at, mix(x[i + at, col].astype(np.uint64)) % np.uint64(BUCKETS)] = 1
         largest = int(np.bincount(r - i).argmax()) + i
         rest = i + np.nonzero(r != largest)[0]  # of two windows that are apart one at least is here
         late = np.full(j - i, len(pair))  # rows of rest come in turn, and meet those before them only in their turn
         late[rest - i] = np.arange(len(rest))
+        words = np.ascontiguousarray(signs[i:j].T)
         k, step = 0, 1
         while k < len(rest):  # few at first: what they join need not be compared
             rows = rest[k : k + step]
-            p, q = np.nonzero(counts[rows - i] @ counts.T >= enough)
-            p, q = rows[p], q + i
+            k, step = k + len(rows), min(2 * step, 64)
             root[i:j] = find(root, np.arange(i, j))
-            keep = meets(p, q) & (late[q - i] > late[p - i])
+            most = root[i:j] == root[largest]
+            rows = rows[~most[rows - i]]  # what has joined the largest meets the others in their turn
+            shared = np.zeros((len(rows), j - i), np.uint16)
+            for word in words:
+                shared += np.bitwise_count(word[rows - i][:, None] & word)
+            p, q = np.nonzero(shared >= enough)
+            p, q = rows[p], q + i
+            keep = meets(p, q) & ((late[q - i] > late[p - i]) | most[q - i])
             yield from _chunks(p[keep], q[keep])
-            k, step = k + step, min(2 * step, 256)
     yield from _chunks(*np.concatenate(small, 1))
 
 
@@ -478,10 +483,6 @@ def _chunks(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
         yield p[i : i + PAIRS], q[i : i + PAIRS]
 
 
-#: Rows of pairs of tiles that are compared at once (more if one pair has more, up to two tiles).
-TILES_BLOCK = 8192
-
-
 def _tiles(least: int, similarity: float):
     """Sorted by pair of tiles: its links."""
 
@@ -590,9 +591,14 @@ def matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list
     return out
 
 
+def _in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.isin, without its overhead for short arrays."""
+    return (a[:, None] == b).any(1) if len(a) * len(b) < 1 << 15 else np.isin(a, b)
+
+
 def _matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     out, todo = [], [(0, len(a))]
-    in_b = np.isin(a, b)
+    in_b = _in(a, b)
     # the containment that this Jaccard needs where both sides lose alike, and the least it allows where one side does
     shares = [2 * similarity / (1 + similarity), similarity]
     while todo:
@@ -604,7 +610,7 @@ def _matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> lis
             s, e = (i + x for x in _longest(in_b[i:j], share))
             if e - s < least:
                 continue
-            best = _densest(np.nonzero(np.isin(b, a[s:e]))[0], e - s)
+            best = _densest(np.nonzero(_in(b, a[s:e]))[0], e - s)
             x, y = np.unique(a[s:e]), np.unique(b[best[0] : best[1]])
             both = len(np.intersect1d(x, y, assume_unique=True))
             jac = both / (len(x) + len(y) - both)
