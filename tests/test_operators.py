@@ -333,3 +333,148 @@ def test_candidate_reason(spark):
     r = classify.analyze_candidates(d, RULES | {"filter": {"candidate_term_policy": "smart_and_device"}}).first()
     assert r.matched_fields == ["features", "title"] and r.eligible_after_exclusions is True and r.candidate_confidence == "high"
     assert json.loads(r.candidate_reason) == {"policy": "smart_and_device", "device_types": ["smart_plug"], "eligible_device_types": ["smart_plug"], "matched_fields": ["features", "title"], "smart_matched_fields": ["features", "title"], "title_only": False, "ambiguity_status": "single_device_type"}
+
+
+def test_error_lines_offsets(spark):
+    from pyspark.sql.types import StructType  # noqa: F401
+
+    lines = ['{"a": 1}', "", '{"é": ', "[1, 2", "nope", '{"a": 1,}', '{"b": null}']
+    d = spark.createDataFrame(list(enumerate(lines)), "n int, line string").repartition(3)
+    got = {r.n: (r.line_no, r.byte_offset, r.category) for r in jsonl.error_lines(d, "n").collect()}
+    at = [sum(len(x.encode()) + 1 for x in lines[:i]) for i in range(len(lines))]
+    assert got == {2: (3, at[2], "unclosed_object"), 3: (4, at[3], "malformed_array"), 4: (5, at[4], "malformed_value"), 5: (6, at[5], "malformed_object")}
+
+
+def test_field_profile_of_empty_objects(spark):
+    d = spark.createDataFrame([(1, "{}"), (2, '{"a": ""}'), (3, '{"b": 1, "a": null}'), (4, "bad"), (5, "[]")], "n int, line string")
+    got = {r.field: r for r in jsonl.field_profile(d, "n").collect()}
+    assert set(got) == {"a", "b"} and got["a"].objects == 3 and (got["a"].present, got["a"].n_null, got["a"].n_string, got["a"].n_empty, got["a"].effective_missing) == (2, 1, 1, 1, 3)
+    assert (got["b"].present, got["b"].n_integer, got["b"].effective_missing) == (1, 1, 2)
+
+
+def test_prefix_changes(spark):
+    base = spark.createDataFrame([(i, float(i)) for i in range(40)], "k int, v double")
+    more = spark.createDataFrame([(i, float(i), 1) for i in range(100, 120)], "k int, v double, late int")
+    same = base.withColumn("late", F.lit(0)).unionByName(more)
+    check = lambda c: audits.prefix_changes(base, ["k"], c, ["late", "k"]).first()
+    assert tuple(check(same)) == (40, 60, 0)
+    assert check(same.withColumn("v", F.when(F.col("k") == 7, 0.5).otherwise(F.col("v")))).n_changed == 1
+    assert check(same.where("k <> 39 AND k < 100")).n_changed == 1 and check(same.where("k <> 0 AND k < 100")).n_changed == 40
+
+
+def test_mapped_refuses_unknown_keys(spark):
+    f = lambda c: maths.mapped(c, {"a": "x", "b": "y"})
+    assert one(spark, "b", f) == "y"
+    for bad in ("c", None):
+        with pytest.raises(Exception, match="no value for"):
+            one(spark, bad, f)
+
+
+def test_bucket_mix_fallback(spark):
+    import itertools
+
+    kinds = list(itertools.chain(*([b] * n for b, n in zip(sampling.BUCKETS, (3, 40, 60), strict=True))))
+    pool = spark.createDataFrame([(i, b, i % 7, f"s{i % 3}") for i, b in enumerate(kinds)], "k int, bucket string, parent int, stratum string").repartition(5)
+    shares = dict(zip(sampling.BUCKETS, (0.5, 0.25, 0.25), strict=True))
+    mix = lambda p, n: {(r.k, r.stage) for r in sampling.bucket_mix(p, n, shares, 5, "t", "parent", "k", ["stratum"]).collect()}
+    got = mix(pool, 40)
+    assert len(got) == 40 and sum(s == "bucket" for _, s in got) == 3 + 10 + 10 and got == mix(pool.repartition(2), 40)
+    taken = {k for k, s in got if s == "bucket"}
+    h = lambda *p: hashlib.sha256("\0".join(["5", *p]).encode()).hexdigest()
+    rest = sorted((h("t|fallback", str(i)), i) for i in range(len(kinds)) if i not in taken)
+    turn = {}
+    order = []
+    for rh, i in rest:
+        order.append((turn.setdefault(i % 7, 0), h("t|fallback|stratum", f"s{i % 3}"), rh, i))
+        turn[i % 7] += 1
+    assert {k for k, s in got if s == "fallback"} == {x[-1] for x in sorted(order)[:17]}
+    with pytest.raises(ValueError, match="fewer"):
+        mix(pool, 200)
+
+
+def test_balanced_selection_needs_only_what_it_keeps(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("g", i, f"p{rng.randrange(60)}", rng.random() < 0.3, rng.choice(list(sampling.RATING_SHARES)), rng.choice(list(sampling.TIME_SHARES))) for i in range(1500)]
+    pool = spark.createDataFrame(rows, "g string, duplicate_key long, parent_asin string, keyword_candidate_hit boolean, rating_stratum string, time_stratum string")
+    got = [r.duplicate_key for r in sampling.balanced_select(pool, 25, 11, "t", "g").orderBy("place").collect()]
+    order = {r.duplicate_key: r.o for r in pool.select("duplicate_key", sampling.seeded_order(11, F.lit("t"), F.col("duplicate_key")).alias("o")).collect()}
+    whole = [{"g": g, "duplicate_key": k, "parent_asin": p, "keyword_candidate_hit": h, "rating_stratum": r, "time_stratum": t, "order": order[k]} for g, k, p, h, r, t in rows]
+    assert got == [r["duplicate_key"] for r in sampling.greedy_balance(whole, 25)]
+
+
+def test_ranked_metrics_by_key(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.randrange(2), rng.randrange(12) / 10) for _ in range(400)]
+    d = spark.createDataFrame(rows, "k string, y int, s double")
+    auc = {r.k: r.roc_auc for r in metrics.roc_auc(d, "y", "s", ["k"]).collect()}
+    ap = {r.k: r.average_precision for r in metrics.average_precision(d, "y", "s", ["k"]).collect()}
+    for k in "abc":
+        pos, neg = ([s for a, y, s in rows if a == k and y == v] for v in (1, 0))
+        assert abs(auc[k] - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)) < 1e-12
+        want = sum((sum(p >= t for p in pos) / (sum(p >= t for p in pos) + sum(n >= t for n in neg))) * sum(p == t for p in pos) for t in set(pos)) / len(pos)
+        assert abs(ap[k] - want) < 1e-12
+
+
+def test_svm_against_newton(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(scale=1.5, size=300) > 0.8).astype(int)
+    w, b = learning.fit_svm(spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y int"), ["a", "b", "c"], "y", 0.7)
+    z, s = np.c_[x, np.ones(300)], np.where(y == 1, 1.0, -1.0)
+    weight = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
+    loss = lambda v: v @ v / 2 + 0.7 * (weight * np.maximum(0, 1 - s * (z @ v)) ** 2).sum()
+    found = np.array([*w, b])
+    gap = np.maximum(0, 1 - s * (z @ found))
+    assert np.abs(found - 2 * 0.7 * z.T @ (weight * s * gap)).max() < 1e-6  # the gradient is nought, and the loss convex
+    assert all(loss(found) <= loss(found + rng.normal(scale=0.01, size=4)) for _ in range(50))
+
+
+def test_batch_inference_resumes(spark, tmp_path):
+    d = spark.createDataFrame([(i, i / 50 - 1) for i in range(100)], "k int, x double")
+    path, model = f"file://{tmp_path}/scores", ([2.0], 0.5)
+    first = {r.k: r.score for r in learning.batch_inference(d, ["x"], model, ["k"], path, 4).collect()}
+    assert len(first) == 100 and abs(first[50] - 1 / (1 + 2.718281828459045**-0.5)) < 1e-9
+    kept = sorted((tmp_path / "scores/scores/chunk=1").iterdir())
+    (tmp_path / "scores/scores/chunk=2/_SUCCESS").unlink()  # as if the run had been cut off there
+    assert {r.k: r.score for r in learning.batch_inference(d, ["x"], model, ["k"], path, 4).collect()} == first
+    assert sorted((tmp_path / "scores/scores/chunk=1").iterdir()) == kept
+    for other in ([2.1], 0.5), ([2.0], 0.4):
+        with pytest.raises(learning.FrozenModelError):
+            learning.batch_inference(d, ["x"], other, ["k"], path, 4)
+
+
+def test_sentiment_rules(spark):
+    from tidemark.operators import sentiment
+
+    lex = {"good": 1.9, "great": 3.1, "bad": -2.5, "horrible": -2.5, "love": 3.2, "kind": 2.4}
+    c = lambda t: sentiment.polarity(t, lex)[0]
+    assert c("") == 0 and c("the table") == 0 and c(None) == 0
+    assert abs(c("good") - 1.9 / (1.9**2 + 15) ** 0.5) < 1e-4
+    assert c("very good") > c("good") > c("slightly good") > 0 > c("not good") > c("bad")
+    assert c("GOOD product") > c("good product") and c("GOOD") == c("good")
+    assert c("good!!!") > c("good!") > c("good") and c("good???") > c("good??") > c("good?") == c("good")
+    assert c("good but horrible") < 0 < c("horrible but good") + 0.5 and c("at least good") > 0 > c("least good")
+    assert c("never so good") > c("good") and c("isn't good") < 0 and c("kind of table") == 0
+    pos, neu, neg = sentiment.polarity("good bad table", lex)[1:]
+    assert abs(pos + neu + neg - 1) < 0.002 and neg > pos > 0
+    r = one(spark, "very good", lambda x: sentiment.sentiment(x, lex))
+    assert tuple(r) == sentiment.polarity("very good", lex)
+
+
+def test_language_detection(spark):
+    from tidemark.operators import languages
+
+    text_of = {"en": "the thing that they were with and from the other house", "de": "der die und nicht mit einer von ihrer schön straße", "fr": "les une dans avec pour être très déjà où cette"}
+    rows = [(f"{k}{i}", " ".join(v.split()[i % 3 :]) + " " + v, k) for k, v in text_of.items() for i in range(6)]
+    d = spark.createDataFrame(rows, "id string, text string, lang string")
+    more = spark.createDataFrame([("x1", "they were with the other", "?"), ("x2", "nicht mit der straße", "?"), ("x3", "avec cette", "?"), ("x4", "12345", "?"), ("x5", None, "?"), (None, "they were", "?")], d.schema)
+    got = {r.id: (r.detected, r.confidence) for r in languages.detect(d.unionByName(more), "id", "text", languages.fit_profiles(d, "text", "lang")).collect()}
+    assert len(got) == 24 and all(v[0] == k[:2] for k, v in got.items() if k and k[0] != "x")
+    assert [got[x][0] for x in ("x1", "x2", "x3", "x4", "x5")] == ["en", "de", "fr", None, None]
+    assert got["x1"][1] > 0.9 > 0.1 > got["x2"][1]

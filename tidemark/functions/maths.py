@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,3 +46,9 @@ def composite_index(failure: Column, severity2: Column, severity3: Column, persi
 
 def negative_sentiment(compound: Column) -> Column:
     return (compound <= NEGATIVE_SENTIMENT).cast("int")
+
+
+def mapped(c: Column, values: Mapping[str, str]) -> Column:
+    """The value that a dictionary has for c; a row with another key, or none, is an error."""
+    known = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return F.when(c.isin(*values), F.element_at(known, c)).otherwise(F.raise_error(F.concat(F.lit("no value for "), F.coalesce(c, F.lit("null")))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -113,6 +113,11 @@ def normalized_term(term: str) -> str:
     return re.sub("[^a-z0-9]+", " ", t).strip()
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once however often f uses it; it may hold a Python function, which lambdas may not."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def has_term(text: Column, term: str) -> Column:
     """Whether a normalised text holds a normalised term as whole words."""
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {term} "))
@@ -122,8 +127,8 @@ def matching_terms(text: Column, terms: Sequence[str]) -> Column:
     """The terms that a normalised text holds, sorted; the text is padded once, the terms are one constant array."""
     if not terms:
         return F.array().cast("array<string>")
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.filter(F.array(*map(F.lit, sorted(set(terms)))), lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" "))))
+    padded, known = F.concat(F.lit(" "), text, F.lit(" ")), F.array(*map(F.lit, sorted(set(terms))))
+    return _bound(padded, lambda p: F.filter(known, lambda t: F.contains(p, F.concat(F.lit(" "), t, F.lit(" ")))))
 
 
 def word_boundary_terms(text: Column, terms: Sequence[str]) -> Column:
@@ -134,10 +139,9 @@ def word_boundary_terms(text: Column, terms: Sequence[str]) -> Column:
 
 def within_tokens(text: Column, left: Sequence[str], right: Sequence[str], distance: int) -> Column:
     """Whether a word of left stands at most distance words from one of right."""
-    words = F.split(text, " ")
-    at = lambda ws: F.filter(F.transform(words, lambda w, i: F.when(w.isin(*ws), i)), lambda x: x.isNotNull())
-    b = at(right)
-    return F.exists(at(left), lambda x: F.exists(b, lambda y: F.abs(x - y) <= distance))
+    at = lambda words, ws: F.filter(F.transform(words, lambda w, i: F.when(w.isin(*ws), i)), lambda x: x.isNotNull())
+    near = lambda words: _bound(at(words, right), lambda b: F.exists(at(words, left), lambda x: F.exists(b, lambda y: F.abs(x - y) <= distance)))
+    return _bound(F.split(text, " "), near)
 
 
 def truncate(c: Column, limit: int = 420) -> Column:
@@ -147,7 +151,8 @@ def truncate(c: Column, limit: int = 420) -> Column:
 
 def snippet(c: Column, terms: Sequence[str], limit: int = 420) -> Column:
     """Text around the first of the terms (third of the limit before it), with ellipses where it is cut."""
-    return snippet_at(collapse(F.coalesce(c, F.lit(""))), normalize_protocol(collapse(F.coalesce(c, F.lit("")))), F.array(*(F.lit(normalized_term(t)) for t in terms)), limit)
+    text, known = collapse(F.coalesce(c, F.lit(""))), F.array(*(F.lit(normalized_term(t)) for t in terms))
+    return _bound(F.struct(text.alias("text"), normalize_protocol(text).alias("low")), lambda s: snippet_at(s["text"], s["low"], known, limit))
 
 
 def snippet_at(text: Column, low: Column, terms: Column, limit: int = 420) -> Column:
@@ -189,11 +194,15 @@ def flatten_json(c: Column) -> Column:
 def keyword_codes(text: Column, categories: Mapping[str, Sequence[str]], context: Sequence[str] = (), general: Sequence[str] = (), harmless: Sequence[str] = (), fallback: str = "F1") -> Column:
     """Codes of the categories any of whose patterns is found, in rule order; else fallback if a context and a general
     pattern are found and no harmless one; an empty array otherwise.  text is normalised already."""
-    hit = lambda ps: F.regexp_like(text, F.lit("(?i)" + "|".join(f"(?:{p})" for p in ps))) if ps else F.lit(False)
-    codes = F.array_compact(F.array(*(F.when(hit(ps), F.lit(code)) for code, ps in categories.items())))
-    loose = hit(context) & hit(general) & ~hit(harmless)
     none = F.array().cast("array<string>")
-    return F.when(text == "", none).when(F.size(codes) > 0, codes).when(loose, F.array(F.lit(fallback))).otherwise(none)
+
+    def found(t: Column) -> Column:
+        hit = lambda ps: F.regexp_like(t, F.lit("(?i)" + "|".join(f"(?:{p})" for p in ps))) if ps else F.lit(False)
+        codes = F.array_compact(F.array(*(F.when(hit(ps), F.lit(code)) for code, ps in categories.items())))
+        loose = hit(context) & hit(general) & ~hit(harmless)
+        return _bound(codes, lambda c: F.when(F.size(c) > 0, c).when(loose, F.array(F.lit(fallback))).otherwise(none))
+
+    return _bound(text, lambda t: F.when(t == "", none).otherwise(found(t)))
 
 
 def strip_star_header(c: Column) -> Column:

@@ -72,3 +72,17 @@ def mismatches(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
 
 def violations_of_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def prefix_changes(base: DataFrame, base_order: Sequence, combined: DataFrame, order: Sequence) -> DataFrame:
+    """One row: rows of base and of combined, and how many of the first rows of combined, in order, differ from base's.
+
+    The columns of base are compared; a row of base that combined lacks counts as changed.
+    """
+    from .targets import ranked
+
+    a = ranked(base, base_order, "__at").select("__at", F.struct(*base.columns).alias("__a"))
+    b = ranked(combined, order, "__at").select("__at", F.struct(*base.columns).alias("__b"))
+    n_base, n = base.agg(F.count("*").alias("n_base")), combined.agg(F.count("*").alias("n_combined"))
+    changed = a.join(b, "__at", "left").agg(F.count_if(~F.col("__a").eqNullSafe(F.col("__b"))).alias("n_changed"))
+    return F.broadcast(n_base).crossJoin(n).crossJoin(changed)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+import json
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,12 +100,44 @@ def logistic_score(features: Sequence[str], model: tuple[Sequence[float], float]
     return 1 / (1 + F.exp(-z))
 
 
-def fit_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0):
-    """A linear support vector machine (hinge loss): weights and intercept; score 0 and above is class 1."""
-    d, total = _weighted(train, label)
-    d = VectorAssembler(inputCols=list(features), outputCol="__v").transform(d.withColumn("__y", F.col(label).cast("double")))
-    m = LinearSVC(featuresCol="__v", labelCol="__y", weightCol="__w", regParam=1 / (c * total), maxIter=100, standardization=False).fit(d)
-    return list(m.coefficients), m.intercept
+def fit_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, steps: int = 50, tol: float = 1e-10):
+    """A linear support vector machine with squared hinge loss and balanced classes: weights and intercept.
+
+    The intercept is one more penalised weight; score 0 and above is class 1.  Newton's method on the rows inside the
+    margin: a step is one aggregation of their gradient and second derivatives, halved while the loss would rise.
+    """
+    import numpy as np
+
+    d, _ = _weighted(train, label)
+    x = [F.col(f).cast("double") for f in features] + [F.lit(1.0)]
+    y, n = F.when(F.col(label) == 1, 1.0).otherwise(-1.0), len(features) + 1
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        gap = 1 - y * sum((a * float(b) for a, b in zip(x, w, strict=True)), F.lit(0.0))
+        inside = F.col("__gap") > 0
+        of = lambda v: F.coalesce(F.sum(F.when(inside, F.col("__w") * v)), F.lit(0.0))
+        firsts = [of(F.col("__gap") * y * a) for a in x]
+        seconds = [of(x[i] * x[j]) for i in range(n) for j in range(i, n)]
+        r = list(d.withColumn("__gap", gap).agg(of(F.col("__gap") * F.col("__gap")), *firsts, *seconds).first())
+        h = np.zeros((n, n))
+        h[np.triu_indices(n)] = r[n + 1 :]
+        h = np.eye(n) + 2 * c * (h + np.triu(h, 1).T)
+        return w @ w / 2 + c * r[0], w - 2 * c * np.array(r[1 : n + 1]), h
+
+    w = np.zeros(n)
+    loss, g, h = sums(w)
+    for _ in range(steps):
+        step = np.linalg.solve(h, g)
+        for _ in range(30):
+            after = sums(w - step)
+            if after[0] <= loss + 1e-12 * abs(loss):
+                break
+            step = step / 2
+        done = loss - after[0] <= tol * max(1.0, abs(loss))
+        w, (loss, g, h) = w - step, after
+        if done:
+            break
+    return w[:-1].tolist(), float(w[-1])
 
 
 def fit_ordinal(train: DataFrame, features: Sequence[str], label: str, levels: Sequence[int]) -> list[tuple[Sequence[float], float]]:
@@ -117,29 +150,40 @@ def ordinal_score(features: Sequence[str], models: Sequence[tuple[Sequence[float
     return {"expected": expected_value(ps, base), "predicted": hard_class(ps, base)}
 
 
-def batch_scores(df: DataFrame, features: Sequence[str], model: tuple[Sequence[float], float], keys: Sequence[str]) -> DataFrame:
-    """Scores by Arrow batches, for models that are not column expressions; each batch stands alone, so lost ones rerun."""
-    w, b = [float(x) for x in model[0]], float(model[1])
+class FrozenModelError(ValueError):
+    """Scores were begun with another model."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
 
-        for pdf in batches:
-            yield pdf[list(keys)].assign(score=1 / (1 + np.exp(-(pdf[list(features)].to_numpy(float) @ np.array(w) + b))))
+def model_fingerprint(features: Sequence[str], model: tuple[Sequence[float], float]) -> str:
+    exact = [[f, float(w).hex()] for f, w in zip(features, model[0], strict=True)]
+    return hashlib.sha256(json.dumps([exact, float(model[1]).hex()]).encode()).hexdigest()
 
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, *features).mapInPandas(run, f"{kinds}, score double")
 
+def batch_inference(df: DataFrame, features: Sequence[str], model: tuple[Sequence[float], float], keys: Sequence[str], path: str, chunks: int = 8) -> DataFrame:
+    """(keys, score) of every row, written in chunks under path; a run that is begun again writes only missing chunks.
 
-def lexicon_sentiment(docs: DataFrame, key: str, text: str, lexicon: DataFrame, alpha: float = 15.0) -> DataFrame:
-    """(key, positive, negative, compound): sums of a lexicon's (word, value) and s / sqrt(s² + alpha).
-
-    An own, plain reading of a lexicon: no negation, emphasis or punctuation rules.
+    A chunk is the rows whose keys' hash falls to it, and is there when its folder is committed.  The fingerprint of the
+    model is written first; a later run with another model or another number of chunks is refused.
     """
-    w = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w+\b"), 0)).alias("word")).join(lexicon, "word")
-    s = w.groupBy(key).agg(F.sum("value").alias("s"), F.sum(F.greatest("value", F.lit(0.0))).alias("p"), F.sum(F.least("value", F.lit(0.0))).alias("q"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return docs.select(key).join(s, key, "left").select(key, zero("p").alias("positive"), zero("q").alias("negative"), (zero("s") / F.sqrt(zero("s") * zero("s") + alpha)).alias("compound"))
+    spark = df.sparkSession
+    mark = model_fingerprint(features, model)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(folder(f"{path}/model/_SUCCESS")):
+        held = spark.read.json(f"{path}/model").first()
+        if (held["fingerprint"], held["chunks"]) != (mark, chunks):
+            raise FrozenModelError(f"{path} holds scores of another model or split")
+    else:
+        spark.createDataFrame([(mark, chunks)], "fingerprint string, chunks int").coalesce(1).write.mode("overwrite").json(f"{path}/model")
+    scored = df.select(*keys, logistic_score(features, model).alias("score"), F.pmod(F.xxhash64(*keys), F.lit(chunks)).alias("__chunk"))
+    parts = []
+    for k in range(chunks):
+        part = f"{path}/scores/chunk={k}"
+        if not fs.exists(folder(f"{part}/_SUCCESS")):
+            scored.where(F.col("__chunk") == k).drop("__chunk").write.mode("overwrite").option("compression", "zstd").parquet(part)
+        parts.append(part)
+    return spark.read.schema(scored.drop("__chunk").schema).parquet(*parts)
 
 
 def sealed(rows: DataFrame, split: str, label: str, features: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

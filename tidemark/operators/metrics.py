@@ -1,6 +1,6 @@
 """Agreement and classifier metrics, as aggregates over (label, prediction) rows.
 
-Threshold-free metrics group equal scores first, so their windows run over distinct scores, not over rows.
+Threshold-free metrics group equal scores first and sum along them by range partitions: no key gathers its scores.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .targets import ranked
+
 
 def ratio(n: Column, d: Column) -> Column:
     """n / d, 0 where d is 0."""
@@ -41,16 +43,20 @@ def _by_score(rows: DataFrame, label: str, score: str, keys: Sequence[str]) -> D
 
 def roc_auc(rows: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """The share of (negative, positive) pairs in order, ties counting half; null unless both classes occur."""
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = _by_score(rows, label, score, keys).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    g = d.groupBy(*keys).agg(F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("u2"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    # sums over all lower scores, also of keys before; what those keys have is the least of a key's sums
+    d = ranked(_by_score(rows, label, score, keys), [*keys, "s"], before={"below": F.col("neg")})
+    u2 = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg"))) - 2 * F.min("below") * F.sum("pos")
+    g = d.groupBy(*keys).agg(u2.alias("u2"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return g.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u2") / (2 * F.col("p") * F.col("q"))).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean precision at each distinct score, weighted by the recall it adds (no interpolation)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = _by_score(rows, label, score, keys).withColumn("tp", F.sum("pos").over(w)).withColumn("all", F.sum("n").over(w))
+    d = ranked(_by_score(rows, label, score, keys), [*(F.col(k) for k in keys), F.desc("s")], before={"tp": F.col("pos"), "all": F.col("n")})
+    if keys:  # less what the keys before have
+        first = d.groupBy(*keys).agg(F.min("tp").alias("tp0"), F.min("all").alias("all0"))
+        d = d.join(first, list(keys)).withColumns({"tp": F.col("tp") - F.col("tp0"), "all": F.col("all") - F.col("all0")})
+    d = d.withColumns({"tp": F.col("tp") + F.col("pos"), "all": F.col("all") + F.col("n")})
     g = d.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("tp") / F.col("all"))).alias("a"), F.sum("pos").alias("p"))
     return g.select(*keys, F.when(F.col("p") > 0, F.col("a") / F.col("p")).alias("average_precision"))
 

@@ -64,7 +64,12 @@ ORDER = ("parent_round", "stratum_hash", "row_hash")
 
 
 def bucket_mix(pool: DataFrame, total: int, shares: Mapping[str, float], seed: int, purpose: str, parent: str, key: str, stratum: Sequence[str], bucket: str = "bucket") -> DataFrame:
-    """total rows with the buckets in shares, shortfalls filled from what is left; stage tells which pass took a row."""
+    """total rows with the buckets in shares, shortfalls filled from what is left; stage tells which pass took a row.
+
+    A pool with fewer rows is refused.
+    """
+    if pool.limit(total).count() < total:
+        raise ValueError(f"the pool has fewer than {total} rows")
     targets = bucket_targets(total, shares)
     taken = None
     for b in BUCKETS:
@@ -72,22 +77,33 @@ def bucket_mix(pool: DataFrame, total: int, shares: Mapping[str, float], seed: i
         part = d.orderBy(*ORDER, key).limit(targets[b]).select(*pool.columns).withColumn("stage", F.lit("bucket"))
         taken = part if taken is None else taken.unionByName(part)
     rest = diversity_order(pool.join(taken.select(key), key, "left_anti"), seed, f"{purpose}|fallback", parent, key, stratum)
-    fill = rest.orderBy(*ORDER, key).limit(total).select(*pool.columns).withColumn("stage", F.lit("fallback"))
-    both = taken.unionByName(fill).withColumn("__k", F.row_number().over(Window.orderBy(F.col("stage") == "fallback", key)))
-    # the fallback rows keep their own order: count what the buckets gave, then take the missing ones
-    missing = F.lit(total) - F.count_if(F.col("stage") == "bucket").over(Window.partitionBy())
-    return both.drop("__k").withColumn("__m", missing).where((F.col("stage") == "bucket") | (F.col("__m") > 0)).drop("__m").orderBy(F.col("stage") == "fallback").limit(total)
+    # the fallback rows keep their own order: at most total are numbered, and as many are kept as the buckets lack
+    fill = rest.orderBy(*ORDER, key).limit(total).withColumn("__k", F.row_number().over(Window.orderBy(*ORDER, key)))
+    lack = taken.agg((F.lit(total) - F.count("*")).alias("__m"))
+    fill = fill.crossJoin(F.broadcast(lack)).where(F.col("__k") <= F.col("__m")).select(*pool.columns).withColumn("stage", F.lit("fallback"))
+    return taken.unionByName(fill)
 
 
 def balanced_select(pool: DataFrame, quota: int, seed: int, purpose: str, group: str) -> DataFrame:
     """quota rows of each group by greedy balance: the row whose parent, keyword, rating and period are least used.
 
-    Each choice depends on all before it, so a group is chosen in one task; it gets only the columns that the choice
-    needs.  Ties go by a seeded hash.  pool: duplicate_key, parent_asin, keyword_candidate_hit, rating_stratum,
-    time_stratum and group.
+    Each choice depends on all before it, so a group is chosen in one task.  It gets only the columns that the choice
+    needs, and only rows that can be chosen: of a combination of keyword, rating and period the quota first parents by
+    their first row, and the quota first rows of each.  A row behind those always stands behind an unused one of equal
+    pressure, so a task has at most quota squared rows a combination.  Ties go by a seeded hash.  pool: duplicate_key,
+    parent_asin, keyword_candidate_hit, rating_stratum, time_stratum and group.
     """
     slim = pool.select(group, "duplicate_key", "parent_asin", "keyword_candidate_hit", "rating_stratum", "time_stratum", seeded_order(seed, F.lit(purpose), F.col("duplicate_key")).alias("order"))
 
+    kinds = [group, "keyword_candidate_hit", "rating_stratum", "time_stratum"]
+    slim = slim.withColumn("__n", F.row_number().over(Window.partitionBy(*kinds, "parent_asin").orderBy("order", "duplicate_key"))).where(F.col("__n") <= quota)
+    heads = slim.where("__n = 1").withColumn("__h", F.row_number().over(Window.partitionBy(*kinds).orderBy("order", "duplicate_key"))).where(F.col("__h") <= quota)
+    same = F.lit(True)
+    a, b = slim.alias("a"), heads.select(*kinds, "parent_asin").alias("b")
+    for c in (*kinds, "parent_asin"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    slim = a.join(b, same, "left_semi").drop("__n")
+
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         take = greedy_balance(pdf.to_dict("records"), min(quota, len(pdf)))
         return pd.DataFrame({group: [r[group] for r in take], "duplicate_key": [r["duplicate_key"] for r in take], "place": range(1, len(take) + 1)})

@@ -32,30 +32,29 @@ def quality_targets(windows: DataFrame, horizons: Sequence[int] = (1, 2, 3), dev
 
     Eligible are supported rows with a known target, of any device type but the case study's.
     """
-    d = windows
+    out: dict[str, Column] = {}
     for h in horizons:
         valid = F.coalesce(F.col("hist_complete") & F.col(f"fut_complete_{h}") & (F.col("hist_n_reviews") > 0) & (F.col(f"fut_n_reviews_{h}") > 0), F.lit(False))
         fell, rose = deterioration(h)
-        d = d.withColumn(f"target_rating_drop_{h}", F.when(valid, fell.cast("int"))).withColumn(f"target_low_star_rise_{h}", F.when(valid, rose.cast("int"))).withColumn(f"target_any_{h}", F.when(valid, (fell | rose).cast("int")))
+        out |= {f"target_rating_drop_{h}": F.when(valid, fell.cast("int")), f"target_low_star_rise_{h}": F.when(valid, rose.cast("int")), f"target_any_{h}": F.when(valid, (fell | rose).cast("int"))}
         for a in DROPS:
             for b in RISES:
                 x, y = deterioration(h, a, b)
-                d = d.withColumn(f"target_any_{h}_d{a}_r{b}", F.when(valid, (x | y).cast("int")))
+                out[f"target_any_{h}_d{a}_r{b}"] = F.when(valid, (x | y).cast("int"))
         supported = F.coalesce((F.col("n_reviews") >= SUPPORT["current"]) & (F.col("hist_n_reviews") >= SUPPORT["history"]) & (F.col(f"fut_n_reviews_{h}") >= SUPPORT["future"]), F.lit(False))
-        d = d.withColumn(f"supported_{h}", supported)
         role = F.col(device) != "smart_switch" if device else F.lit(True)
-        d = d.withColumn(f"eligible_{h}", supported & valid & role)
-        for k in ROBUST:
-            d = d.withColumn(f"eligible_{h}_ge{k}", F.col(f"eligible_{h}") & (F.col("n_reviews") >= k))
-    return d
+        out |= {f"supported_{h}": supported, f"eligible_{h}": supported & valid & role}
+        out |= {f"eligible_{h}_ge{k}": supported & valid & role & (F.col("n_reviews") >= k) for k in ROBUST}
+    return windows.withColumns(out)
 
 
 def month_split(rows: DataFrame, eligible: str, index: str = "m", embargo: int = 3, shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """rows with split: train, validation and test by distinct eligible months, with embargoed months between.
 
     Fewer than five eligible months are refused (every row is then not_eligible).  The embargo is in calendar months and
-    is measured from the last month that was kept.
+    is measured from the last month that was kept.  rows are written once, since both their months and they are read.
     """
+    rows = cut(rows)
     months = rows.where(F.col(eligible)).select(index).distinct()
     one = Window.orderBy(index)  # months of the calendar: a bounded table
     n = F.count("*").over(Window.partitionBy())
@@ -95,16 +94,24 @@ def row_split(rows: DataFrame, order: Sequence[str], shares: tuple[float, float]
     return d.withColumn("split", F.when(F.col("place") <= F.floor(F.col("__n") * shares[0]), "train").when(F.col("place") <= F.floor(F.col("__n") * shares[1]), "validation").otherwise("test")).drop("__n")
 
 
-def ranked(rows: DataFrame, order: Sequence[str], place: str = "place") -> DataFrame:
-    """rows with their place, from 1, in a total order; scales with the rows."""
+def ranked(rows: DataFrame, order: Sequence[str], place: str = "place", before: dict[str, Column] | None = None) -> DataFrame:
+    """rows with their place, from 1, in a total order; before: sums of columns over all rows before.
+
+    Scales with the rows: they are range-partitioned, and only a row a partition meets in one task.
+    """
+    before = before or {}
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     s = rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
     s = cut(s)  # range bounds are sampled anew each time: both uses below must see the same partitions
-    s = s.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = s.groupBy("__p").agg(F.count("*").alias("__c"))
-    offset = counts.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    return s.join(F.broadcast(offset), "__p").withColumn(place, F.col("__o") + F.col("__k")).drop("__p", "__k", "__o")
+    inside = Window.partitionBy("__p").orderBy(*order)
+    prior = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    s = s.withColumns({"__k": F.row_number().over(inside)} | {f"__b_{n}": zero(F.sum(c).over(prior(inside))) for n, c in before.items()})
+    counts = s.groupBy("__p").agg(F.count("*").alias("__c"), *(F.sum(c).alias(f"__c_{n}") for n, c in before.items()))
+    offset = counts.select("__p", *(zero(F.sum(f"__c{x}").over(prior(Window.orderBy("__p")))).alias(f"__o{x}") for x in ("", *(f"_{n}" for n in before))))
+    out = s.join(F.broadcast(offset), "__p").withColumns({place: F.col("__o") + F.col("__k")} | {n: F.col(f"__o_{n}") + F.col(f"__b_{n}") for n in before})
+    return out.drop("__p", "__k", "__o", *(f"__{x}_{n}" for x in "bo" for n in before))
 
 
 def split_check(rows: DataFrame, index: str = "m", split: str = "split") -> DataFrame:

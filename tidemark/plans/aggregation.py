@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.maths import mapped
 from ..operators import audits, monthly
-from .facts import DEVICES, PRODUCTS_SQL, REVIEWS_SQL, products, reviews, table
+from .facts import PRODUCTS_SQL, REVIEWS_SQL, ROLES, products, reviews, table
 from .registry import query
 
 CODES = ("F1", "F2", "F3")
@@ -145,7 +146,7 @@ def agg_26(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg_27_year_series", f"WITH {REVIEWS_SQL} SELECT CASE WHEN grouping(device) = 1 THEN 'ALL' ELSE device END AS scope, CAST(year(review_month) AS INT) AS year, count(*) AS n, round(avg(fp), 8) AS mean_fp FROM reviews GROUP BY GROUPING SETS ((device, year(review_month)), (year(review_month)))")
 def agg_27(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reviews(spark, sf_dir).select("device", F.year("review_month").alias("year"), "fp")
-    return r.cube("device", "year").agg(F.grouping("device").alias("gd"), F.grouping("year").alias("gy"), F.count("*").alias("n"), F.round(F.avg("fp"), 8).alias("mean_fp")).where("gy = 0").select(F.when(F.col("gd") == 1, "ALL").otherwise(F.col("device")).alias("scope"), "year", "n", "mean_fp")
+    return r.groupingSets([[F.col("device"), F.col("year")], [F.col("year")]], "device", "year").agg(F.grouping("device").alias("gd"), F.count("*").alias("n"), F.round(F.avg("fp"), 8).alias("mean_fp")).select(F.when(F.col("gd") == 1, "ALL").otherwise(F.col("device")).alias("scope"), "year", "n", "mean_fp")
 
 
 @query("agg_28_balance", f"WITH {REVIEWS_SQL} SELECT device, CASE WHEN rating <= 2 THEN 'low_1_2' WHEN rating = 3 THEN 'middle_3' ELSE 'high_4_5' END AS stratum, count(*) AS n, count(*) FILTER (WHERE fp >= 0.7) AS hits, count(*) FILTER (WHERE NOT fp >= 0.7) AS misses, count(DISTINCT product) AS n_products FROM reviews GROUP BY 1, 2")
@@ -204,5 +205,5 @@ def rpt_11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prj_03_role_map", f"WITH {PRODUCTS_SQL} SELECT product, device, role FROM products")
 def prj_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products(spark, sf_dir).select("product", "device", "role")
-    return p.where(F.col("device").isin(*DEVICES))
+    p = products(spark, sf_dir).select("product", "device")
+    return p.withColumn("role", mapped(F.col("device"), ROLES))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify
+from ..sources.batches import spread
 from ..storage import cut
 from .facts import table
 from .registry import query
@@ -20,7 +21,7 @@ RULES = {
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("categories"), F.col("p_brand").alias("features"), F.lit("").alias("description"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("categories"), F.col("p_brand").alias("features"), F.lit("").alias("description"))
 
 
 def _has(text: str, *terms: str) -> str:

@@ -173,9 +173,9 @@ def set_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.subtract(b).select(F.lit("left").alias("side"), "k").unionByName(b.subtract(a).select(F.lit("right").alias("side"), "k"))
 
 
-@query("set_03_union_all", "SELECT 'document' AS kind, doc_id AS id, text FROM documents WHERE doc_id < 50 UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
+@query("set_03_union_all", "SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
 def set_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 50").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     return d.unionByName(table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text"))
 
 
@@ -186,12 +186,13 @@ def set_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("id % 3 <> 0").unionByName(new, allowMissingColumns=True).withColumns({"origin": F.coalesce("origin", F.lit("baseline")), "promoted": F.coalesce("promoted", F.lit(False))})
 
 
-@query("set_05_append_check", "SELECT count(*) AS n_combined, CAST(0 AS BIGINT) AS n_changed FROM orders")
+@query("set_05_append_check", """WITH b AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, row_number() OVER (ORDER BY o_orderstatus <> 'F', o_orderkey) AS place FROM orders)
+ SELECT (SELECT count(*) FROM b) AS n_base, (SELECT count(*) FROM c) AS n_combined, (SELECT count(*) FROM b LEFT JOIN c ON b.place = c.place WHERE b.o_orderkey IS DISTINCT FROM c.o_orderkey OR b.o_totalprice IS DISTINCT FROM c.o_totalprice) AS n_changed""")
 def set_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    base, more = o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'")
-    both = base.unionAll(more)
-    return both.agg(F.count("*").alias("n_combined")).crossJoin(base.exceptAll(both).agg(F.count("*").alias("n_changed")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").eqNullSafe(F.lit("F")).cast("int").alias("old"), "o_orderkey", "o_totalprice")
+    changed = F.when(F.col("o_orderkey") % 1000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))  # what the check is to find
+    combined = o.withColumn("o_totalprice", changed)
+    return audits.prefix_changes(o.where("old = 1").drop("old"), ["o_orderkey"], combined, [F.desc("old"), F.col("o_orderkey")])
 
 
 @query("win_01_priority_dedup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, length(l_returnflag || l_linestatus) DESC, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 999 END, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS k FROM lineitem) WHERE k = 1")

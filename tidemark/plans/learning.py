@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning, metrics
+from ..operators import learning, metrics, sentiment
+from ..sources.batches import spread
+from ..storage import shared_folder
 from .facts import REVIEWS_SQL, reviews, table
 from .registry import query
 
 # words of part names: a plain alphabet, so both engines see the same tokens
 TF = """w AS (SELECT p_partkey, p_brand, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_][a-z0-9_]+') AS w FROM part), t AS (SELECT p_partkey, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT p_partkey, term, count(*) AS tf FROM t GROUP BY 1, 2),
- tr AS (SELECT * FROM tf WHERE p_partkey % 3 <> 0), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tr GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 60), idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT p_partkey) FROM tr)) / (1 + df)) + 1 AS idf FROM v),
+ tr AS (SELECT * FROM tf WHERE p_partkey % 3 <> 0), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tr GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 20000), idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT p_partkey) FROM tr)) / (1 + df)) + 1 AS idf FROM v),
  x AS (SELECT p_partkey, tf.term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf ON tf.term = idf.term), y AS (SELECT p_partkey, term, w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)) AS w FROM x)"""
 
 
 def _tfidf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text"))
     tf = learning.terms(docs, "p_partkey", "text")
-    vocab = learning.fit_vocabulary(tf.where("p_partkey % 3 <> 0"), "p_partkey", 2, 60)
+    vocab = learning.fit_vocabulary(tf.where("p_partkey % 3 <> 0"), "p_partkey")
     return docs, learning.tfidf(tf, vocab, "p_partkey")
 
 
@@ -97,7 +101,9 @@ def ml_08(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ml_09_batch_scores")
 def ml_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rows(spark, sf_dir)
-    return learning.batch_scores(r, FEATURES, ([1.5, -0.5, 0.25], -0.75), ["order_id", "line_no", "part"])
+    model = learning.fit_logistic(r.where("order_id % 3 <> 0"), FEATURES, "y")
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    return learning.batch_inference(r, FEATURES, model, ["order_id", "line_no", "part"], path, 4)
 
 
 LEX = {"idiot": -2.5, "scum": -2.0, "worthless": -1.5, "the": 0.1, "with": 0.2}
@@ -105,8 +111,7 @@ LEX = {"idiot": -2.5, "scum": -2.0, "worthless": -1.5, "the": 0.1, "with": 0.2}
 
 @query("ml_10_sentiment")
 def ml_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = spark.createDataFrame(list(LEX.items()), "word string, value double")
-    return learning.lexicon_sentiment(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", F.broadcast(lex))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", sentiment.sentiment(F.col("text"), LEX).alias("s")).select("doc_id", "s.*")
 
 
 @query("ml_11_modelling_keys", f"WITH {REVIEWS_SQL}, k AS (SELECT product, review_month, unnest([{{'horizon': 1, 'y': CAST(avg(rating) < 3 AS INT)}}, {{'horizon': 2, 'y': CAST(min(rating) = 1 AS INT)}}, {{'horizon': 3, 'y': 1}}]) AS x FROM reviews GROUP BY 1, 2) SELECT CAST(x.horizon AS INT) AS horizon, count(*) AS n, count(DISTINCT x.y) = 2 AS both_classes FROM k GROUP BY 1")

@@ -55,21 +55,16 @@ def smp_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POOL = f"""{REVIEWS_SQL}, pool AS (SELECT order_id * 10 + line_no AS k, product, device, CASE WHEN fp BETWEEN 0.4 AND 0.6 THEN 'high_uncertainty' WHEN (rating <= 2) <> (pers >= 1.2) THEN 'rating_keyword_disagreement' ELSE 'diversity_control' END AS bucket,
- CASE WHEN rating <= 2 THEN 'low_1_2' WHEN rating = 3 THEN 'middle_3' ELSE 'high_4_5' END AS rs FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_no ORDER BY part, product, ts, price) AS q FROM reviews) WHERE q = 1 AND product <= 9)"""
+ CASE WHEN rating <= 2 THEN 'low_1_2' WHEN rating = 3 THEN 'middle_3' ELSE 'high_4_5' END AS rs FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_no ORDER BY part, product, ts, price) AS q FROM reviews) WHERE q = 1)"""
 
 
-def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.audits import first_of_key
 
     r = first_of_key(reviews(spark, sf_dir), ["order_id", "line_no"], [F.col(c) for c in ("part", "product", "ts", "price")])
     return r.select((F.col("order_id") * 10 + F.col("line_no")).alias("k"), "product", "device", sampling.assign_bucket(F.col("fp"), F.col("rating") <= 2, F.col("pers") >= 1.2).alias("bucket"), rating_stratum(F.col("rating")).alias("rs"))
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The products that POOL keeps."""
-    return _every(spark, sf_dir).where("product <= 9")
-
-
 @query("smp_05_buckets", f"WITH {POOL} SELECT bucket, rs, count(*) AS n FROM pool GROUP BY 1, 2")
 def smp_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir).groupBy("bucket", "rs").agg(F.count("*").alias("n"))
@@ -90,7 +85,8 @@ MIX = sampling.bucket_targets(232, SHARES)
 
 
 @query("smp_06_bucket_mix", f"""WITH {POOL}, {', '.join(f"b{i} AS ({_div(f'(SELECT * FROM pool WHERE bucket = {chr(39)}{b}{chr(39)})', f'mix|bucket={b}')})" for i, b in enumerate(sampling.BUCKETS))}
- {' UNION ALL '.join(f"SELECT k, bucket, 'bucket' AS stage FROM b{i} WHERE pos <= {MIX[b]}" for i, b in enumerate(sampling.BUCKETS))}""")
+, t AS ({' UNION ALL '.join(f"SELECT k, bucket FROM b{i} WHERE pos <= {MIX[b]}" for i, b in enumerate(sampling.BUCKETS))}), f AS ({_div('(SELECT * FROM pool WHERE k NOT IN (SELECT k FROM t))', 'mix|fallback')})
+ SELECT k, bucket, 'bucket' AS stage FROM t UNION ALL SELECT k, bucket, 'fallback' FROM f WHERE pos <= {sum(MIX.values())} - (SELECT count(*) FROM t)""")
 def smp_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bucket_mix(_pool(spark, sf_dir), 232, SHARES, SEED, "mix", "product", "k", ["rs"]).select("k", "bucket", "stage")
 
@@ -105,7 +101,7 @@ def smp_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("smp_08_balanced_select")
 def smp_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _every(spark, sf_dir)
+    p = _pool(spark, sf_dir)
     time = F.element_at(F.array(*map(F.lit, sampling.TIME_SHARES)), (F.col("k") % 3).cast("int") + 1)
     pool = p.select("device", F.col("k").alias("duplicate_key"), F.col("product").cast("string").alias("parent_asin"), (F.col("bucket") != "diversity_control").alias("keyword_candidate_hit"), F.col("rs").alias("rating_stratum"), time.alias("time_stratum"))
     return sampling.balanced_select(pool, 60, SEED, "select", "device")

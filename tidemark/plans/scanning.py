@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import contracts
 from ..sources import files, jsonl
+from ..sources.batches import spread
 from ..storage import shared_folder
 from .facts import table
 from .registry import query
@@ -20,7 +26,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     s = lambda x: F.lit(x)
     obj = F.concat(s('{"id": '), e.cast("string"), s(', "type": "'), F.col("event_type"), s('", "n": '), F.when(e % 5 == 0, "null").when(e % 7 == 0, "1.5").otherwise("3"), F.when(e % 3 == 0, ', "tags": ["a", "b"]').otherwise(""), s(', "ok": '), F.when(F.col("user_id") % 2 == 0, "true").otherwise("false"), s(', "note": "'), F.when(e % 4 == 0, "").otherwise("x"), s('", "ts": '), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), s(', "props": '), F.col("props"), s("}"))
-    return table(spark, sf_dir, "events").select("event_id", F.when(e % 101 == 0, "").when(e % 97 == 0, "{bad").when(e % 89 == 0, "[1, 2]").otherwise(obj).alias("line"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", F.when(e % 101 == 0, "").when(e % 97 == 0, "{bad").when(e % 89 == 0, "[1, 2]").otherwise(obj).alias("line"))
 
 
 KIND = LINES + ", k AS (SELECT *, CASE WHEN line = '' THEN 'empty' WHEN NOT json_valid(line) THEN 'error' WHEN json_type(line) = 'OBJECT' THEN 'object' ELSE 'non_object' END AS kind FROM lines)"
@@ -31,7 +37,7 @@ def src_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.scan_counts(_lines(spark, sf_dir))
 
 
-@query("src_02_error_lines", f"WITH {KIND} SELECT event_id, CAST(length(line) AS INT) AS length, substr(line, 1, 80) AS start FROM k WHERE kind = 'error' ORDER BY event_id LIMIT 1000")
+@query("src_02_error_lines", f"WITH {KIND}, o AS (SELECT *, row_number() OVER (ORDER BY event_id) AS line_no, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM k) SELECT event_id, line_no, byte_offset, CAST(length(line) AS INT) AS length, substr(line, 1, 80) AS start, CASE WHEN line LIKE '{{%' AND line NOT LIKE '%}}' THEN 'unclosed_object' WHEN line LIKE '{{%' THEN 'malformed_object' ELSE 'malformed_value' END AS category FROM o WHERE kind = 'error'")
 def src_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.error_lines(_lines(spark, sf_dir), "event_id")
 
@@ -115,3 +121,94 @@ def snk_05(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return files.readback(files.write_parquet(c, _out(spark, "customer")), c)
+
+
+def _local(name: str) -> str:
+    """A path in a folder of the driver's own, for files that are small and read on the driver alone."""
+    return f"{tempfile.mkdtemp(prefix='tidemark-')}/{name}"
+
+
+def _workbook(rows: list[tuple]) -> str:
+    """An .xlsx file with one worksheet: shared strings, whole numbers, fractions, booleans and empty cells."""
+    names = sorted({x for r in rows for x in r if isinstance(x, str)})
+
+    def cell(ref: str, x: object) -> str:
+        if x is None:
+            return ""
+        kind, v = (' t="s"', names.index(x)) if isinstance(x, str) else (' t="b"', int(x)) if isinstance(x, bool) else ("", x)
+        return f'<c r="{ref}"{kind}><v>{v}</v></c>'
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    body = "".join(f'<row r="{i}">' + "".join(cell(f"{chr(65 + k)}{i}", x) for k, x in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    path = _local("book.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{office}"><sheets><sheet name="suppliers" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{x}</t></si>" for x in names) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return path
+
+
+@query("src_08_workbook", "SELECT n_nationkey AS id, n_name AS name, n_nationkey % 2 = 0 AS even, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey + 0.5 END AS half FROM nation")
+def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # a worksheet is a driver's file
+    rows = [("id", "name", "even", "half"), *((r[0], r[1], r[0] % 2 == 0, r[0] + 0.5 if r[0] % 3 else None) for r in n)]
+    got = files.read_workbook(_workbook(rows), "suppliers")
+    return spark.createDataFrame([(r["id"], r["name"], r["even"], r["half"]) for r in got], "id long, name string, even boolean, half double")
+
+
+@query("src_09_csv_strings", "SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN 'NA' ELSE '007' END AS code FROM supplier")
+def src_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    path = _out(spark, "csv")
+    head = F.lit(chr(0xFEFF))  # a byte-order mark before the header
+    s = table(spark, sf_dir, "supplier").select(k.cast("string").alias("key"), F.when(k % 3 == 0, "").when(k % 3 == 1, "NA").otherwise("007").alias("code"))
+    lines = s.select(F.concat_ws(",", "key", "code").alias("value"))
+    header = spark.range(1).select(F.concat(head, F.lit("key,code")).alias("value"))
+    header.unionByName(lines).coalesce(1).write.text(path)  # one file, as a CSV from elsewhere is
+    return files.read_csv(spark, path)
+
+
+@query("src_10_toml_rules", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'bolt') THEN 'smart_plug' WHEN contains(lower(p_name), 'ring') THEN 'smart_bulb' END AS kind FROM part")
+def src_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _local("rules.toml")
+    Path(path).write_text('[devices.smart_plug]\nterms = ["bolt"]\n[devices.smart_bulb]\nterms = ["ring"]\n', encoding="utf-8")
+    rules = files.load_toml(path)["devices"]
+    kind = F.coalesce(*(F.when(F.contains(F.lower("p_name"), F.lit(t)), k) for k, r in rules.items() for t in r["terms"]))
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
+
+
+@query("snk_02_atomic_write", "SELECT n_regionkey, count(*) AS n, false AS overwritten FROM nation GROUP BY 1")
+def snk_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _out(spark, "nation")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    back = files.write_parquet(n, path)
+    try:
+        files.write_parquet(n.limit(1), path)  # a path that exists is refused
+        overwritten = True
+    except AnalysisException:
+        overwritten = False
+    return back.groupBy("n_regionkey").agg(F.count("*").alias("n")).withColumn("overwritten", F.lit(overwritten))
+
+
+@query("snk_03_copy_query", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1, 2")
+def snk_03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _out(spark, "copied")
+    rows = spark.sql("SELECT l_returnflag, l_linestatus, l_quantity FROM {l} ORDER BY l_returnflag", l=table(spark, sf_dir, "lineitem"))
+    back = files.write_parquet(rows, path, row_group_bytes=8 << 20)
+    return back.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
+@query("prj_07_schema_contract", "SELECT * FROM (VALUES ('exact', true), ('other_order', false), ('other_type', false), ('forbidden', false)) AS t(contract, kept)")
+def prj_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    tries = {"exact": lambda: contracts.exact_schema(n, n.schema), "other_order": lambda: contracts.exact_schema(n.select("n_name", "n_nationkey"), n.schema), "other_type": lambda: contracts.exact_schema(n.withColumn("n_nationkey", F.col("n_nationkey").cast("string")), n.schema), "forbidden": lambda: contracts.forbid(n, ["N_NAME"])}
+    out = []
+    for name, check in tries.items():
+        try:
+            check()
+            out.append((name, True))
+        except contracts.ContractError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "contract string, kept boolean")

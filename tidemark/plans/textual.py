@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, text
-from ..operators import audits
+from ..operators import audits, languages
+from ..sources.batches import spread
 from .facts import REVIEWS_SQL, reviews, table
 from .registry import query
 
@@ -23,17 +24,17 @@ def _clean_sql(c: str) -> str:
 @query("str_01_clean_text_simple", f"SELECT page_id, md5({_clean_sql('html')}) AS clean_md5, CAST(length({_clean_sql('html')}) AS INT) AS n FROM pages")
 def str_01s(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text.clean_text_simple(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(c.cast("binary")).alias("clean_md5"), F.length(c).alias("n"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.md5(c.cast("binary")).alias("clean_md5"), F.length(c).alias("n"))
 
 
 @query("str_01_clean_text")
 def str_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").withColumn("c", text.clean_text(F.col("html"))).select("page_id", "c.*")
+    return spread(table(spark, sf_dir, "pages")).withColumn("c", text.clean_text(F.col("html"))).select("page_id", "c.*")
 
 
 @query("str_02_normalize_dedup")
 def str_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_for_dedup(F.col("text")).alias("normalized"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.normalize_for_dedup(F.col("text")).alias("normalized"))
 
 
 LOW = "trim(regexp_replace(lower({c}), '[\\s\\p{Z}\\x0B\\x{85}]+', ' ', 'g'))"
@@ -41,7 +42,7 @@ LOW = "trim(regexp_replace(lower({c}), '[\\s\\p{Z}\\x0B\\x{85}]+', ' ', 'g'))"
 
 @query("str_05_normalize_simple", f"SELECT doc_id, md5({LOW.replace('{c}', 'text')}) AS text_md5 FROM documents")
 def str_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_simple(F.col("text")).cast("binary")).alias("text_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(text.normalize_simple(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 @query("str_03_normalize_rule", "SELECT p_partkey, trim(regexp_replace(replace(lower(p_name || ' & ' || p_type), '&', ' and '), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name FROM part")
@@ -59,24 +60,23 @@ TERMS = ("the", "and the", "of", "that", "with", "de la")
 
 @query("str_06_matching_terms", f"SELECT doc_id, list_sort(list_filter({list(TERMS)}, lambda t: contains(' ' || {LOW.replace('{c}', 'text')} || ' ', ' ' || t || ' '))) AS terms FROM documents")
 def str_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.matching_terms(text.normalize_simple(F.col("text")), TERMS)).alias("terms"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_sort(text.matching_terms(text.normalize_simple(F.col("text")), TERMS)).alias("terms"))
 
 
-@query("str_08_within_tokens", """WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t, generate_subscripts(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1) AS i FROM documents WHERE lang = 'en'),
- h AS (SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 2 WHERE a.t IN ('that') AND b.t IN ('with', 'from')) SELECT d.doc_id, h.doc_id IS NOT NULL AS near FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id WHERE lang = 'en'""")
+@query("str_08_within_tokens", """WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t, generate_subscripts(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1) AS i FROM documents),
+ h AS (SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 2 WHERE a.t IN ('that') AND b.t IN ('with', 'from')) SELECT d.doc_id, h.doc_id IS NOT NULL AS near FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
 def str_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select("doc_id", text.within_tokens(text.normalize_protocol(F.col("text")), ["that"], ["with", "from"], 2).alias("near"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.within_tokens(text.normalize_protocol(F.col("text")), ["that"], ["with", "from"], 2).alias("near"))
 
 
 @query("str_09_truncate", f"SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE substr(t, 1, 59) || '…' END AS short FROM (SELECT doc_id, {LOW.replace('{c}', 'text').replace('lower(text)', 'text')} AS t FROM documents)")
 def str_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 60).alias("short"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.truncate(F.col("text"), 60).alias("short"))
 
 
 @query("str_09_snippet")
 def str_09s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["idiot", "licensed"], 90).alias("snippet"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.snippet(F.col("text"), ["idiot", "licensed"], 90).alias("snippet"))
 
 
 @query("str_10_flatten_json")
@@ -92,7 +92,7 @@ KW = f"lower({LOW.replace('{c}', 'text')})"
  SELECT doc_id, CASE WHEN t = '' THEN '' WHEN len(c) > 0 THEN array_to_string(c, ';') WHEN regexp_matches(t, '\\bthat\\b') AND regexp_matches(t, '\\bwith\\b') AND NOT regexp_matches(t, '\\bfrom\\b') THEN 'F1' ELSE '' END AS codes FROM c""")
 def str_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = text.keyword_codes(text.normalize_simple(F.col("text")), RULES, [r"\bthat\b"], [r"\bwith\b"], [r"\bfrom\b"])
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(codes, ";").alias("codes"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(codes, ";").alias("codes"))
 
 
 @query("str_12_star_header", "SELECT conv_id, turn, md5(regexp_replace(CASE WHEN turn % 2 = 0 THEN 'One Star' || chr(10) ELSE 'I gave one star ' END || text, '^\\s*(?i:one|two|three|four|five)\\s+(?i:stars?)\\s*(?:[.!:;\\-–—]+\\s*)?(?:(?:\\r?\\n)+|$)', '')) AS text_md5 FROM conversations")
@@ -109,7 +109,19 @@ def str_13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str_14_language_gate", "SELECT doc_id, CASE WHEN length(text) < 12 OR length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 10 THEN 'undetermined_short' WHEN lang IS NULL THEN 'undetermined_other' WHEN lang = 'en' AND (doc_id % 10) / 10.0 >= 0.7 THEN 'English' ELSE 'non-English' END AS status FROM documents")
 def str_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.language_gate(F.col("text"), F.col("lang"), (F.col("doc_id") % 10) / 10.0).alias("status"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.language_gate(F.col("text"), F.col("lang"), (F.col("doc_id") % 10) / 10.0).alias("status"))
+
+
+@query("str_14_language_detection")
+def str_14_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
+    found = languages.detect(d, "doc_id", "text", languages.fit_profiles(d, "text", "lang"))
+    return found.select("doc_id", text.language_gate(F.col("text"), F.col("detected"), F.col("confidence")).alias("status"), "detected", F.round("confidence", 6).alias("confidence"))
+
+
+@query("str_07_word_boundary", "SELECT p_partkey, array_to_string(list_filter(['blue ring', 'bolt', 'red'], lambda t: regexp_matches(lower(p_name), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')), ';') AS terms FROM part")
+def str_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.word_boundary_terms(text.normalize_protocol(F.col("p_name")), ["bolt", "red", "blue ring"]), ";").alias("terms"))
 
 
 @query("str_15_pii_scan")
@@ -118,7 +130,7 @@ def str_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     any_ = F.lit(False)
     for h in hits.values():
         any_ = any_ | h
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), *(F.count_if(h).alias(f"n_{k}") for k, h in hits.items()), F.count_if(any_).alias("n_any"))
+    return spread(table(spark, sf_dir, "documents")).agg(F.count("*").alias("n"), *(F.count_if(h).alias(f"n_{k}") for k, h in hits.items()), F.count_if(any_).alias("n_any"))
 
 
 @query("str_16_label_codes", """WITH c AS (SELECT o_orderkey, ['N0','F1','F2','F3','F4','F5','F6','F7','F8'] AS legal, list_filter(regexp_split_to_array(upper('f' || (o_orderkey % 8 + 1) || ' ;F' || (o_custkey % 9) || CASE WHEN o_orderkey % 3 = 0 THEN '/n0' ELSE '' END), '[;,|/\\s]+'), lambda x: x <> '') AS have FROM orders)
@@ -143,7 +155,7 @@ def str_17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str_18_slug", "SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS slug FROM pages")
 def str_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
 SALT = bytes([0x11] * 32)

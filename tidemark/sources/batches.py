@@ -8,6 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the session has cores, for work that costs more than moving the rows.
+
+    Small inputs come as one split; an input that has as many splits already stays as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def map_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """f over Arrow batches of rows, partition by partition; f must not depend on where batches are cut."""
 

@@ -76,14 +76,15 @@ def read_workbook(path: str | Path, sheet: str) -> list[dict[str, object]]:
     return [{name: r.get(k) for k, name in header.items()} for r in rows[1:] if any(v is not None for v in r.values())]
 
 
-def write_parquet(df: DataFrame, path: str, schema: StructType | None = None) -> DataFrame:
+def write_parquet(df: DataFrame, path: str, schema: StructType | None = None, row_group_bytes: int | None = None) -> DataFrame:
     """Writes zstd Parquet to a path that must not exist, and reads it back; returns what was read.
 
     Spark's commit protocol makes the files appear together; counts and schema are compared after reading.
     """
     if schema is not None:
         df = df.to(schema)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    w = df.write.mode("errorifexists").option("compression", "zstd")
+    (w.option("parquet.block.size", row_group_bytes) if row_group_bytes else w).parquet(path)
     back = df.sparkSession.read.parquet(path)
     if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema]:
         raise ValueError(f"{path}: schema differs after reading back")

@@ -5,7 +5,7 @@ Lines are parsed once into VARIANT values, so types are those in the file and no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,27 +33,44 @@ def scan_counts(lines: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("physical"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("empty", "error", "object", "non_object")))
 
 
-def error_lines(lines: DataFrame, key: str, limit: int = 1000) -> DataFrame:
-    """The first broken lines by key (a line number or file position that the caller has), at most limit."""
-    return parsed(lines).where("kind = 'error'").select(key, F.length("line").alias("length"), F.substring("line", 1, 80).alias("start")).orderBy(key).limit(limit)
+def error_lines(lines: DataFrame, key: str) -> DataFrame:
+    """Every broken line: key, line_no and byte_offset in the order of key, length, start and category.
+
+    The offset counts a line feed after each line before it.
+    """
+    from ..operators.targets import ranked
+
+    placed = ranked(lines, [key], "line_no", {"byte_offset": F.octet_length(F.coalesce("line", F.lit(""))) + 1})
+    bad = parsed(placed).where("kind = 'error'")
+    text = F.trim("line")
+    category = F.when(text.startswith("{") & ~text.endswith("}"), "unclosed_object").when(text.startswith("{"), "malformed_object").when(text.startswith("["), "malformed_array").otherwise("malformed_value")
+    return bad.select(key, "line_no", "byte_offset", F.length("line").alias("length"), F.substring("line", 1, 80).alias("start"), category.alias("category"))
 
 
 def fields(lines: DataFrame, key: str) -> DataFrame:
-    """(key, field, type, text): a row per field of each object."""
+    """(key, field, type, text, place): a row per field of each object, place from 0 in it."""
     objects = parsed(lines).where("kind = 'object'").select(key, "v")
     spark = lines.sparkSession
-    d = spark.sql(f"SELECT d.{key}, e.key AS field, schema_of_variant(e.value) AS s, try_variant_get(e.value, '$', 'string') AS text FROM {{d}} d, LATERAL variant_explode(d.v) e", d=objects)
-    return d.select(key, "field", json_type(F.col("s")).alias("type"), "text")
+    d = spark.sql(f"SELECT d.{key}, e.pos AS place, e.key AS field, schema_of_variant(e.value) AS s, try_variant_get(e.value, '$', 'string') AS text FROM {{d}} d, LATERAL variant_explode_outer(d.v) e", d=objects)
+    return d.select(key, "field", json_type(F.col("s")).alias("type"), "text", F.coalesce("place", F.lit(0)).alias("place"))
 
 
 def field_profile(lines: DataFrame, key: str) -> DataFrame:
     """Per field: occurrences, types, nulls, empty strings, and how many objects in effect lack it."""
-    n = parsed(lines).agg(F.count_if(F.col("kind") == "object").alias("objects"))
-    f = fields(lines, key)
+    # lines are parsed once: an object is counted by its first field (an empty one by its row without a field)
+    spark = lines.sparkSession
+    objects = parsed(lines).where("kind = 'object'").select("v")
+    f = spark.sql("SELECT e.key AS field, e.pos AS place, schema_of_variant(e.value) AS s, try_variant_get(e.value, '$', 'string') = '' AS blank FROM {d} d, LATERAL variant_explode_outer(d.v) e", d=objects)
+    # few schemas occur, so types are named after counting
+    by = f.groupBy("field", "s").agg(F.count("*").alias("n"), F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("firsts"), F.count_if("blank").alias("blank"))
+    by = by.withColumn("type", json_type(F.col("s")))
     kinds = ("null", "boolean", "integer", "number", "string", "array", "object")
-    g = f.groupBy("field").agg(F.count("*").alias("present"), *(F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds), F.count_if((F.col("type") == "string") & (F.col("text") == "")).alias("n_empty"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("type") == k, F.col("n"))), F.lit(0))
+    g = by.groupBy("field").agg(F.sum("n").alias("present"), *(of(k).alias(f"n_{k}") for k in kinds), F.coalesce(F.sum(F.when(F.col("type") == "string", F.col("blank"))), F.lit(0)).alias("n_empty"), F.sum("firsts").alias("firsts"))
+    # one row a field: a table as wide as the records
+    g = g.withColumn("objects", F.sum("firsts").over(Window.partitionBy())).drop("firsts").where("field IS NOT NULL")
     missing = F.col("objects") - F.col("present") + F.col("n_null") + F.col("n_empty")
-    return g.crossJoin(F.broadcast(n)).withColumn("effective_missing", missing).withColumn("missing_rate", missing / F.col("objects"))
+    return g.withColumn("effective_missing", missing).withColumn("missing_rate", missing / F.col("objects"))
 
 
 def field_counts(lines: DataFrame) -> DataFrame:
@@ -64,7 +81,7 @@ def field_counts(lines: DataFrame) -> DataFrame:
 def timestamp_audit(lines: DataFrame, key: str, field: str) -> DataFrame:
     """Presence, magnitude classes and the unit of a numeric timestamp: confirmed only if every value >= 0 is in ms."""
     n = parsed(lines).agg(F.count_if(F.col("kind") == "object").alias("objects"))
-    f = fields(lines, key).where(F.col("field") == field)
+    f = fields(lines, key).where(F.col("field") == field)  # a second pass, over one field
     x = F.when(F.col("type").isin("integer", "number"), F.expr("try_cast(text AS double)"))
     cls = F.when(x < 0, "negative").when((x >= 1e8) & (x < 1e11), "seconds").when((x >= 1e11) & (x < 1e14), "milliseconds").when((x >= 1e14) & (x < 1e17), "microseconds").when(x.isNotNull(), "other")
     g = f.withColumn("x", x).withColumn("c", cls).agg(F.count("*").alias("present"), F.count_if(F.col("type") == "null").alias("n_null"), F.count("x").alias("numeric"), *(F.count_if(F.col("c") == k).alias(k) for k in ("negative", "seconds", "milliseconds", "microseconds", "other")), F.min("x").alias("lo"), F.max("x").alias("hi"))
