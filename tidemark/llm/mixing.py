@@ -23,7 +23,7 @@ from .common import cut
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Bounds at which the ranking of a class may be cut, and classes of length (powers of two; the last has all above).
-CELLS, CLASSES = 8192, 24
+CELLS, CLASSES = 2048, 24
 SEED = "mix-1"
 #: Inclusion probabilities are whole multiples of 1 / UNIT, so their sums are exact in any order.
 UNIT = 1 << 30
@@ -111,13 +111,24 @@ def _cuts(ranked: DataFrame, need: DataFrame) -> DataFrame:
     rows = cells.select("k", "class", F.struct("cell", upto.alias("upto")).alias("c")).groupBy("k", "class").agg(F.collect_list("c").alias("cells"))
     by_source = rows.join(need, ["k", "class"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("turn"), "class", "expected", "cells"))).alias("classes"))
 
+    def bound(value: Column, f) -> Column:
+        """f(value) with value evaluated once, also inside the lambdas that f makes."""
+        return F.element_at(F.transform(F.array(value), f), 1)
+
     def step(state: Column, c: Column) -> Column:
-        wanted = c["expected"] + state["carry"]
-        low = F.coalesce(F.array_max(F.filter(F.transform(c["cells"], lambda e: e["upto"]), lambda x: x <= wanted)), F.lit(0).cast("long"))
-        high = F.array_min(F.filter(F.transform(c["cells"], lambda e: e["upto"]), lambda x: x > wanted))
-        take = F.when(high - wanted < wanted - low, high).otherwise(low)
-        last = F.coalesce(F.array_max(F.transform(F.filter(c["cells"], lambda e: e["upto"] <= take), lambda e: e["cell"])), F.lit(-1))
-        return F.struct((wanted - take).alias("carry"), F.concat(state["cuts"], F.array(F.struct(c["class"].alias("class"), last.alias("last")))).alias("cuts"))
+        def cut_at(x: Column) -> Column:  # x: upto, and the words wanted
+            low = F.coalesce(F.array_max(F.filter(x["upto"], lambda u: u <= x["wanted"])), F.lit(0).cast("long"))
+            return F.struct(x["wanted"].alias("wanted"), low.alias("low"), F.array_min(F.filter(x["upto"], lambda u: u > x["wanted"])).alias("high"))
+
+        def taken(x: Column) -> Column:
+            return F.struct(x["wanted"].alias("wanted"), F.when(x["high"] - x["wanted"] < x["wanted"] - x["low"], x["high"]).otherwise(x["low"]).alias("take"))
+
+        def after(x: Column) -> Column:
+            last = F.coalesce(F.array_max(F.transform(F.filter(c["cells"], lambda e: e["upto"] <= x["take"]), lambda e: e["cell"])), F.lit(-1))
+            return F.struct((x["wanted"] - x["take"]).alias("carry"), F.concat(state["cuts"], F.array(F.struct(c["class"].alias("class"), last.alias("last")))).alias("cuts"))
+
+        wanted = F.struct(F.transform(c["cells"], lambda e: e["upto"]).alias("upto"), (c["expected"] + state["carry"]).alias("wanted"))
+        return bound(wanted, lambda x: bound(cut_at(x), lambda y: bound(taken(y), after)))
 
     start = F.struct(F.lit(0.0).alias("carry"), F.expr("cast(array() as array<struct<class:int,last:int>>)").alias("cuts"))
     return by_source.select("k", F.explode(F.aggregate("classes", start, step, lambda s: s["cuts"])).alias("c")).select("k", "c.class", "c.last")
