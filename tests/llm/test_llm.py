@@ -792,3 +792,34 @@ def test_quotes_messages_that_share_a_turn(spark):
     out = quotes.conversations(d).collect()
     assert sum(len(r.messages) for r in out) == len(rows) and any("<|unknown|>" in r.text for r in out)
     assert quotes.conversations(d.limit(0)).count() == 0
+
+
+def test_pii_scores_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, "call my phone +49 30 1234567-89 or host 1.2.3.4", "a", "b", 1), (2, "+49 30 1234567-89", "a", "b", 1), (3, None, "a", "b", 1)], "doc_id long, text string, pii string, row string, rid int")
+    got = {r.doc_id: [(s.kind, round(s.score, 2)) for s in r.found] for r in pii.find_pii(d, out_col="found").collect()}
+    assert got == {1: [("phone", 1.0), ("ip", 0.9)], 2: [("phone", 0.7)], 3: []}
+    clean = pii.redact(d)
+    assert clean.columns == d.columns and [tuple(r) for r in clean.orderBy("doc_id").collect()] == [(1, "call my phone <PHONE> or host <IP>", "a", "b", 1), (2, "<PHONE>", "a", "b", 1), (3, None, "a", "b", 1)]
+
+
+PIPE = "doc_id long, text string, lang string, source string, n_chars long, row string, rid int, pii string, copies int"
+
+
+@pytest.mark.parametrize("kind", ["edge", "empty"])
+def test_pipeline_edges(spark, tmp_path, kind):
+    """Nulls in any column, repeated rows, very long and empty texts, no rows, and columns named as the operators' own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, t, "en", s, len(t or ""), "r", 1, "p", 2) for i, t, s in EDGE] + [(None,) * 9, (20, "words of one more document " * 9000, None, None, None, None, None, None, None)]
+    rows += [(i, t, "en", "a", len(t), "r", 1, "p", 2) for i, t, _ in labelled(60, 53)]
+    spark.createDataFrame(rows if kind == "edge" else [], PIPE).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, y) for i, _, y in labelled(60, 53)] + [(None, None, None)] if kind == "edge" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, f) in enumerate(pipeline.STAGES):
+        out = f(spark, d, str(tmp_path))
+        if k < 4:
+            assert out.columns == d.columns
+            out.write.parquet(str(tmp_path / f"stage{k}"))
+            d = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        else:
+            n = out.count()
+    assert pipeline.run(spark, str(tmp_path)).count() == n and (n > 0) == (kind == "edge")

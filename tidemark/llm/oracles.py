@@ -27,9 +27,10 @@ _VALID = f"""CASE kind WHEN 'email' THEN true
 
 PII = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), r AS ({' UNION ALL '.join(_raw(k) for k in pii.KINDS)}),
  u AS (SELECT rid, t, kind, rank, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM r WHERE len(parts) > 1), x AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e FROM u),
- m AS (SELECT rid, t, kind, rank, p, e - length(p) AS s, e, regexp_replace(p, '[^0-9]', '', 'g') AS g, replace(p, ' ', '') AS c FROM x WHERE i % 2 = 0), v AS (SELECT rid, kind, rank, s, kind || ':' || s || ':' || e AS w FROM m WHERE {_VALID}),
- a AS (SELECT rid, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)}, string_agg(w, ',' ORDER BY s, rank) FILTER (WHERE rank < {len(pii.BASE)}) AS b, string_agg(w, ',' ORDER BY s, rank) AS spans FROM v GROUP BY rid)
- SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON d.rid = a.rid"""
+ m AS (SELECT rid, t, kind, rank, p, e - length(p) AS s, e, regexp_replace(p, '[^0-9]', '', 'g') AS g, replace(p, ' ', '') AS c FROM x WHERE i % 2 = 0), n AS (SELECT *, substr(t, greatest(s - {pii.NEAR}, 0) + 1, s - greatest(s - {pii.NEAR}, 0)) || ' ' || substr(t, e + 1, {pii.NEAR}) AS near FROM m WHERE {_VALID}),
+ v AS (SELECT rid, kind, rank, s, kind || ':' || s || ':' || e AS w, CASE kind {' '.join(f"WHEN '{k}' THEN CAST(round(100 * least(1.0, {a} + CASE WHEN regexp_matches(near, '{w}') THEN {pii.GAIN} ELSE 0 END)) AS INT)" for k, (a, w) in pii.CONTEXT.items())} END AS sc FROM n),
+ a AS (SELECT rid, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)}, string_agg(w, ',' ORDER BY s, rank) FILTER (WHERE rank < {len(pii.BASE)}) AS b, string_agg(w, ',' ORDER BY s, rank) AS spans, string_agg(CAST(sc AS VARCHAR), ',' ORDER BY s, rank) AS scores FROM v GROUP BY rid)
+ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN a ON d.rid = a.rid"""
 
 _WEIGHTS = ", ".join(str(float(w)) for w in mixing.WEIGHTS)
 

@@ -108,8 +108,9 @@ def _spans_of(text: Column, kind: str) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """docs with out_col: array of (kind, rank, start, end, score) by start, then kind as listed.
 
-    Null or empty text: an empty array.  Rows are kept as they are, repeated ones too; an empty table gives no rows;
-    other columns stay (a column named out_col is replaced).
+    Null or empty text: an empty array.  Very long texts are searched whole, in time that grows with their length; a
+    text's confirmed spans are gathered in one array.  Spans that begin together stand in the order of their kinds.  Rows
+    are kept as they are, repeated ones too; an empty table gives no rows; other columns stay (one named out_col is replaced).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))
@@ -121,16 +122,22 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores_text(spans: Column) -> Column:
+    """The spans' scores in hundredths, in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of text_col replaced by its kind in angle brackets (overlapping spans: by the first's)."""
     cols = docs.columns
-    found = find_pii(docs, text_col, "__pii")
-    text = F.col(text_col)
+    held = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
+    found = find_pii(held, "text", "pii")
+    text = F.col("text")
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
         piece = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate("__pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__pii") > 0, done).otherwise(text)).select(*cols)
+    done = F.aggregate("pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.select("row", F.when(F.size("pii") > 0, done).otherwise(text).alias("text")).select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols))
