@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, pii, simhash, toxicity
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, drop_cuts_of, table
 from tidemark.llm.queries import TOKENIZER
 
 
@@ -45,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each on the table that the one before it wrote; that table goes when it has been read."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
+    for _, stage in STAGES:
+        made = stage(spark, docs, sf_dir)
+        read = made.inputFiles()  # what the stage, and operators in it, wrote
+        written = cut(made)
+        drop_cuts_of(spark, [*read, *docs.inputFiles()])
+        docs = written
     return docs
