@@ -24,11 +24,11 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, key: Sequence[
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(list(key))
-        try:
-            new = new.join(spark.read.parquet(path).select(*key), list(key), "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+        # a write that was cut off leaves only its temporary folder
+        if files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files):
+            # only the keys of the table are read, with the batch's schema
+            new = new.join(spark.read.schema(batch.schema).parquet(path).select(*key), list(key), "left_anti")
         new.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
