@@ -689,10 +689,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Passages of passage words or more that near-duplicate one of another document.
 
     Columns: doc_id, start_word, end_word (exclusive), other_id, other_start, other_end, similarity, class_id (smallest
-    doc_id that repeated passages join, over any number of them).  Each row ties a passage to the one that stands for its
-    group, directly or through that of its batch; copies are not expanded into all pairs.  Words are split at white
-    space, A-Z lower-cased.  Null or short text: no passages.  Rows with a null id, and repetitions inside one id, are
-    not linked.  Empty table: no rows.  Other columns are not looked at.
+    doc_id that repeated passages join, over any number of them).  Each row ties a passage to one of an earlier document
+    (a smaller id); copies are not expanded into all pairs, and of several that a passage could be tied to the first by
+    id stands for them.  The rows depend on the texts alone, not on batches or partitions, but for minima with over BLOCK
+    windows.  Words are split at white space, A-Z lower-cased.  Null or short text: no passages.  Very long texts are
+    hashed and cut in blocks of BYTES.  Rows with a null id, and repetitions inside one id, are not linked; rows that
+    repeat an id count as one document.  Empty table: no rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     width = passage - SHINGLE + 1
