@@ -39,11 +39,6 @@ def _if(cond: Column, reason: str) -> Column:
     return F.when(cond, F.array(F.lit(reason))).otherwise(F.array().cast("array<string>"))
 
 
-def _barrier(df: DataFrame) -> DataFrame:
-    """df, with its columns computed here: a generator keeps the optimizer from copying them into every later use."""
-    return df.withColumn("__b", F.explode(F.array(F.lit(0)))).drop("__b")
-
-
 def analyze_candidates(records: DataFrame, rules: Mapping, bare_switch: tuple[str, str] = ("smart_switch", "switch")) -> DataFrame:
     """records (title, categories, features, description as text) that name a smart function and a device, with their
     candidate and eligible types, terms, matched fields, exclusion reasons, ambiguity, confidence and, as JSON, the reason.
@@ -55,7 +50,7 @@ def analyze_candidates(records: DataFrame, rules: Mapping, bare_switch: tuple[st
     d = records.withColumns({f"__n_{f}": normalize_rule(F.col(f)) for f in FIELDS})
     smart_terms = rules["smart_functions"]["terms"]
     d = d.withColumns({f"__s_{f}": matching_terms(F.col(f"__n_{f}"), smart_terms) for f in FIELDS})
-    d = _barrier(d).withColumn("candidate_smart_terms", _union([F.col(f"__s_{f}") for f in FIELDS])).where(F.size("candidate_smart_terms") > 0)
+    d = d.withColumn("candidate_smart_terms", _union([F.col(f"__s_{f}") for f in FIELDS])).where(F.size("candidate_smart_terms") > 0)
 
     def device_terms(kind: str, field: str) -> Column:
         terms = list(rules["devices"][kind]["terms"])
@@ -64,13 +59,13 @@ def analyze_candidates(records: DataFrame, rules: Mapping, bare_switch: tuple[st
         return matching_terms(F.col(f"__n_{field}"), terms)
 
     d = d.withColumns({f"__d_{k}_{f}": device_terms(k, f) for k in kinds for f in FIELDS})
-    d = _barrier(d).withColumns({f"__c_{k}": _any([_some(F.col(f"__d_{k}_{f}")) for f in FIELDS]) for k in kinds})
+    d = d.withColumns({f"__c_{k}": _any([_some(F.col(f"__d_{k}_{f}")) for f in FIELDS]) for k in kinds})
     d = d.withColumn("candidate_device_types", F.array_compact(F.array(*(F.when(F.col(f"__c_{k}"), k) for k in kinds)))).where(F.size("candidate_device_types") > 0)
     title, both = F.col("__n_title"), F.trim(F.concat_ws(" ", "__n_title", "__n_categories"))
     accessory, relation = matching_terms(title, rules["exclusions"]["accessory_terms"]), matching_terms(title, rules["exclusions"]["accessory_relation_terms"])
     strong_title = _any([F.col(f"__c_{k}") & _some(matching_terms(title, rules["devices"][k]["strong_identity_terms"])) for k in kinds])
     none = F.array().cast("array<string>")
-    d = _barrier(d).withColumn("__global", F.concat(_tagged("global:explicit_non_smart:", matching_terms(title, rules["exclusions"]["non_smart_terms"])), F.when(_some(accessory) & (_some(relation) | ~strong_title), _tagged("global:accessory_primary_identity:", accessory)).otherwise(none)))
+    d = d.withColumn("__global", F.concat(_tagged("global:explicit_non_smart:", matching_terms(title, rules["exclusions"]["non_smart_terms"])), F.when(_some(accessory) & (_some(relation) | ~strong_title), _tagged("global:accessory_primary_identity:", accessory)).otherwise(none)))
     gate = m["identity_gate_fields"]
     gate_smart = _any([_some(F.col(f"__s_{f}")) for f in gate])
     specific = _some(F.filter("candidate_smart_terms", lambda t: t != "smart"))
@@ -89,11 +84,9 @@ def analyze_candidates(records: DataFrame, rules: Mapping, bare_switch: tuple[st
         if r.get("required_context_terms"):
             reasons.append(_if(~_some(matching_terms(both, r["required_context_terms"])), f"{k}:required_target_context_absent"))
         d = d.withColumn(f"__x_{k}", F.when(F.col(f"__c_{k}"), _union(reasons)).otherwise(none))
-    d = _barrier(d)
     eligible = {k: F.col(f"__c_{k}") & (F.size(f"__x_{k}") == 0) for k in kinds}
     d = d.withColumn("eligible_device_types", F.array_compact(F.array(*(F.when(c, k) for k, c in eligible.items()))))
     d = d.withColumn("exclusion_reasons", _union([F.col(f"__x_{k}") for k in kinds]))
-    d = _barrier(d)
     n, e = F.size("candidate_device_types"), F.size("eligible_device_types")
     d = d.withColumn("ambiguity_status", F.when((n > 1) & (e == 1), "resolved_by_explicit_exclusion").when(n > 1, "unresolved_multiple_device_types").otherwise("single_device_type"))
     high = _any([eligible[k] & _some(matching_terms(title, rules["devices"][k]["strong_identity_terms"])) for k in kinds])
@@ -107,7 +100,7 @@ def analyze_candidates(records: DataFrame, rules: Mapping, bare_switch: tuple[st
     d = d.withColumns({"smart_matched_fields": having(lambda f: _some(F.col(f"__s_{f}"))), "matched_fields": having(lambda f: _some(F.col(f"__s_{f}")) | named[f]), "eligible_after_exclusions": e == 1})
     d = d.withColumn("candidate_device_terms", _union([F.when(F.col(f"__c_{k}"), F.col(f"__d_{k}_{f}")).otherwise(none) for k in kinds for f in FIELDS])).withColumn("title_only", ~outside)
     reason = F.struct("ambiguity_status", F.col("candidate_device_types").alias("device_types"), "eligible_device_types", "matched_fields", F.lit(rules.get("filter", {}).get("candidate_term_policy")).alias("policy"), "smart_matched_fields", "title_only")
-    d = _barrier(d).withColumn("candidate_reason", F.to_json(reason, {"ignoreNullFields": "false"}))
+    d = d.withColumn("candidate_reason", F.to_json(reason, {"ignoreNullFields": "false"}))
     return d.drop("smart_matched_fields", *[c for c in d.columns if c.startswith("__")])
 
 
@@ -126,7 +119,7 @@ class _Recall:
 
     def __init__(self, records: DataFrame):
         have = [n for n in RECALL_FIELDS if n in records.columns]
-        self.d = _barrier(records.withColumns({f"__n_{n}": normalize_protocol(F.col(n)) if n in have else F.lit("") for n in RECALL_FIELDS}))
+        self.d = records.withColumns({f"__n_{n}": normalize_protocol(F.col(n)) if n in have else F.lit("") for n in RECALL_FIELDS})
         self.have = have
         self.title, self.categories = F.col("__n_title"), F.col("__n_categories")
         self.both = F.trim(F.concat_ws(" ", "__n_title", "__n_categories"))
@@ -150,7 +143,6 @@ class _Recall:
         """Decisions, then evidence: fields that hold a term of support, terms found (of support and others), and text around them."""
         d = self.d.withColumns({**decided, "draft_positive_before_audit": draft, "matched_device_terms": device, "matched_smart_terms": smart, "__context": context})
         d = d.withColumn("supporting_metadata_fields", F.array_compact(F.array(*(F.when(self.hit(F.col(f"__n_{n}"), support), n) for n in RECALL_FIELDS))))
-        d = _barrier(d)
         spelt = F.create_map(*(F.lit(x) for t in sorted({*support, *others}) for x in (t, normalized_term(t))))
         terms = F.transform(_union([F.col(c) for c in ("matched_device_terms", "__context", "matched_smart_terms")]), lambda t: F.element_at(spelt, t))
         d = d.withColumns({f"__c_{n}": collapse(F.coalesce(F.col(n), F.lit(""))) for n in EVIDENCE_FIELDS if n in self.have} | {"__terms": terms})
@@ -161,7 +153,6 @@ class _Recall:
                 take = (F.length(evidence) < EVIDENCE_ENOUGH) & (F.col(f"__c_{n}") != "")
                 d = d.withColumn(f"__e_{n}", F.when(take, F.concat(evidence, F.when(evidence == "", "").otherwise(" | "), part)).otherwise(evidence))
                 evidence = F.col(f"__e_{n}")
-                d = _barrier(d)
         d = d.withColumn("limited_metadata_evidence", F.substring(evidence, 1, EVIDENCE_CHARS))
         return d.drop(*[c for c in d.columns if c.startswith("__")])
 
