@@ -28,7 +28,7 @@ def _has(text: str, *terms: str) -> str:
     return "(" + " OR ".join(f"contains(' ' || {text} || ' ', ' {t} ')" for t in terms) + ")"
 
 
-_N = "SELECT p_partkey, lower(p_name) AS t, lower(p_name || ' ' || p_type) AS tc FROM part"
+_N = "SELECT p_partkey, lower(p_name) AS t, lower(p_type) AS ty, lower(p_name || ' ' || p_type) AS tc FROM part"
 # the reasons of the rule set above, spelt out
 _X = {k: f"""list_sort(list_filter([CASE WHEN {_has('t', 'hot')} THEN 'global:explicit_non_smart:hot' END, CASE WHEN acc THEN 'global:accessory_primary_identity:widget' END, CASE WHEN {_has('tc', 'promo')} THEN '{k}:wrong_product:promo' END, CASE WHEN NOT {_has('tc', w)} THEN '{k}:approved_identity_phrase_absent' END,
  CASE WHEN {_has('tc', 'ring')} AND NOT {_has('tc', 'red', 'blue')} THEN '{k}:conditional_without_specific_smart_control_evidence' END], lambda x: x IS NOT NULL))""" for k, w in sorted(WORDS.items())}
@@ -39,10 +39,11 @@ CAND = f"""n AS ({_N}), s AS (SELECT * FROM n WHERE {_has('tc', 'red', 'blue', '
 
 @query("cls_01_candidates", f"""WITH {CAND} SELECT p_partkey, array_to_string(types, ';') AS candidates, array_to_string(el, ';') AS eligible, array_to_string(list_sort(list_distinct(flatten([{', '.join(f'x_{k}' for k in WORDS)}]))), ';') AS reasons,
  CASE WHEN len(types) > 1 AND len(el) = 1 THEN 'resolved_by_explicit_exclusion' WHEN len(types) > 1 THEN 'unresolved_multiple_device_types' ELSE 'single_device_type' END AS ambiguity_status,
- CASE WHEN len(el) = 0 THEN 'excluded' WHEN len(el) > 1 THEN 'ambiguous' WHEN {' OR '.join(f"list_contains(el, '{k}') AND {_has('t', f'red {w}')}" for k, w in WORDS.items())} THEN 'high' WHEN {' OR '.join(f"list_contains(el, '{k}') AND {_has('t', w, 'widget')}" for k, w in WORDS.items())} THEN 'medium' ELSE 'borderline' END AS candidate_confidence FROM r""")
+ CASE WHEN len(el) = 0 THEN 'excluded' WHEN len(el) > 1 THEN 'ambiguous' WHEN {' OR '.join(f"list_contains(el, '{k}') AND {_has('t', f'red {w}')}" for k, w in WORDS.items())} THEN 'high' WHEN {' OR '.join(f"list_contains(el, '{k}') AND {_has('t', w, 'widget')}" for k, w in WORDS.items())} THEN 'medium' ELSE 'borderline' END AS candidate_confidence,
+ concat_ws(';', CASE WHEN {_has('ty', 'red', 'blue', 'smart', 'widget', *WORDS.values())} THEN 'categories' END, CASE WHEN {_has('t', 'red', 'blue', 'smart', 'widget', *WORDS.values())} THEN 'title' END) AS matched_fields, len(el) = 1 AS eligible_after_exclusions, CASE WHEN len(el) = 1 THEN el[1] WHEN len(el) > 1 THEN 'ambiguous' ELSE 'excluded' END AS provisional_device_type FROM r""")
 def cls_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = classify.analyze_candidates(_records(spark, sf_dir), RULES)
-    return d.select("p_partkey", F.array_join("candidate_device_types", ";").alias("candidates"), F.array_join("eligible_device_types", ";").alias("eligible"), F.array_join("exclusion_reasons", ";").alias("reasons"), "ambiguity_status", "candidate_confidence")
+    return d.select("p_partkey", F.array_join("candidate_device_types", ";").alias("candidates"), F.array_join("eligible_device_types", ";").alias("eligible"), F.array_join("exclusion_reasons", ";").alias("reasons"), "ambiguity_status", "candidate_confidence", F.array_join("matched_fields", ";").alias("matched_fields"), "eligible_after_exclusions", "provisional_device_type")
 
 
 RECALL = {
@@ -53,9 +54,9 @@ RECALL = {
 
 
 @query("cls_02_bulb_recall", f"""WITH n AS ({_N}) SELECT p_partkey, CASE WHEN {_has('t', 'small')} THEN 'accessory' WHEN {_has('t', 'gear')} THEN 'wrong_device_type' WHEN {_has('t', 'hot')} AND NOT {_has('tc', 'red', 'blue')} THEN 'non_smart' WHEN NOT {_has('tc', 'ring', 'widget')} THEN 'insufficient_evidence'
- WHEN NOT {_has('tc', 'red', 'blue', 'large')} OR {_has('t', 'hot')} THEN 'non_smart' ELSE 'correct_target' END AS audit_label FROM n""")
+ WHEN NOT {_has('tc', 'red', 'blue', 'large')} OR {_has('t', 'hot')} THEN 'non_smart' ELSE 'correct_target' END AS audit_label, {_has('tc', 'ring', 'widget')} AND {_has('tc', 'red', 'blue', 'large')} AND NOT {_has('t', 'small', 'gear')} AND NOT ({_has('t', 'hot')} AND NOT {_has('tc', 'red', 'blue')}) AS draft_positive, array_to_string(list_filter(['ring', 'widget'], lambda v: contains(' ' || tc || ' ', ' ' || v || ' ')), ';') AS device_terms, array_to_string(list_filter(['blue', 'large', 'red'], lambda v: contains(' ' || tc || ' ', ' ' || v || ' ')), ';') AS smart_terms FROM n""")
 def cls_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify_bulbs(_records(spark, sf_dir), RECALL).select("p_partkey", "audit_label")
+    return classify.classify_bulbs(_records(spark, sf_dir), RECALL).select("p_partkey", "audit_label", F.col("draft_positive_before_audit").alias("draft_positive"), F.array_join("matched_device_terms", ";").alias("device_terms"), F.array_join("matched_smart_terms", ";").alias("smart_terms"))
 
 
 SWITCH_LABEL = f"""CASE WHEN {_has('t', 'bolt')} AND NOT contains(tc, 'red bolt') THEN 'accessory' WHEN {_has('t', 'ring')} THEN 'wrong_device_type' WHEN {_has('tc', 'hot')} AND NOT {_has('tc', 'red', 'blue', 'wifi')} THEN 'non_smart' WHEN NOT {_has('tc', 'gear', 'widget')} THEN 'insufficient_evidence'
@@ -63,9 +64,9 @@ SWITCH_LABEL = f"""CASE WHEN {_has('t', 'bolt')} AND NOT contains(tc, 'red bolt'
 SWITCH_DECISION = f"""CASE WHEN {SWITCH_LABEL} = 'correct_target' THEN 'include' WHEN {SWITCH_LABEL} = 'insufficient_evidence' AND {_has('tc', 'gear', 'widget')} AND {_has('tc', 'red', 'blue')} THEN 'hold' ELSE 'exclude' END"""
 
 
-@query("cls_03_switch_recall", f"WITH n AS ({_N}) SELECT p_partkey, {SWITCH_LABEL} AS audit_label, {SWITCH_DECISION} AS proposed_decision FROM n")
+@query("cls_03_switch_recall", f"WITH n AS ({_N}) SELECT p_partkey, {SWITCH_LABEL} AS audit_label, {SWITCH_DECISION} AS proposed_decision, array_to_string(list_filter(['gear', 'widget'], lambda v: contains(' ' || tc || ' ', ' ' || v || ' ')), ';') AS device_terms, array_to_string(list_filter(['blue', 'red'], lambda v: contains(' ' || tc || ' ', ' ' || v || ' ')), ';') AS smart_terms FROM n")
 def cls_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify_switches(_records(spark, sf_dir), RECALL).select("p_partkey", "audit_label", "proposed_decision")
+    return classify.classify_switches(_records(spark, sf_dir), RECALL).select("p_partkey", "audit_label", "proposed_decision", F.array_join("matched_device_terms", ";").alias("device_terms"), F.array_join("matched_smart_terms", ";").alias("smart_terms"))
 
 
 @query("cls_04_gate_categories", f"""WITH {CAND}, z AS (SELECT p_partkey, types, list_sort(list_distinct(flatten([{', '.join(f'x_{k}' for k in WORDS)}]))) AS reasons FROM r)
