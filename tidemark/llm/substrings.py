@@ -352,14 +352,21 @@ def _share(hit: np.ndarray, least: int) -> np.ndarray:
     return best
 
 
-def _aligned(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> np.ndarray:
-    """Which pairs of rows hold near-duplicate passages at equal distances from their centres."""
+def _aligned(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows hold near-duplicate passages at equal distances from their centres, and which may at others.
+
+    A pair that shares nothing but what stands at equal distances has no passage put together in another way, and one
+    that shares less than the shortest passage needs has none.
+    """
     hit, share = (x == y) & (x > 0), 2 * similarity / (1 + similarity)
     total = np.concatenate([np.zeros((len(hit), 1), np.int16), np.cumsum(hit, 1, dtype=np.int16)], 1)
     out = np.zeros(len(hit), bool)
     for n in range(least, hit.shape[1] + 1):
         out |= (total[:, n:] - total[:, :-n]).max(1) >= share * n
-    return out
+    rest = np.nonzero(~out)[0]
+    both = np.sort(np.concatenate([x[rest], y[rest]], 1), axis=1, kind="stable")
+    shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1)
+    return out, rest[(shared > total[rest, -1]) & (shared >= similarity * least)]
 
 
 def _possible(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> np.ndarray:
@@ -404,12 +411,11 @@ def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray
         link(at, of[at])
     signs = _signatures(x)
     for p, q in _near(pair, side, w[:, 1], signs, root, similarity * least - SLACK):
-        ok = _aligned(x[p], x[q], least, similarity)
+        ok, rest = _aligned(x[p], x[q], least, similarity)
         at = np.nonzero(ok)[0]
         at = at[_united(root, p[at], q[at])]
         link(p[at], q[at])
-        at = np.nonzero(~ok)[0]
-        at = at[find(root, p[at]) != find(root, q[at])]
+        at = rest[find(root, p[rest]) != find(root, q[rest])]
         at = at[_possible(x[p[at]], x[q[at]], least, similarity)]
         for i, j in zip(p[at].tolist(), q[at].tolist(), strict=True):
             if (e := find(root, np.array([i, j])))[0] != e[1] and matched(x[i][x[i] > 0], x[j][x[j] > 0], least, similarity):
