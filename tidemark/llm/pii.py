@@ -34,6 +34,9 @@ NEAR, GAIN = 40, 0.3
 #: A span that is not of a base kind needs this score.
 LEAST = 0.5
 
+#: Parts of a split text that are gone through together; an even number, so that matches stay at odd places.
+PARTS = 128
+
 MARK, STAND_IN = "\x01", "\x02"
 
 
@@ -89,7 +92,18 @@ def _spans_of(text: Column, kind: str) -> Column:
 
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
-    spans = F.aggregate(parts, zero, step, lambda a: a["out"])
+
+    def bound(value: Column, f) -> Column:
+        """f(value), with value evaluated once however often f uses it."""
+        return F.element_at(F.transform(F.array(value), f), 1)
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, o: F.transform(b["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end")))))
+
+    # spans are gathered by blocks of parts: an array that grows by one is copied each time
+    of = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / PARTS).cast("int")), lambda b: F.aggregate(F.slice(p, b * PARTS + 1, F.lit(PARTS)), zero, step, lambda a: a))
+    spans = bound(parts, lambda p: bound(of(p), placed))
 
     def scored(s: Column) -> Column:
         low = F.greatest(s["start"] - NEAR, F.lit(0))
