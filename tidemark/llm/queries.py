@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import spread
 from . import embeddings, media, mixing, packing, pii, quality, quotes, simhash, substrings, toxicity
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
@@ -16,7 +17,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    return substrings.repeated_passages(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,15 +29,15 @@ def op3_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.link(table(spark, sf_dir, "embeddings"))
+    return embeddings.link(spread(table(spark, sf_dir, "embeddings")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_texts(table(spark, sf_dir, "documents"))
+    return media.store_texts(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +51,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
+    return packing.pack(spread(table(spark, sf_dir, "documents")), TOKENIZER, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quote_linking, op4_embedding_dedup, op5_toxicity, op6_media_sniffing, op7_pii, op8_simhash_dedup, op9_quality, op10_packing)}
