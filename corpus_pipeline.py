@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import mixing, packing, pii, simhash, toxicity
 from tidemark.llm.common import cut, drop_cuts_of, table
 from tidemark.llm.queries import TOKENIZER
+from tidemark.sources.batches import spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each on the table that the one before it wrote; that table goes when it has been read."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
         made = stage(spark, docs, sf_dir)
         read = made.inputFiles()  # what the stage, and operators in it, wrote
