@@ -36,6 +36,8 @@ FEATURES, RATIO = 3000, 20.0
 PRIOR = 500.0
 #: Share of toxic rows among those that hold a mined feature, at least.
 PRECISE = 0.75
+#: The same for a feature that votes, and the ratio that it needs; a long text holds many of the others by chance.
+VOTES, VOTES_RATIO = 0.85, 20.0
 THRESHOLD = 0.3
 
 # fixed values: lexicon voters, by the kind of abuse
@@ -77,12 +79,12 @@ def _group(gram: str) -> int:
 
 
 class Finder:
-    """A text's features among those of vocab, and the voters that fire as bits; made once for each worker."""
+    """A text's features among those of vocab, and the voters that fire as bits; the first voting features vote."""
 
-    def __init__(self, vocab: list[str]):
+    def __init__(self, vocab: list[str], voting: int):
         self.whole = {g[1:]: i for i, g in enumerate(vocab) if g[0] == "="}
         self.begins = {n: {g[1:]: i for i, g in enumerate(vocab) if g[0] == "^" and len(g) == n + 1} for n in (4, 5, 6)}
-        self.group = [_group(g) for g in vocab]
+        self.group = [_group(g) if i < voting else 0 for i, g in enumerate(vocab)]
 
     def __call__(self, text: str | None) -> tuple[list[int], int]:
         text = text or ""
@@ -182,8 +184,9 @@ def trainable(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def _mine(train: DataFrame) -> list[str]:
-    """Features that tell toxic training rows, best first; the counts come from the whole of train."""
+def _mine(train: DataFrame) -> tuple[list[str], int]:
+    """Features that tell toxic training rows, those that vote first, and how many do; copies of a text count once."""
+    train = train.dropDuplicates(["text", "toxic"])
 
     def counts(keep: set[str] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +202,7 @@ def _mine(train: DataFrame) -> list[str]:
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return []
+        return [], 0
     least = max(3, math.ceil(RATIO / 2 / math.log((pos + neg) / pos)))  # with fewer rows no ratio is enough
     hot = train.where("toxic = 1").select("text").mapInPandas(counts(None), "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     on = {r["g"]: r["n"] for r in hot.collect()}
@@ -208,8 +211,8 @@ def _mine(train: DataFrame) -> list[str]:
     return select(on, off, pos, neg)
 
 
-def select(on: dict[str, int], off: dict[str, int], pos: int, neg: int) -> list[str]:
-    """Features in on toxic and off clean rows (of pos and neg) that are significant and precise, best first."""
+def select(on: dict[str, int], off: dict[str, int], pos: int, neg: int) -> tuple[list[str], int]:
+    """Features in on toxic and off clean rows (of pos and neg) that are significant and precise, voting ones first, best first."""
 
     def part(k: float, e: float) -> float:
         return k * math.log(k / e) if k else 0.0
@@ -221,8 +224,9 @@ def select(on: dict[str, int], off: dict[str, int], pos: int, neg: int) -> list[
         if a / (both + 1) >= PRECISE:
             r = 2 * (part(a, both * pos / (pos + neg)) + part(b, both * neg / (pos + neg)))
             if r >= RATIO:
-                found.append((-r, g))
-    return [g for _, g in sorted(found)[:FEATURES]]
+                found.append((not (a / (both + 1) >= VOTES and r >= VOTES_RATIO), -r, g))
+    found = sorted(found)[:FEATURES]
+    return [g for _, _, g in found], sum(not weak for weak, _, _ in found)
 
 
 def _sample(labels: DataFrame, bound: int) -> DataFrame:
@@ -235,11 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, keep: list[st
     """A Model, and docs as the columns in keep (all, as a struct row, if None) with found: what its scores are made of."""
     sample = _sample(labels, bound)
     train = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # bounded: two numbers a row
-    vocab = _mine(train)
+    vocab, voting = _mine(train)
     drop_cut(train)
 
     def found(text: pd.Series) -> pd.DataFrame:
-        find = Finder(vocab)
+        find = Finder(vocab, voting)
         got = [find(t) for t in text]
         return pd.DataFrame({"hits": [a for a, _ in got], "voted": [b for _, b in got]})
 
