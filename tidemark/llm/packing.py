@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +62,13 @@ def byte_bpe(path: str) -> Callable[[str], list[int]]:
         if _PLAIN.search(text):
             return encode(text)
         first, *rest = text.split(" ")
-        out = list(encode(first))
-        for w in rest:
-            got = seen.get(w)
-            if got is None:
-                got = tuple(encode(" " + w))
-                if len(w) < 24 and len(seen) < REMEMBERED:
-                    seen[w] = got
-            out += got
-        return out
+        got = list(map(seen.get, rest))
+        for i in [i for i, g in enumerate(got) if g is None]:
+            w = rest[i]
+            got[i] = g = tuple(encode(" " + w))
+            if len(w) < 24 and len(seen) < REMEMBERED:
+                seen[w] = g
+        return [*encode(first), *chain.from_iterable(got)]
 
     return ids
 
