@@ -136,7 +136,7 @@ def _near_pairs(grp: np.ndarray, side: np.ndarray, x: np.ndarray, threshold: flo
                 yield p[j : j + PAIRS], q[j : j + PAIRS]
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, tables: int):
     """Sorted by group: counts of each vector's links in the group, and a spanning forest of them."""
 
     def links(grp: np.ndarray, side: np.ndarray, ids: np.ndarray, weight: np.ndarray, code: np.ndarray, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -146,8 +146,11 @@ def _verify(threshold: float):
             p, q = p[ok], q[ok]
             ok = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
             p, q = p[ok], q[ok]
-            shared = (c[p][:, :, None] == c[q][:, None, :]).any(2)
-            ok = np.where(shared, c[p], last).min(1, initial=last) == code[p]  # alike from both ends
+            mine, other = (c[i].reshape(len(i), tables, c.shape[1] // tables) for i in (p, q))  # tables have no code in common
+            shared = np.zeros(mine.shape, bool)
+            for j in range(other.shape[2]):
+                shared |= mine == other[:, :, j : j + 1]
+            ok = np.where(shared, mine, last).min((1, 2), initial=last) == code[p]  # alike from both ends
             p, q = p[ok], q[ok]
             np.add.at(n, p, weight[q])
             np.add.at(n, q, weight[p])
@@ -233,7 +236,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("a"), F.greatest(o, F.col("mine")).alias("b"), F.when(o == F.col("mine"), 1).when(F.col("mine") < o, 0).otherwise(2).cast("int").alias("side")))
     spread = spread.withColumn("mine", mine).withColumn("pair", F.explode(pairs))
     spread = spread.select(F.xxhash64("kind", "code", "pair.a", "pair.b").alias("grp"), F.col("pair.side").alias("side"), "rep", "weight", "code", "vec", "codes")
-    links = cut(spread.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_verify(threshold), "rep long, n long, other long"))
+    links = cut(spread.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_verify(threshold, tables), "rep long, n long, other long"))
     comp = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("n").alias("n"))
     g = groups.select("same", "rep", "low", "weight").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
