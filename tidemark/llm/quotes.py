@@ -84,12 +84,12 @@ def _parsed(least: int):
 def _ends(pointers: DataFrame) -> DataFrame:
     """(node, to) without cycles, one row a node -> (node, end, steps): where its pointers lead, and over how many.
 
-    Nodes whose target has no pointer are done and take no part in later rounds, so what all lead to is no hot key.
+    to and end are structs (mid, turn), so what is wanted of an end need not be joined to it afterwards.  Nodes whose target has no pointer are done and take no part in later rounds, so what all lead to is no hot key.
     """
     now = cut(pointers.select("node", "to", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done")))
     while True:
-        far = now.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-        moved = now.where("NOT done").join(far, "to", "left")
+        far = now.select(F.col("node").alias("at"), F.col("to").alias("far"), F.col("steps").alias("more"))
+        moved = now.where("NOT done").withColumn("at", F.col("to.mid")).join(far, "at", "left")
         moved = moved.select("node", F.coalesce("far", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNull().alias("done"))
         after = cut(moved.unionByName(now.where("done")))
         drop_cut(now)
@@ -131,18 +131,19 @@ def link_conversations(messages: DataFrame, least_line: int = LEAST_LINE, implic
         linked = linked.join(before, ["conv_id", "turn"], "left")
     else:
         linked = linked.withColumn("before", F.lit(None).cast("long"))
-    linked = cut(linked.select("mid", "n_linked", F.coalesce("quoted", "before").alias("parent")))
-    answers = linked.where("parent IS NOT NULL").select("mid", "parent").join(ids.select(F.col("mid").alias("parent"), F.col("turn").alias("parent_turn")), "parent")
-    turns = ids.select("mid", "turn")
-    goes_on = answers.join(turns, "mid").groupBy("parent").agg(F.min(F.struct("turn", "mid"))["mid"].alias("mid"))
-    thread = _ends(answers.select(F.col("mid").alias("node"), F.col("parent").alias("to"))).select(F.col("node").alias("mid"), F.col("end").alias("thread"), F.col("steps").alias("depth"))
-    branch = _ends(goes_on.select(F.col("mid").alias("node"), F.col("parent").alias("to"))).select(F.col("node").alias("mid"), F.col("end").alias("branch"), F.col("steps").alias("position"))
+    linked = cut(linked.select("mid", "turn", "n_linked", F.coalesce("quoted", "before").alias("parent")))
+    above = ids.select(F.col("mid").alias("parent"), F.col("turn").alias("parent_turn"))
+    answers = cut(linked.where("parent IS NOT NULL").select("mid", "turn", "parent").join(above, "parent"))
+    to = F.struct(F.col("parent").alias("mid"), F.col("parent_turn").alias("turn")).alias("to")
+    # the first answer by turn goes on with its parent's branch
+    goes_on = answers.groupBy("parent", "parent_turn").agg(F.min(F.struct("turn", "mid"))["mid"].alias("mid"))
+    thread = _ends(answers.select(F.col("mid").alias("node"), to)).select(F.col("node").alias("mid"), F.col("end").alias("t"), F.col("steps").alias("depth"))
+    branch = _ends(goes_on.select(F.col("mid").alias("node"), to)).select(F.col("node").alias("mid"), F.col("end").alias("b"), F.col("steps").alias("position"))
     out = m.select("mid", "conv_id", "turn", "role").join(p.select("mid", "content", "n_quotes"), "mid").join(linked.select("mid", "n_linked"), "mid").join(answers.select("mid", "parent_turn"), "mid", "left").join(thread, "mid", "left").join(branch, "mid", "left")
     none = F.lit(0).cast("long")
-    out = out.withColumns({"thread": F.coalesce("thread", "mid"), "branch": F.coalesce("branch", "mid")})
-    for name in ("thread", "branch"):
-        heads = turns.join(out.select(F.col(name).alias("mid")).distinct(), "mid", "left_semi").select(F.col("mid").alias(name), F.col("turn").alias(f"{name}_turn"))
-        out = out.join(heads, name)
+    own = F.struct("mid", "turn")
+    out = out.withColumns({"t": F.coalesce("t", own), "b": F.coalesce("b", own)})
+    out = out.withColumns({"thread": F.col("t.mid"), "thread_turn": F.col("t.turn"), "branch": F.col("b.mid"), "branch_turn": F.col("b.turn")})
     return out.select("conv_id", "turn", "role", "content", F.col("n_quotes").cast("long"), F.coalesce("n_linked", none).alias("n_linked"), "parent_turn", "thread_turn", F.coalesce("depth", none).alias("depth"), "branch_turn", F.coalesce("position", none).alias("position"), F.col("mid").alias("message"), "thread", "branch")
 
 
