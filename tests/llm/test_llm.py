@@ -823,3 +823,57 @@ def test_pipeline_edges(spark, tmp_path, kind):
         else:
             n = out.count()
     assert pipeline.run(spark, str(tmp_path)).count() == n and (n > 0) == (kind == "edge")
+
+
+def test_stretches_with_too_few_hits_are_not_searched(monkeypatch):
+    a, b = np.arange(1, 401, dtype=np.uint64), np.arange(1001, 1401, dtype=np.uint64)
+    b[:36] = a[:36]  # 36.8 of 46 are the least
+    asked = []
+    monkeypatch.setattr(substrings, "_longest", lambda *x: asked.append(x) or (0, 0))
+    assert substrings.matched(a, b, 46, 0.8) == [] == substrings._matched_along(a, b, 0, 46, 0.8)
+    assert not asked
+    b[:46] = a[:46]
+    monkeypatch.undo()
+    for found in (substrings.matched(a, b, 46, 0.8), substrings._matched_along(a, b, 0, 46, 0.8)):
+        assert found and found[0][0] == found[0][2] == 0 and found[0][1] >= 46
+    assert substrings._matches(a, b, 46, 0.8) and not substrings._matches(a, b[47:], 46, 0.8)
+
+
+def test_pairs_of_few_rows_stay_together():
+    size, n = 47, 60
+    pair, side, doc = np.repeat(np.arange(n), size), np.ones(n * size, np.int64), np.arange(n * size)
+    signs = np.full((n * size, 8), np.uint64(0xFF), np.uint64)
+    signs[::2] = 0  # every other row shares nothing
+    got, seen = [], set()
+    for p, q in substrings._near(pair, side, doc, signs, np.arange(n * size), 30):
+        assert not seen & set(pair[p].tolist())
+        seen |= set(pair[p].tolist())
+        got += zip(p.tolist(), q.tolist(), strict=True)
+    assert sorted(got) == [(i, j) for k in range(n) for i in range(k * size, (k + 1) * size) for j in range(i + 1, (k + 1) * size) if i % 2 and j % 2]
+    one = substrings._near(pair[:size], side[:size], doc[:size], signs[:size], np.zeros(size, np.int64), 30)
+    assert not list(one)  # all of one class
+    none = np.zeros(0, np.int64)
+    assert not list(substrings._near(none, none, none, np.zeros((0, 8), np.uint64), none, 30))
+
+
+def test_contexts_compared_like_plainly():
+    rng, least, similarity = np.random.default_rng(5), 6, 0.8
+    x = (rng.integers(0, 30, (700, 11)) * 2 + 1).astype("<u2")
+    y = np.where(rng.random((700, 11)) < 0.6, x, np.roll(x, 1, 1)).astype("<u2")
+    x[:, :3][rng.random((700, 3)) < 0.3] = 0
+    y[:, 8:][rng.random((700, 3)) < 0.3] = 0
+
+    def best(hit, least):
+        return max(sum(hit[i:j]) / (j - i) for i in range(len(hit)) for j in range(i + least, len(hit) + 1))
+
+    share, short = 2 * similarity / (1 + similarity), int(similarity * least)
+    ok, rest = substrings._aligned(x, y, least, similarity)
+    possible = substrings._possible(x, y, least, similarity)
+    for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        hit = [u == v > 0 for u, v in zip(a, b, strict=True)]
+        assert ok[i] == any(sum(hit[k:m]) >= share * (m - k) for k in range(11) for m in range(k + least, 12))
+        s, t = best([u > 0 and u in b for u in a], short), best([v > 0 and v in a for v in b], short)
+        assert possible[i] == (1 / max(s, 1e-3) + 1 / max(t, 1e-3) <= 1 + 1 / similarity + 1e-3)
+    assert 0 < ok.sum() < 700 and 0 < possible.sum() < 700 and len(rest)
+    bits = np.unpackbits(substrings._signatures(x).view(np.uint8), axis=1)
+    assert [b.nonzero()[0].tolist() for b in bits] == [sorted({int(substrings.mix(np.array([v], np.uint64))[0] % np.uint64(substrings.BUCKETS)) for v in a if v}) for a in x.tolist()]

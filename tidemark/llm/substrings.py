@@ -17,7 +17,7 @@ verified by the Jaccard similarity of their shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -343,12 +343,17 @@ def _around(width: int):
     return run
 
 
+def _sums(hit: np.ndarray) -> np.ndarray:
+    """Hits in the first 0, 1, ... rows, by column; a pair of contexts has a column, which numpy reduces many of at once."""
+    return np.concatenate([np.zeros((1, hit.shape[1]), np.int16), np.cumsum(hit, 0, dtype=np.int16)])
+
+
 def _share(hit: np.ndarray, least: int) -> np.ndarray:
-    """The greatest share of hits in any stretch of least columns or more, by row."""
-    total = np.concatenate([np.zeros((len(hit), 1), np.int16), np.cumsum(hit, 1, dtype=np.int16)], 1)
-    best = np.zeros(len(hit), np.float32)
-    for n in range(least, min(2 * least, hit.shape[1] + 1)):  # a longer stretch has one of these with as great a share
-        best = np.maximum(best, (total[:, n:] - total[:, :-n]).max(1) / np.float32(n))
+    """The greatest share of hits in any stretch of least rows or more, by column."""
+    total = _sums(hit)
+    best = np.zeros(hit.shape[1], np.float32)
+    for n in range(least, min(2 * least, len(hit) + 1)):  # a longer stretch has one of these with as great a share
+        best = np.maximum(best, (total[n:] - total[:-n]).max(0) / np.float32(n))
     return best
 
 
@@ -358,24 +363,29 @@ def _aligned(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> tup
     A pair that shares nothing but what stands at equal distances has no passage put together in another way, and one
     that shares less than the shortest passage needs has none.
     """
-    hit, share = (x == y) & (x > 0), 2 * similarity / (1 + similarity)
-    total = np.concatenate([np.zeros((len(hit), 1), np.int16), np.cumsum(hit, 1, dtype=np.int16)], 1)
-    out = np.zeros(len(hit), bool)
-    for n in range(least, hit.shape[1] + 1):
-        out |= (total[:, n:] - total[:, :-n]).max(1) >= share * n
+    hit, share = np.ascontiguousarray(((x == y) & (x > 0)).T), 2 * similarity / (1 + similarity)
+    total = _sums(hit)
+    out = np.zeros(len(x), bool)
+    for n in range(least, len(hit) + 1):
+        out |= (total[n:] - total[:-n]).max(0) >= share * n
     rest = np.nonzero(~out)[0]
     both = np.sort(np.concatenate([x[rest], y[rest]], 1), axis=1, kind="stable")
     shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1)
-    return out, rest[(shared > total[rest, -1]) & (shared >= similarity * least)]
+    return out, rest[(shared > total[-1, rest]) & (shared >= similarity * least)]
 
 
 def _possible(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> np.ndarray:
     """Which pairs of rows can hold near passages: the shares found of both sides bound the Jaccard similarity."""
     out, short = [np.zeros(0, bool)], int(similarity * least)
     for i in range(0, len(x), 256):
-        a, b = x[i : i + 256], y[i : i + 256]
-        same = (a[:, :, None] == b[:, None, :]) & (b > 0)[:, None, :]
-        a, b = _share(same.any(2), short), _share(same.any(1), short)
+        a, b = np.ascontiguousarray(x[i : i + 256].T), np.ascontiguousarray(y[i : i + 256].T)
+        b[b == 0] = 2  # hashes are odd, so this is none of the other side's
+        in_b, in_a = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+        for k, row in enumerate(b):
+            same = a == row
+            in_b |= same
+            np.logical_or.reduce(same, 0, out=in_a[k])
+        a, b = _share(in_b, short), _share(in_a, short)
         out.append(1 / np.maximum(a, 1e-3) + 1 / np.maximum(b, 1e-3) <= 1 + 1 / similarity + 1e-3)
     return np.concatenate(out)
 
@@ -404,8 +414,9 @@ def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray
 
     total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(x * np.cumprod(np.full(x.shape[1], _MIX)), 1, dtype=np.uint64)], 1)
     gaps = np.concatenate([np.zeros((n, 1), np.int16), np.cumsum(x == 0, 1, dtype=np.int16)], 1)
+    own = mix(pair.view(np.uint64))
     for i in range(x.shape[1] - least + 1):
-        of = _first_of(np.stack([pair, (total[:, i + least] - total[:, i]).view(np.int64)], 1), gaps[:, i + least] == gaps[:, i])
+        of = _first_of((own + mix(total[:, i + least] - total[:, i])).view(np.int64)[:, None], gaps[:, i + least] == gaps[:, i])
         at = np.nonzero(of != np.arange(n))[0]
         at = at[_united(root, at, of[at])]
         link(at, of[at])
@@ -418,7 +429,7 @@ def _tile_links(pair: np.ndarray, side: np.ndarray, w: np.ndarray, x: np.ndarray
         at = rest[find(root, p[rest]) != find(root, q[rest])]
         at = at[_possible(x[p[at]], x[q[at]], least, similarity)]
         for i, j in zip(p[at].tolist(), q[at].tolist(), strict=True):
-            if (e := find(root, np.array([i, j])))[0] != e[1] and matched(x[i][x[i] > 0], x[j][x[j] > 0], least, similarity):
+            if (e := find(root, np.array([i, j])))[0] != e[1] and _matches(x[i][x[i] > 0], x[j][x[j] > 0], least, similarity):
                 link(np.array([i]), np.array([j]))
                 root[e.max()] = e.min()
     return np.concatenate(out) if out else np.zeros((0, len(LINK)), np.int64)
@@ -430,10 +441,12 @@ SLACK = 4
 
 def _signatures(x: np.ndarray) -> np.ndarray:
     """Rows of bits for the buckets that a context's shingles fall into."""
-    bits = np.zeros((len(x), BUCKETS), bool)
-    at, col = np.nonzero(x)
-    bits[at, mix(x[at, col].astype(np.uint64)) % np.uint64(BUCKETS)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    bucket = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+    bits = np.zeros(len(x) * BUCKETS + 1, bool)
+    at = bucket[x] + np.arange(0, len(x) * BUCKETS, BUCKETS)[:, None]
+    at[x == 0] = len(x) * BUCKETS  # no shingle: beside the rows
+    bits[at] = True
+    return np.packbits(bits[:-1].reshape(-1, BUCKETS), axis=1).view(np.uint64)
 
 
 #: Pairs of windows that are compared at once, and rows under which all pairs of a pair of tiles are.
@@ -443,25 +456,16 @@ PAIRS, FEW = 4096, 48
 def _near(pair: np.ndarray, side: np.ndarray, doc: np.ndarray, signs: np.ndarray, root: np.ndarray, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that root does not join and that share enough shingles; root may change from yield to yield."""
     root[:] = find(root, np.arange(len(root)))
-    cuts = [0, *(np.nonzero(pair[1:] != pair[:-1])[0] + 1).tolist(), len(pair)]
-    small, held = [np.zeros((2, 0), np.int64)], 0
-    for i, j in zip(cuts, cuts[1:], strict=False):
+    kind = np.min_scalar_type(int(np.bitwise_count(signs).sum(1).max(initial=0)))  # bytes add fastest
+    starts = np.concatenate([np.zeros(min(1, len(pair)), np.int64), np.nonzero(pair[1:] != pair[:-1])[0] + 1])
+    sizes = np.diff(np.concatenate([starts, [len(pair)]]))
+    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts) if len(starts) else np.zeros(0, bool)
+    starts, sizes = starts[several], sizes[several]
+    meets = lambda p, q: (doc[p] != doc[q]) & ((side[p] == 1) | (side[p] != side[q])) & (root[p] != root[q])
+    few = sizes < FEW
+    yield from _of_few(starts[few], sizes[few], signs, meets, enough)
+    for i, j in zip(starts[~few].tolist(), (starts + sizes)[~few].tolist(), strict=True):
         r = root[i:j]
-        if (r == r[0]).all():
-            continue
-        meets = lambda p, q: (doc[p] != doc[q]) & ((side[p] == 1) | (side[p] != side[q])) & (root[p] != root[q])
-        if j - i < FEW:
-            p, q = np.triu_indices(j - i, 1)
-            p, q = p + i, q + i
-            keep = meets(p, q)
-            p, q = p[keep], q[keep]
-            keep = np.bitwise_count(signs[p] & signs[q]).sum(1) >= enough
-            small.append(np.stack([p[keep], q[keep]]))
-            held += small[-1].shape[1]
-            if held >= PAIRS:
-                yield from _chunks(*np.concatenate(small, 1))
-                small, held = [np.zeros((2, 0), np.int64)], 0
-            continue
         largest = int(np.bincount(r - i).argmax()) + i
         rest = i + np.nonzero(r != largest)[0]  # of two windows that are apart one at least is here
         late = np.full(j - i, len(pair))  # rows of rest come in turn, and meet those before them only in their turn
@@ -474,14 +478,42 @@ def _near(pair: np.ndarray, side: np.ndarray, doc: np.ndarray, signs: np.ndarray
             root[i:j] = find(root, np.arange(i, j))
             most = root[i:j] == root[largest]
             rows = rows[~most[rows - i]]  # what has joined the largest meets the others in their turn
-            shared = np.zeros((len(rows), j - i), np.uint16)
+            if not len(rows):
+                continue
+            cols = np.nonzero(most | (late > late[rows[0] - i]))[0]
+            shared = np.zeros((len(rows), len(cols)), kind)
             for word in words:
-                shared += np.bitwise_count(word[rows - i][:, None] & word)
-            p, q = np.nonzero(shared >= enough)
-            p, q = rows[p], q + i
+                shared += np.bitwise_count(word[rows - i][:, None] & word[cols])
+            now = root[i:j]
+            p, q = np.nonzero((shared >= enough) & (now[rows - i][:, None] != now[cols]))
+            p, q = rows[p], cols[q] + i
             keep = meets(p, q) & ((late[q - i] > late[p - i]) | most[q - i])
             yield from _chunks(p[keep], q[keep])
-    yield from _chunks(*np.concatenate(small, 1))
+
+
+def _of_few(starts: np.ndarray, sizes: np.ndarray, signs: np.ndarray, meets: Callable, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What _near() gives for pairs of tiles of few rows, many at a time; the pairs of one stay together."""
+    cuts = np.searchsorted(np.cumsum(sizes * (sizes - 1) // 2), np.arange(0, int((sizes * (sizes - 1) // 2).sum()) + 1, 16 * PAIRS), "left")
+    cuts = np.unique(np.concatenate([[0], cuts, [len(sizes)]]))
+    for i, j in zip(cuts, cuts[1:], strict=False):  # some at a time
+        of, p, q = [], [], []
+        for m in np.unique(sizes[i:j]).tolist():
+            at = i + np.nonzero(sizes[i:j] == m)[0]
+            a, b = np.triu_indices(m, 1)
+            of.append(np.repeat(at, len(a)))
+            p.append((starts[at][:, None] + a).ravel())
+            q.append((starts[at][:, None] + b).ravel())
+        of, p, q = map(np.concatenate, (of, p, q))
+        for keep in (lambda: meets(p, q), lambda: np.bitwise_count(signs[p] & signs[q]).sum(1) >= enough):
+            ok = keep()
+            of, p, q = of[ok], p[ok], q[ok]
+        order = np.argsort(of, kind="stable")
+        of, p, q = of[order], p[order], q[order]
+        at = 0
+        while at < len(of):
+            end = int(np.searchsorted(of, of[min(at + PAIRS, len(of)) - 1], "right"))
+            yield p[at:end], q[at:end]
+            at = end
 
 
 def _chunks(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -597,6 +629,11 @@ def matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list
     return out
 
 
+def _matches(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> bool:
+    """Whether matched() finds any."""
+    return bool(_matched(a, b, least, similarity)) or any(e2 - s2 >= least for _, _, s2, e2, _ in _matched(b, a, least, similarity))
+
+
 def _in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """np.isin, without its overhead for short arrays."""
     return (a[:, None] == b).any(1) if len(a) * len(b) < 1 << 15 else np.isin(a, b)
@@ -611,8 +648,10 @@ def _matched(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> lis
         i, j = todo.pop()
         if j - i < least:
             continue
-        failed = None
+        failed, hits = None, np.count_nonzero(in_b[i:j])
         for share in shares:
+            if hits < share * least - 1e-6:  # too few for any stretch
+                continue
             s, e = (i + x for x in _longest(in_b[i:j], share))
             if e - s < least:
                 continue
@@ -646,7 +685,7 @@ def _matched_along(a: np.ndarray, b: np.ndarray, shift: int, least: int, similar
     out, todo = [], [(0, j - i)]
     while todo:
         x, y = todo.pop()
-        if y - x < least:
+        if y - x < least or np.count_nonzero(hit[x:y]) < share * least - 1e-6:  # too few for any stretch
             continue
         s, e = (x + z for z in _longest(hit[x:y], share))
         if e - s < least:
